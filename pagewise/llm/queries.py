@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, secrets, simhash, toxicity
+from . import decontamination, divergence, htmltext, mixing, pii, secrets, simhash, sitequality, toxicity, warc
 from .common import read
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.digest(read(spark, sf_dir, "documents"))
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitequality.document_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -19,6 +35,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
@@ -38,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE}
+    return {"op2_warc_round_trip": warc.ORACLE, "op6_source_mixing": mixing.ORACLE}
