@@ -1 +1 @@
-
+"""Operators over paged vector data, each from DataFrame to DataFrame."""

@@ -1 +1 @@
-
+"""Plans made of several operators."""

@@ -1 +1 @@
-
+"""Readers and writers of the evaluation pipeline's files."""

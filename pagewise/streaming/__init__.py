@@ -1 +1 @@
-
+"""Incremental maintenance over append-only streams."""
