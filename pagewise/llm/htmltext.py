@@ -229,27 +229,34 @@ def labelled_blocks(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         rows.append([words, links, pw, pl, nw, nl, around, inside, heading, article])
         y.append(label)
 
-    u = lambda a, b: int(rng.integers(a, b))
-    for _ in range(40):
-        heading = u(0, 2)
-        add(1, u(1, 400), rng.random() * 0.3, u(1, 300), rng.random() * 0.3, u(1, 300), rng.random() * 0.3, 0, 1, 0, 1)
-        add(1, u(1, 6), rng.choice([0.0, 0.0, 1.0]), u(0, 60), rng.choice([0.0, 1.0]), u(0, 200), rng.choice([0.0, 1.0]), 0, 1, heading, 1)
-        add(0, u(1, 120), rng.choice([0.0, 1.0]), u(0, 200), rng.random(), u(0, 200), rng.random(), 1, u(0, 2), heading, u(0, 2))
-        add(0, u(1, 8), rng.choice([0.0, 1.0]), u(1, 8), rng.choice([0.0, 1.0]), u(1, 200), rng.choice([0.0, 1.0]), 1, 0, 0, u(0, 2))
-        add(0, u(1, 60), rng.random(), u(0, 60), rng.random(), u(0, 60), rng.random(), 0, 0, heading, 1)
-        add(1, u(12, 400), rng.random() * 0.25, u(1, 200), rng.random() * 0.5, u(1, 200), rng.random() * 0.5, 0, 0, 0, 0)
-        add(1, u(1, 12), 0.0, u(16, 200), rng.random() * 0.2, u(16, 200), rng.random() * 0.2, 0, 0, heading, 0)
-        add(1, u(1, 12), 0.0, u(0, 8), rng.random(), u(16, 300), rng.random() * 0.2, 0, 0, 1, 0)
-        add(0, u(1, 12), 0.6 + 0.4 * rng.random(), u(0, 12), rng.random(), u(0, 200), rng.random(), 0, 0, 0, 0)
-        add(0, u(12, 60), 0.6 + 0.4 * rng.random(), u(0, 200), rng.random(), u(0, 200), rng.random(), 0, 0, 0, 0)
-        add(0, u(1, 8), 0.0, u(0, 8), 0.5 + 0.5 * rng.random(), u(0, 8), rng.random(), 0, 0, 0, 0)
+    def u(a: int, b: int) -> int:
+        """A number from a up to b, small ones as often as large ones."""
+        return min(b - 1, int(np.exp(rng.uniform(np.log(a + 0.5), np.log(b + 0.5)))) if a else int(rng.integers(0, 3) > 0) * u(1, b))
+
+    def share(most: float) -> float:
+        """A link density: often 0 or the greatest, or between."""
+        return float(rng.choice([0.0, most, most * rng.random()]))
+
+    for _ in range(200):
+        heading = int(rng.integers(0, 2))
+        near = (u(0, 300), share(1.0), u(0, 300), share(1.0))
+        add(1, u(1, 400), share(1.0), *near, 0, 1, heading, 1)
+        add(1, u(1, 9), share(1.0), *near, 0, 1, heading, 1)
+        add(0, u(1, 400), share(1.0), *near, 1, int(rng.integers(0, 2)), heading, int(rng.integers(0, 2)))
+        add(0, u(1, 12), share(1.0), *near, 1, int(rng.integers(0, 2)), heading, int(rng.integers(0, 2)))
+        add(0, u(1, 200), share(1.0), *near, 0, 0, heading, 1)
+        add(1, u(14, 400), share(0.25), *near, 0, 0, heading, 0)
+        add(1, u(1, 13), 0.0, u(20, 300), share(0.25), u(20, 300), share(0.25), 0, 0, heading, 0)
+        add(1, u(1, 13), 0.0, u(0, 12), share(1.0), u(20, 300), share(0.25), 0, 0, 1, 0)
+        add(0, u(1, 60), 0.5 + share(0.5), *near, 0, 0, heading, 0)
+        add(0, u(1, 13), share(0.25), u(0, 12), share(1.0), u(0, 12), share(1.0), 0, 0, 0, 0)
     return np.array(rows, dtype=float), np.array(y, dtype=float)
 
 
 @lru_cache(maxsize=1)
 def tree() -> Tree:
     """Grown once in each worker; the table and so the tree are the same everywhere."""
-    return grow(*labelled_blocks(), depth=8)
+    return grow(*labelled_blocks(), depth=10, leaf=3)
 
 
 def main_text(page: str) -> str:
