@@ -100,8 +100,8 @@ SPELLED_ONE = re.compile(rf"(?<!\w)({DIGIT})(?!\w)(?:\s{{1,3}}(?=(?:{DIGIT})(?!\
 DOTS = "dot|punkt|punto|point"
 OPEN, CLOSE = r"[ \t]{0,3}[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>][ \t]{0,3}"
 A_DOT = rf"(?:{OPEN}(?:{DOTS}|\.){CLOSE}|[ \t]{{1,3}}(?:{DOTS})[ \t]{{1,3}})"
-# Last labels of the host names that addresses in prose end in.
-TOP = "com|org|net|edu|gov|mil|int|info|io|co|de|fr|es|uk|us|eu|it|nl|ch|at|be|pt|pl|se|no|dk|fi|ie|ca|mx|ar|br|au|nz|jp|cn|in|ru|me|dev|app|ai|biz|example|test"
+# Last labels of the host names that addresses in prose end in, less English words.
+TOP = "com|org|net|edu|gov|mil|int|info|io|co|de|fr|es|uk|eu|nl|ch|pt|pl|dk|fi|ie|ca|mx|ar|br|au|nz|jp|cn|ru|dev|app|ai|biz|example"
 #: As a bare word, "at" is a sign only before host labels with spelled dots and a last label of these.
 AT = re.compile(rf"(?:{OPEN}(?:at|arroba|@){CLOSE}|[ \t]{{1,3}}(?:at|arroba|@)[ \t]{{1,3}}(?=(?:[A-Za-z0-9-]{{1,63}}{A_DOT}){{1,8}}(?:{TOP})(?![A-Za-z0-9-])))", re.I)
 DOT = re.compile(A_DOT, re.I)
