@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +18,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST_WORDS = 40
 #: A language with fewer documents of LEAST_WORDS has no reference; its documents pass.
 LEAST_DOCS = 30
-#: Greatest distance that passes: a constant plus one over the root of the words,
-#: the sampling noise of a short text's histogram.
-CHAR_LIMIT, WORD_LIMIT, NOISE = 0.15, 0.20, 1.0
+#: Greatest distances, beyond sampling noise, that pass: of either histogram, and of both together.
+CHAR_LIMIT, WORD_LIMIT, SUM_LIMIT = 0.24, 0.22, 0.33
+#: Times the expected divergence of a text that follows its reference, which is not held against it.
+NOISE = 1.5
 #: Languages whose references are broadcast; more are joined by shuffle.
 BROADCAST_LANGS = 10_000
 
@@ -52,6 +55,16 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
+def _beyond_noise(p: Column, q: Column, n: Column) -> Column:
+    """Distance of an observed histogram of n things from a reference, less what chance alone brings.
+
+    A bin of share q is off by about 1 / (8 n ln 2) in divergence, and by q / 2 if it stays empty.
+    """
+    each = 1 / (8 * math.log(2) * F.greatest(n, F.lit(1)))
+    noise = F.aggregate(F.transform(q, lambda x: F.least(x / 2, each)), F.lit(0.0), lambda s, x: s + x)
+    return F.sqrt(F.greatest(_distance(p, q) ** 2 - NOISE * noise, F.lit(0.0)))
+
+
 def references(stats: DataFrame) -> DataFrame:
     """Of each language: mean shares of character classes and common words over all its documents.
 
@@ -67,8 +80,8 @@ def references(stats: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: ``id``, the base counts, ``base_failed``, ``char_distance``,
-    ``word_distance`` (null where a guard holds) and ``kept``.
+    """One row per document: ``id``, the base counts, ``base_failed``, ``kept``, and beyond noise
+    ``char_distance`` and ``word_distance`` (null where a guard holds).
 
     Each text is read once; its counts are kept, references come from the
     counts of all documents, and distances from both. Null and empty texts have
@@ -81,14 +94,15 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     refs = small(references(stats).withColumnRenamed("lang", "of_lang"), BROADCAST_LANGS)
     met = stats.join(refs, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     judged = (F.col("n_words") >= LEAST_WORDS) & F.col("ref_chars").isNotNull()
+    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
     d = met.select(
         "id", *COUNTS,
-        F.when(judged, _distance(_shares(F.col("chars")), F.col("ref_chars"))).alias("char_distance"),
-        F.when(judged, _distance(_shares(F.col("common")), F.col("ref_common"))).alias("word_distance"),
+        F.when(judged, _beyond_noise(_shares(F.col("chars")), F.col("ref_chars"), n_chars)).alias("char_distance"),
+        F.when(judged, _beyond_noise(_shares(F.col("common")), F.col("ref_common"), F.col("n_words"))).alias("word_distance"),
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
     )
-    noise = NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    strange = (F.col("char_distance") > CHAR_LIMIT + noise) | (F.col("word_distance") > WORD_LIMIT + noise)
+    c, w = F.col("char_distance"), F.col("word_distance")
+    strange = (c > CHAR_LIMIT) | (w > WORD_LIMIT) | (c + w > SUM_LIMIT)
     return d.select("id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"), "char_distance", "word_distance")
 
 
