@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import metrics, text
 
@@ -47,9 +49,6 @@ def row_scores(predictions: DataFrame) -> DataFrame:
 
 def best_of(name: str, pred: Column, answers: Column, classes: Column) -> Column:
     """The greatest score of a prediction over an array of answers; 0 of none."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     score = metrics.METRICS[name]
 
     @F.pandas_udf(T.DoubleType())
@@ -87,8 +86,6 @@ def same_for_all(df: DataFrame, column: str) -> bool:
 
 def latency(steps: DataFrame, by: str, order: list[str], seconds: Column) -> DataFrame:
     """Of each sequence of time stamps: the first two differences together, and the mean of the others."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(by).orderBy(*order)
     d = steps.select(by, F.row_number().over(w).alias("i"), (seconds - F.lag(seconds).over(w)).alias("d")).where("d IS NOT NULL")
     return d.groupBy(by).agg(F.sum(F.when(F.col("i") <= 3, F.col("d"))).alias("prefill_s"), F.avg(F.when(F.col("i") > 3, F.col("d"))).alias("decode_s"))
