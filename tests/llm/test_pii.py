@@ -54,6 +54,10 @@ def test_disguises_map_back():
     assert disguised("ip 192[.]168[.]1[.]1") == [("ip", "192[.]168[.]1[.]1")]
     assert disguised("one nine two dot one six eight dot one dot one") == [("ip", "one nine two dot one six eight dot one dot one")]
     assert disguised("＋４９ (30) 1234 5678") == [("phone", "＋４９ (30) 1234 5678")]
+    assert disguised("mail me john @ example . com or so") == [("email", "john @ example . com")]
+    assert disguised("JOHN AT EXAMPLE DOT COM") == [("email", "JOHN AT EXAMPLE DOT COM")]
+    assert disguised("card 4lll 1111 1111 1111 x") == [("card", "4lll 1111 1111 1111")] or disguised("card 41l1 1111 1111 1111 x") == [("card", "41l1 1111 1111 1111")]
+    assert disguised("at 1O.0.0.l now") == [("ip", "1O.0.0.l")]
     assert disguised("jo​hn@exam​ple.com") == [("email", "jo​hn@exam​ple.com")]
 
 
