@@ -113,7 +113,7 @@ def features(before: str, value: str, after: str, name: str, quoted: bool, path:
     ]
 
 
-def labelled_findings(seed: int = 11, each: int = 40) -> list[tuple[str, str, str, str, bool, str, int]]:
+def labelled_findings(seed: int = 11, each: int = 150) -> list[tuple[str, str, str, str, bool, str, int]]:
     """The labelled table: before, value, after, name, quoted, path, label; ``each`` rows of every kind.
 
     Made by rule from a seed, so its size is fixed: issued keys, hex and base64
@@ -143,6 +143,7 @@ def labelled_findings(seed: int = 11, each: int = 40) -> list[tuple[str, str, st
         add(pick(hexes, int(rng.integers(16, 65))), 1, one(SECRET_NAMES), q)
         add(pick(hexes, 40), 1, "token", True)
         add(pick(hexes, int(rng.integers(12, 24))), 1, "password")
+        add(pick(hexes[:10] + hexes[10:] * int(rng.integers(1, 4)), int(rng.integers(12, 32))), 1, one(SECRET_NAMES))
         add("AKIA" + pick(upper, 16), 1)
         add(one(("ghp_", "glpat-", "sk-", "xoxb-", "AIza", "hf_")) + pick(mixed, int(rng.integers(20, 40))), 1, one((*SECRET_NAMES, "")), q)
         add(pick(mixed + "+/", int(rng.integers(20, 60))), 1, one(SECRET_NAMES), q)
