@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import LOG2E, dot
-from .scoring import few
+from .scoring import are_few, few
 
 #: Logit of no rows at all: the weighted sum is 0 then.
 NOTHING = -5e4
@@ -25,13 +25,16 @@ def logits(queries: DataFrame, tokens: DataFrame, dim: int, bias: Column | None
     return met.withColumn("logit", (score if bias is None else score + bias) * LOG2E)
 
 
-def states(pairs: DataFrame, by: list[str], dim: int) -> DataFrame:
+def states(pairs: DataFrame, by: list[str], dim: int, few_groups: bool = False) -> DataFrame:
     """Partial state of each group: ``s``, log2 of the summed weights, and ``o``, the weighted mean.
 
     The greatest logit is found first and joined back; both passes are sums and
-    maxima of fixed width that combine before any shuffle, so pairs never move.
+    maxima of fixed width that combine before the shuffle. With ``few_groups``,
+    which the caller has counted, the maxima are broadcast and pairs never
+    move; otherwise pairs are dealt by group once, and summed where they lie.
     """
     top = pairs.groupBy(*by).agg(F.max("logit").alias("__m"))
+    top = F.broadcast(top) if few_groups else top
     w = F.pow(F.lit(2.0), F.col("logit") - F.col("__m"))
     met = pairs.join(top, by).withColumn("__w", w)
     sums = met.groupBy(*by).agg(F.first("__m").alias("__m"), F.sum("__w").alias("__d"), *(F.sum(F.col("__w") * F.col("v")[i]).alias(f"__o{i}") for i in range(dim)))
@@ -64,7 +67,7 @@ def with_empty(attended: DataFrame, queries: DataFrame, by: list[str], dim: int)
 
 def attend(queries: DataFrame, tokens: DataFrame, dim: int, **how) -> DataFrame:
     """``query_id``, ``head``, ``s``, ``o`` over all rows that the mask keeps."""
-    return states(logits(queries, tokens, dim, **how), ["query_id", "head"], dim)
+    return states(logits(queries, tokens, dim, **how), ["query_id", "head"], dim, few_groups=are_few(queries))
 
 
 def explode_o(attended: DataFrame, by: list[str], *more: Column) -> DataFrame:

@@ -199,6 +199,7 @@ def split_plan(pages: DataFrame, grids: DataFrame, n_heads: int = 1) -> DataFram
     ``pages``: ``n_pages`` per sequence, counted by value, so the search is over
     distinct lengths and candidate sizes. If even whole sequences are too many,
     the longest is a chunk; an empty sequence counts as one chunk in the end.
+    Only lengths are looked at: the work is the longest times the different lengths.
     """
     counts = pages.groupBy("n_pages").agg(F.count("*").alias("c"))
     longest = pages.agg(F.greatest(F.max("n_pages"), F.lit(1)).alias("top"))

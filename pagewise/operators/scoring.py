@@ -11,9 +11,14 @@ from ..functions.vectors import cuboid_bound, dot
 BROADCAST_QUERIES = 10_000
 
 
-def few(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """The queries, marked for broadcast where a bounded count shows that they are few."""
-    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
+def are_few(rows: DataFrame, most: int = BROADCAST_QUERIES) -> bool:
+    """Whether there are at most so many rows; no more are read than that takes."""
+    return rows.limit(most + 1).count() <= most
+
+
+def few(rows: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
+    """The rows, marked for broadcast where a bounded count shows that they are few."""
+    return F.broadcast(rows) if are_few(rows, most) else rows
 
 
 def digests(tokens: DataFrame, dim: int, by: tuple[str, ...] = ("page_id", "head")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
+
 
 def top_pages(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "head"), least: bool = False) -> DataFrame:
     """The ``k`` pages of greatest (or least) score of each group with their ``rank`` from 1; ties: the lower page.
@@ -112,3 +114,20 @@ def reuse(selection: DataFrame, layers: DataFrame) -> DataFrame:
     source = F.when(F.col("anchor") == 0, F.col("layer")).otherwise(F.col("anchor"))
     of = layers.select("layer", source.alias("of"))
     return selection.withColumnRenamed("layer", "of").join(F.broadcast(of), "of").drop("of")
+
+
+def gather(recalled: DataFrame, pool: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of recalled pages, from where they are kept; pages that are not there give none."""
+    return pool.join(recalled, on)
+
+
+def pruned_top_rows(queries: DataFrame, tokens: DataFrame, page_scores: DataFrame, dim: int, n_pages: int, k: int) -> DataFrame:
+    """The ``k`` best rows of each query and head among its ``n_pages`` best pages by bound.
+
+    Only rows of those pages are scored. The bound is never under a row's score,
+    so what is found is exact once the k-th row beats the next page's bound.
+    """
+    pages = top_pages(page_scores, n_pages).select("query_id", "head", "page_id")
+    scored = tokens.join(pages.join(queries, ["query_id", "head"]), ["head", "page_id"]).withColumn("score", dot(F.col("q"), F.col("k"), dim))
+    w = Window.partitionBy("query_id", "head").orderBy(F.round("score", 6).desc(), "pos")
+    return scored.select("query_id", "head", "pos", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import metrics, text
+from ..operators.scoring import few
 
 
 def prompts(examples: DataFrame, templates: DataFrame, most_tokens: int, family: str = "") -> DataFrame:
     """``examples`` with ``prompt``: template of the dataset filled in, cut in the middle, in the family's turn format.
 
-    ``templates`` (``dataset``, ``template``) is small by nature and broadcast.
+    ``templates`` (``dataset``, ``template``) is broadcast if a bounded count shows that it is small.
     Tokens are whitespace-delimited. Tasks that answer better without turns get none.
     """
-    met = examples.join(F.broadcast(templates), "dataset")
+    met = examples.join(few(templates, 1000), "dataset")
     filled = text.fill_template(F.col("template"), F.col("context"), F.col("input"))
     words = F.split(filled, " ")
     cut = F.when(F.size(words) > most_tokens, F.array_join(text.truncate_middle(words, most_tokens), " ")).otherwise(filled)

@@ -77,6 +77,41 @@ def causal_prefill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.explode_o(done, ["seq_id", "pos", "head"]).withColumn("o", tidy(F.col("o")))
 
 
+SEQ = """sq AS (SELECT vec_id, CAST(label AS BIGINT) AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+    tk AS (SELECT tok.*, seq_id, pos, n FROM tok JOIN sq USING (vec_id))"""
+
+
+def _ragged(where: str) -> str:
+    return f"""WITH {TOK}, {SEQ}, lg AS (SELECT q.seq_id, q.pos AS qpos, t.pos AS kpos, t.head, {LOGITS} * log2(exp(1)) AS s
+        FROM tk q JOIN tk t ON q.seq_id = t.seq_id AND q.head = t.head AND q.dim = t.dim AND t.pos <= q.pos WHERE {where} GROUP BY ALL),
+    m AS (SELECT seq_id, qpos, head, max(s) AS m FROM lg GROUP BY ALL), w AS (SELECT lg.*, pow(2.0, s - m) AS w, m FROM lg JOIN m USING (seq_id, qpos, head))
+SELECT w.seq_id, w.qpos AS pos, w.head, CAST(t.dim AS INTEGER) AS dim, round(sum(w * t.v) / sum(w), 6) + 0.0 AS o, round(max(m) + log2(sum(w)), 6) + 0.0 AS lse
+FROM w JOIN tk t ON t.seq_id = w.seq_id AND t.pos = w.kpos AND t.head = w.head GROUP BY ALL"""
+
+
+def _of_sequences(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    """The last rows of each sequence over all rows of it up to themselves."""
+    rows = paging.split_heads(sequences(spark, sf_dir).drop("vec_id"), H, D)
+    n = paging.seq_meta(rows.where("head = 0"), "seq_id", P).select("seq_id", "n_rows")
+    q = rows.join(n, "seq_id").where(F.col("pos") >= F.col("n_rows") - last).select("seq_id", "head", F.col("pos").alias("q_pos"), F.col("k").alias("q"))
+    pairs = attention.logits(q, rows, D, on=("seq_id", "head"), keep=F.col("pos") <= F.col("q_pos"))
+    by = ["seq_id", "q_pos", "head"]
+    got = attention.explode_o(attention.states(pairs, by, D), by, F.col("s").alias("lse"))
+    return got.select("seq_id", F.col("q_pos").alias("pos"), "head", "dim", tidy(F.col("o")).alias("o"), tidy(F.col("lse")).alias("lse"))
+
+
+@query(_ragged("q.pos = q.n - 1"))
+def ragged_decode_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of sequences of different lengths, one query row each."""
+    return _of_sequences(spark, sf_dir, 1)
+
+
+@query(_ragged("q.pos >= q.n - 5"))
+def append_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five new rows of each sequence over what was there and each other."""
+    return _of_sequences(spark, sf_dir, 5)
+
+
 def _parts(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     t = tokens(spark, sf_dir)
     pairs = attention.logits(query_rows(t, N), t if keep is None else t.where(keep), D)
@@ -121,7 +156,7 @@ def sparse_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the selected, first and last pages only."""
     t = tokens(spark, sf_dir)
     q = query_rows(t, N).join(select_with_sink_window(spark, sf_dir).drop("kind"), "query_id")
-    return _out(attention.states(attention.logits(q, t, D, on=("head", "page_id")), ["query_id", "head"], D))
+    return _out(attention.states(attention.logits(q, t, D, on=("head", "page_id")), ["query_id", "head"], D, few_groups=True))
 
 
 @query("""SELECT CAST(q AS BIGINT) AS query_id, CAST(h AS INTEGER) AS head, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS o, -50000.0::DOUBLE AS lse FROM range(0, 4) a(q), range(0, 4) b(h), range(0, 16) c(d)""")

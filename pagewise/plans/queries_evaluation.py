@@ -51,6 +51,15 @@ def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.prompts(examples, templates, 128, "mistral").select("doc_id", "prompt")
 
 
+@query(f"""SELECT doc_id, string_split({_case(TEMPLATES, "lang")}, '{{context}}')[1] || '{{context}}' AS first, string_split({_case(TEMPLATES, "lang")}, '{{context}}')[2] AS second FROM documents""")
+def two_stage_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates cut behind the context, so that the question can follow later."""
+    pairs = [F.lit(x) for kv in TEMPLATES.items() for x in kv]
+    d = table(spark, sf_dir, "documents").select("doc_id", F.create_map(*pairs)[F.col("lang")].alias("t"))
+    first, second = text.split_template(F.col("t"))
+    return d.select("doc_id", first.alias("first"), second.alias("second"))
+
+
 @query("""SELECT doc_id, 'internlm' AS family, string_split('<|User|>:' || text || chr(60) || 'eoh>' || chr(10) || '<|Bot|>:', '<eoa>')[1] AS response FROM documents
 UNION ALL SELECT doc_id, 'xgen', replace('Assistant:' || text, 'Assistant:', '') FROM documents""")
 def clean_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

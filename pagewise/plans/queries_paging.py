@@ -103,9 +103,10 @@ def retained_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(s AS BIGINT) AS step, CAST(greatest(2, 10 - s) AS BIGINT) AS n_win,
-    CAST(CASE WHEN greatest(2, 10 - s) = 2 THEN 1 WHEN greatest(2, 10 - s) - 1 >= 2 THEN 2 ELSE greatest(2, 10 - s) - 1 END AS BIGINT) AS n_evict FROM range(0, 21) r(s)""")
+    CAST(16 - 2 - greatest(2, 10 - s) AS BIGINT) AS n_dci, CAST(CASE WHEN greatest(2, 10 - s) = 2 THEN 1 WHEN greatest(2, 10 - s) - 1 >= 2 THEN 2 ELSE greatest(2, 10 - s) - 1 END AS BIGINT) AS n_evict FROM range(0, 21) r(s)""")
 def window_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.range(21).withColumnRenamed("id", "step").withColumn("n_win", paging.window_after(F.col("step"), F.lit(10), WIN, RATIO).cast("long"))
+    s = s.withColumn("n_dci", BUDGET - SINK - F.col("n_win"))
     return s.withColumn("n_evict", paging.pages_evicted(F.col("n_win"), WIN, RATIO).cast("long"))
 
 

@@ -166,6 +166,26 @@ def recall_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.recall_set(now, was, None, ["query_id", "head", "page_id"]).groupBy("query_id", "head").agg(F.count("*").alias("n_recalled"))
 
 
+@query(f"""WITH {STEP} SELECT r.query_id, r.head, r.page_id, t.vec_id % 16 AS slot, t.vec_id, round(t.k, 6) + 0.0 AS k0 FROM rec r JOIN tok t USING (head, page_id) WHERE t.dim = 0""")
+def recall_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, was = _steps(spark, sf_dir)
+    on = ["query_id", "head", "page_id"]
+    rows = selection.gather(selection.recall_set(now, was, None, on), tokens(spark, sf_dir), ["head", "page_id"])
+    return rows.select("query_id", "head", "page_id", paging.slot_of(F.col("pos"), P).alias("slot"), F.col("pos").alias("vec_id"), tidy(F.col("k")[0]).alias("k0"))
+
+
+@query(f"""WITH {SCORES}, pr AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, page_id) AS i FROM sc),
+    ex AS (SELECT p.query_id, p.head, t.vec_id AS pos, round(sum(q.k * t.k), 6) + 0.0 AS score FROM pr p JOIN tok t USING (head, page_id)
+        JOIN tok q ON q.vec_id = p.query_id AND q.head = p.head AND q.dim = t.dim WHERE i <= 8 GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, pos) AS rank FROM ex)
+SELECT query_id, head, CAST(rank AS INTEGER) AS rank, pos, score FROM rk WHERE rank <= 10""")
+def digest_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows sought in the eight pages of greatest bound only."""
+    t = tokens(spark, sf_dir)
+    got = selection.pruned_top_rows(query_rows(t), t, scores(spark, sf_dir), D, 8, 10)
+    return got.withColumn("score", tidy(F.col("score")))
+
+
 @query(f"""WITH {STEP}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY rank) AS i FROM rec),
     e AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY page_id) AS i FROM evi),
     c AS (SELECT query_id, head, count(*) AS n FROM rec GROUP BY ALL),
