@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import octets
+from .common import cut, octets
 
 WINDOW = 10
 #: UTF-8 octets: A-Z in lower case, other ASCII but digits and letters to blanks.
@@ -139,7 +139,7 @@ def _joined(spans: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _merge(spark: SparkSession, parts: list[Column], text_col: str) -> Column:
+def _merge(parts: list[str], text_col: str) -> Column:
     """Blocks' findings for one text as one: items together, words hit in any block once."""
 
     @F.pandas_udf(DIGEST)
@@ -160,14 +160,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """``docs`` with a struct ``out``: ``n_words``, ``n_hit``, ``items``, ``spans``.
 
     Every text is scanned whole, once for each block of ``block_mb`` MB of
-    windows: that bounds what is broadcast at any size of the benchmark, and a
-    usual benchmark is one block, so one automaton. Null and empty texts have
+    windows: a usual benchmark is one block, so one automaton. Of a larger one
+    each block's findings are kept in reliable storage before the next is
+    scanned, so workers hold one automaton at a time. Null and empty texts have
     no words and no hits; null items and items without words match nothing;
     repeated rows stay. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    parts = [hits_column(spark, found, text_col) for found in benchmark_blocks(benchmark, window, block_mb << 20)]
-    return docs.withColumn(out, parts[0] if len(parts) == 1 else _merge(spark, parts, text_col))
+    todo = benchmark_blocks(benchmark, window, block_mb << 20)
+    found, more = next(todo), next(todo, None)
+    if more is None:
+        return docs.withColumn(out, hits_column(spark, found, text_col))
+    held, parts = docs, []
+    while found is not None:
+        parts.append(f"__pw_block_{len(parts)}")
+        held = cut(held.withColumn(parts[-1], hits_column(spark, found, text_col)))
+        found, more = more, next(todo, None)
+    return held.withColumn(out, _merge(parts, text_col)).drop(*parts)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

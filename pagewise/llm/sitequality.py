@@ -87,13 +87,13 @@ def _strength(groups: DataFrame) -> float:
 def training_rows(rows: DataFrame, labels: DataFrame, label_col: str, each: int) -> DataFrame:
     """``x``, ``y`` of at most ``each`` labelled documents a class, by hash of the id.
 
-    Ids whose crc32 as text divides by 5 are held out.
+    Ids whose crc32 as text divides by 5 are held out. Of rows with one id one counts.
     """
     l = labels.select(F.col("doc_id").alias("lid"), F.col(label_col).cast("double").alias("y")).where("lid IS NOT NULL AND y IS NOT NULL")
     l = l.where(F.crc32(F.col("lid").cast("string")) % 5 != 0).groupBy("lid").agg(F.max("y").alias("y"))
     order = F.xxhash64("lid")
     some = l.where("y >= 0.5").orderBy(order, "lid").limit(each).union(l.where("y < 0.5").orderBy(order, "lid").limit(each))
-    return rows.join(F.broadcast(some), F.col("id") == F.col("lid")).select("x", "y")
+    return rows.join(F.broadcast(some), F.col("id") == F.col("lid")).groupBy("lid", "y").agg(F.min("x").alias("x")).select("x", "y")
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label_col: str = "quality", each: int = 3000) -> DataFrame:

@@ -107,7 +107,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
     Labels count only where crc32 of the id as text, modulo 5, is not 0. The
     bound on a class is the documented size of the training sample, taken by
-    hash of the id; the share is of all labels that may be learnt from.
+    hash of the id; the share is of all labels that may be learnt from. Of rows
+    with one id one text counts.
     """
     open_ = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     open_ = open_.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
@@ -115,7 +116,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     order = F.xxhash64("id")
     some = open_.where("y = 1").orderBy(order, "id").limit(each).union(open_.where("y = 0").orderBy(order, "id").limit(each))
     texts = docs.select(F.col("doc_id").alias("id"), octets("text").alias("t")).join(F.broadcast(some), "id")
-    return texts.select(ngram_ids_udf("t").alias("ids"), "y"), ((share[0] or 0) + 0.5) / (share[1] + 1)
+    once = texts.groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    return once.select(ngram_ids_udf("t").alias("ids"), "y"), ((share[0] or 0) + 0.5) / (share[1] + 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: int = 1500) -> Model:

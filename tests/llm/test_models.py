@@ -159,3 +159,16 @@ def test_queries_on_the_tables(spark, sf):
     for q in (queries.op4_site_quality, queries.op8_secret_scan, queries.op10_toxicity):
         assert q(spark, sf).count() == n
     assert PROSE
+
+
+def test_training_rows_are_bounded_by_ids(spark):
+    """An id that a third of all rows repeat counts once."""
+    rows = [(1, f"text {i % 3}") for i in range(300)] + [(i, f"other {i}") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 60)] * 2, LABELS)
+    df = docs(spark, rows)
+    got, share = toxicity.training_rows(df, labels, each=10)
+    assert got.count() <= 20 and 0 < share < 1
+    from pyspark.sql import functions as F
+
+    feats = df.select(F.col("doc_id").alias("id"), F.array(F.lit(1.0)).alias("x"))
+    assert sitequality.training_rows(feats, labels, "toxic", 10).count() <= 20
