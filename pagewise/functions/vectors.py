@@ -71,7 +71,7 @@ def linear(x: Column, matrix: list[list[float]]) -> Column:
 
 
 def ceil_div(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b).cast("long")
+    return F.call_function("div", a + (b - 1), F.lit(b))
 
 
 def power_of_two(n: Column) -> Column:

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 SPAN = 4096
 
 
+def int_div(a: Column, b: int | Column) -> Column:
+    """Whole-number division, exact for all longs."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def page_of(pos: Column, page_size: int) -> Column:
-    return F.floor(pos / page_size).cast("long")
+    return int_div(pos, page_size)
 
 
 def slot_of(pos: Column, page_size: int) -> Column:
@@ -18,7 +23,7 @@ def slot_of(pos: Column, page_size: int) -> Column:
 
 
 def pages_for(rows: Column, page_size: int) -> Column:
-    return F.floor((rows + (page_size - 1)) / page_size).cast("long")
+    return int_div(rows + (page_size - 1), page_size)
 
 
 def last_page_len(rows: Column, page_size: int) -> Column:
@@ -38,7 +43,7 @@ def split_heads(vectors: DataFrame, n_heads: int, head_dim: int, vec: str = "emb
 def kv_head(q_head: Column, n_q_heads: int, n_kv_heads: int) -> Column:
     if n_q_heads % n_kv_heads:
         raise ValueError("query heads must be a multiple of key heads")
-    return F.floor(q_head / (n_q_heads // n_kv_heads)).cast("int")
+    return int_div(q_head, n_q_heads // n_kv_heads).cast("int")
 
 
 def positions(rows: DataFrame, seq: str, order: list[str]) -> DataFrame:
@@ -58,7 +63,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     Sums run within spans of the key, and over spans by their totals, so no
     task orders more than a span or the list of spans.
     """
-    spans = df.withColumn("__span", F.floor(F.col(key) / SPAN))
+    spans = df.withColumn("__span", int_div(F.col(key), SPAN))
     inner = Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     totals = spans.groupBy("__span").agg(F.sum(value).alias("__total"))
     outer = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,13 +109,13 @@ def append(meta: DataFrame, new: DataFrame, page_size: int) -> DataFrame:
 
 
 def bytes_to_pages(octets: Column, page_size: int, n_heads: int, head_dim: int, item: int) -> Column:
-    return F.floor(octets / (2 * page_size * n_heads * head_dim * item)).cast("long")
+    return int_div(octets, 2 * page_size * n_heads * head_dim * item)
 
 
 def layer_policy(spark: SparkSession, n_layers: int, budget: int | None, topk: int | None, n_unlimited: int) -> DataFrame:
     """``layer``, ``budget``, ``topk``; the first layers unlimited (null), an unset top-k half the budget."""
     limited = F.when(F.col("id") >= n_unlimited, F.lit(budget).cast("int"))
-    k = F.when(limited.isNotNull(), F.coalesce(F.lit(topk).cast("int"), F.floor(limited / 2).cast("int")))
+    k = F.when(limited.isNotNull(), F.coalesce(F.lit(topk).cast("int"), int_div(limited, 2).cast("int")))
     return spark.range(n_layers).select(F.col("id").cast("int").alias("layer"), limited.alias("budget"), k.alias("topk"))
 
 
@@ -183,7 +188,7 @@ def contiguous_runs(ids: DataFrame, id_col: str = "id", least: int = 1) -> DataF
     and cut there; pieces that touch across a span's edge are joined by a second
     pass over pieces alone.
     """
-    i = ids.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("span", F.floor(F.col("id") / SPAN))
+    i = ids.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("span", int_div(F.col("id"), SPAN))
     local = i.withColumn("isle", F.col("id") - F.row_number().over(Window.partitionBy("span").orderBy("id")))
     pieces = local.groupBy("span", "isle").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     order = Window.orderBy("a")
