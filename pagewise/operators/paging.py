@@ -135,12 +135,12 @@ def budget_split(n: Column, budget: int, n_sink: int, n_win: int, ratio: int) ->
     place of resident ones, and the window that is left; nothing within the budget."""
     over = n - budget
     off = F.least(over * ratio, n - n_sink - n_win)
-    dci = F.least(off - over, F.lit(budget - n_sink - n_win))
+    indexed = F.least(off - over, F.lit(budget - n_sink - n_win))
     more = over > 0
     return {
         "n_off": F.when(more, off).otherwise(0).cast("long"),
-        "n_dci": F.when(more, dci).otherwise(0).cast("long"),
-        "n_win": F.when(more, budget - dci - n_sink).otherwise(n_win).cast("long"),
+        "n_indexed": F.when(more, indexed).otherwise(0).cast("long"),
+        "n_win": F.when(more, budget - indexed - n_sink).otherwise(n_win).cast("long"),
     }
 
 

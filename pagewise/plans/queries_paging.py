@@ -81,7 +81,7 @@ def reuse_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPLIT = """p AS (SELECT CAST(n AS BIGINT) AS n_pages, CASE WHEN n > 16 THEN least((n - 16) * 2, n - 4) ELSE 0 END AS n_off FROM range(1, 129) r(n)),
-    b AS (SELECT *, CASE WHEN n_pages > 16 THEN least(n_off - (n_pages - 16), 12) ELSE 0 END AS n_dci FROM p)"""
+    b AS (SELECT *, CASE WHEN n_pages > 16 THEN least(n_off - (n_pages - 16), 12) ELSE 0 END AS n_indexed FROM p)"""
 
 
 def _split(spark: SparkSession) -> DataFrame:
@@ -89,7 +89,7 @@ def _split(spark: SparkSession) -> DataFrame:
     return n.withColumns(paging.budget_split(F.col("n_pages"), BUDGET, SINK, WIN, RATIO))
 
 
-@query(f"WITH {SPLIT} SELECT n_pages, CAST(n_off AS BIGINT) AS n_off, CAST(n_dci AS BIGINT) AS n_dci, CAST(CASE WHEN n_pages > 16 THEN 16 - n_dci - 2 ELSE 2 END AS BIGINT) AS n_win FROM b")
+@query(f"WITH {SPLIT} SELECT n_pages, CAST(n_off AS BIGINT) AS n_off, CAST(n_indexed AS BIGINT) AS n_indexed, CAST(CASE WHEN n_pages > 16 THEN 16 - n_indexed - 2 ELSE 2 END AS BIGINT) AS n_win FROM b")
 def budget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark)
 
@@ -103,10 +103,10 @@ def retained_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(s AS BIGINT) AS step, CAST(greatest(2, 10 - s) AS BIGINT) AS n_win,
-    CAST(16 - 2 - greatest(2, 10 - s) AS BIGINT) AS n_dci, CAST(CASE WHEN greatest(2, 10 - s) = 2 THEN 1 WHEN greatest(2, 10 - s) - 1 >= 2 THEN 2 ELSE greatest(2, 10 - s) - 1 END AS BIGINT) AS n_evict FROM range(0, 21) r(s)""")
+    CAST(16 - 2 - greatest(2, 10 - s) AS BIGINT) AS n_indexed, CAST(CASE WHEN greatest(2, 10 - s) = 2 THEN 1 WHEN greatest(2, 10 - s) - 1 >= 2 THEN 2 ELSE greatest(2, 10 - s) - 1 END AS BIGINT) AS n_evict FROM range(0, 21) r(s)""")
 def window_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.range(21).withColumnRenamed("id", "step").withColumn("n_win", paging.window_after(F.col("step"), F.lit(10), WIN, RATIO).cast("long"))
-    s = s.withColumn("n_dci", BUDGET - SINK - F.col("n_win"))
+    s = s.withColumn("n_indexed", BUDGET - SINK - F.col("n_win"))
     return s.withColumn("n_evict", paging.pages_evicted(F.col("n_win"), WIN, RATIO).cast("long"))
 
 

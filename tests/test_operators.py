@@ -50,7 +50,7 @@ def test_pages_at_their_edges(spark, page_size):
 def test_budget_split(spark):
     for n, want in ((20, (8, 4, 10)), (64, (60, 12, 2)), (16, (0, 0, 2)), (17, (2, 1, 13))):
         c = paging.budget_split(F.lit(n), 16, 2, 2, 2)
-        assert tuple(one(spark, c[k]) for k in ("n_off", "n_dci", "n_win")) == want
+        assert tuple(one(spark, c[k]) for k in ("n_off", "n_indexed", "n_win")) == want
 
 
 def test_windows_and_slots(spark):
