@@ -99,6 +99,7 @@ def truncate_middle(words: Column, most: int) -> Column:
 
 def chat_prompt(prompt: Column, family: str) -> Column:
     """The prompt in the turn format of a model family; as it is for others."""
+    # What each family's format puts before and after a user's turn.
     around = {
         "llama-2": ("[INST]", "[/INST]"),
         "mistral": ("[INST]", "[/INST]"),

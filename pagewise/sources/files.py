@@ -22,9 +22,10 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """All *.jsonl of a run's folder, with ``dataset`` from the file's name up to its first dot."""
-    rows = spark.read.schema(model.PREDICTION).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").json(folder)
-    return rows.withColumn("dataset", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/]*)?/?(?:part-[^/]*)?$", 1))
+    """All JSON lines of a run's folder, single files or folders as Spark writes them, with
+    ``dataset`` from the name up to its first dot."""
+    rows = spark.read.schema(model.PREDICTION).option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(folder)
+    return rows.withColumn("dataset", F.regexp_extract(F.input_file_name(), r"/([^/.]+)[^/]*(?:/part-[^/]*)?$", 1))
 
 
 def settings(spark: SparkSession, path: str, value: T.DataType | None = None) -> DataFrame:
@@ -87,6 +88,7 @@ def blocks(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.posexplode(blocks_udf("text")).alias("block", "b")).select("path", "block", "b.*")
 
 
+# The texts of a pass-key case and the range of keys.
 FILLER = "The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again."
 TASK = "There is an important info hidden inside a lot of irrelevant text. Find it and memorize them. I will quiz you about the important information there."
 QUESTION = "What is the pass key? The pass key is"
