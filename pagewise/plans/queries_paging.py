@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ceil_div, power_of_two
 from ..operators import paging
+from ..streaming.append import resident_pages, run_available
 from .registry import query, table
 
 P, BUDGET, SINK, WIN, RATIO = 16, 16, 2, 2, 2
@@ -174,10 +178,13 @@ def event_window_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("user_id", "page_id", kind.alias("kind"))
 
 
-@query("""WITH m AS (SELECT user_id, (count(*) + 3) // 4 AS n FROM events GROUP BY user_id),
+SLOTS = """WITH m AS (SELECT user_id, (count(*) + 3) // 4 AS n FROM events GROUP BY user_id),
     s AS (SELECT user_id, n, i, n - 8 AS ev, i - 5 AS j FROM m, range(0, least(n, 8)) r(i)),
     l AS (SELECT *, ev - 1 - (((ev - 1 - j) % 2) + 2) % 2 AS last FROM s)
-SELECT user_id, CAST(i AS BIGINT) AS slot, CAST(CASE WHEN ev > 0 AND i = 7 THEN n - 1 WHEN ev > 0 AND j BETWEEN 0 AND 1 AND last >= 0 THEN 7 + last ELSE i END AS BIGINT) AS page_id FROM l""")
+SELECT user_id, CAST(i AS BIGINT) AS slot, CAST(CASE WHEN ev > 0 AND i = 7 THEN n - 1 WHEN ev > 0 AND j BETWEEN 0 AND 1 AND last >= 0 THEN 7 + last ELSE i END AS BIGINT) AS page_id FROM l"""
+
+
+@query(SLOTS)
 def event_resident_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window of three pages, so that two slots take turns."""
     return paging.resident_slots(_event_meta(spark, sf_dir), EVENT_BUDGET, 3).withColumnRenamed("seq_id", "user_id")
@@ -188,3 +195,16 @@ SELECT user_id, n AS n_pages, n >= 8 AND l = 4 AS due FROM m""")
 def event_offload_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _event_meta(spark, sf_dir)
     return m.select(F.col("seq_id").alias("user_id"), "n_pages", paging.offload_due(F.col("n_pages"), F.col("last_page_len"), EVENT_BUDGET, EVENT_P).alias("due"))
+
+
+@query(SLOTS)
+def event_stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, by state per user; its files go to the session's shared folder."""
+    e = table(spark, sf_dir, "events")
+    at = f"{sf_dir}/events.parquet"
+    files = [f for f in e.inputFiles() if not f.rstrip("/").endswith("events.parquet")]
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(at if files else f"{sf_dir}/events*.parquet")
+    states = resident_pages(stream.select(F.col("user_id").alias("seq_id")), EVENT_P, EVENT_BUDGET, n_win=3)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    done = run_available(states, f"{shared.rstrip('/')}/events-{uuid.uuid4().hex}")
+    return done.select(F.col("seq_id").alias("user_id"), F.posexplode("slots").alias("slot", "page_id")).withColumn("slot", F.col("slot").cast("long"))

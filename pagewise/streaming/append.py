@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "n_rows long, n_win long, evicted long, slots array<long>"
@@ -52,3 +53,21 @@ def resident_pages(rows: DataFrame, page_size: int, budget: int, n_win: int = 2,
         yield pd.DataFrame([(key[0], n, -(-n // page_size), (n - 1) % page_size + 1 if n else 0, win, evicted, slots)], columns=["seq_id", "n_rows", "n_pages", "last_page_len", "n_win", "evicted", "slots"])
 
     return rows.groupBy("seq_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_available(updates: DataFrame, folder: str) -> DataFrame:
+    """Takes what the stream has now through to the end, and returns each sequence's last state.
+
+    Updates are written as Parquet under ``folder``, a batch in a folder of its
+    own that a repeated batch overwrites, with the query's checkpoint beside them;
+    a restart with the same folder goes on where the last run ended.
+    """
+    spark = updates.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    query = updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(OUTPUT + ", batch long").parquet(f"{folder}/updates")
+    return rows.groupBy("seq_id").agg(F.max_by(F.struct("n_rows", "n_pages", "last_page_len", "n_win", "evicted", "slots"), "batch").alias("s")).select("seq_id", "s.*")
