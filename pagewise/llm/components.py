@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     passes what the members of a tree found on to the tree's root, and then
     follows roots one step further, so chains shorten by half or better a round.
     All steps are minima with map-side combination and joins on unique sides;
-    a hub's edges are never in one task together. No edges: no rows. Edges with
+    a hub's edges are never in one task together. Minima are cut off before they
+    are joined back: only then can Spark split the rows of one large tree. No edges: no rows. Edges with
     a null end are left out.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         near = both.join(roots.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("near"))
         step = roots.join(near, "x").select("x", "root", F.least("root", "near").alias("found"))
-        hook = step.groupBy("root").agg(F.min("found").alias("up")).where("up < root")
+        hook = cut(step.groupBy("root").agg(F.min("found").alias("up")).where("up < root"))
         moved = step.join(hook, "root", "left").select("x", F.least("found", "up").alias("root"), F.col("root").alias("was"))
         up = moved.select(F.col("x").alias("root"), F.col("root").alias("above")).where("above < root")
         after = cut(moved.join(up, "root", "left").select("x", F.coalesce("above", "root").alias("root"), "was"))

@@ -133,10 +133,12 @@ def with_components(rows: DataFrame, distance: int = 2) -> DataFrame:
     """``rows`` (``id``, ``fp`` and others) with ``root`` (the least fingerprint reached) and ``component``."""
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(near_fingerprints(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
-    tree = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = tree.groupBy("root").agg(F.min("least").alias("component"))
-    named = tree.select("fp", "root").join(least, "root").select("fp", "root", "component")
-    return rows.join(named, "fp")
+    linked = cut(roots.join(fps, "fp"))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
+    of = linked.join(least, "root").select("fp", "root", "component")
+    alone = F.col("root").isNull()
+    named = fps.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component")).alias("component"))
+    return rows.join(cut(named), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
