@@ -198,3 +198,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark, out="__pw_hits").where("__pw_hits.n_hit = 0").drop("__pw_hits")
 
 
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    p AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t FROM b, range(1, greatest(len(w) - 9, 1) + 1) r(i) WHERE len(w) > 0),
+    d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    v AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM d, (SELECT DISTINCT k FROM p), range(1, len(w) - k + 2) r(i)),
+    h AS (SELECT doc_id, i, v.k, item FROM v JOIN p ON v.k = p.k AND v.t = p.t),
+    n AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(0, k) r(j) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": warc.ORACLE, "op6_source_mixing": mixing.ORACLE}
+    return {"op2_warc_round_trip": warc.ORACLE, "op5_benchmark_decontamination": decontamination.ORACLE, "op6_source_mixing": mixing.ORACLE}

@@ -1,14 +1,12 @@
 import random
 
-import pytest
+import corpus_pipeline
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from .helpers import DOCS  # noqa: E402
-from .test_decontamination import brute as hits  # noqa: E402
-from .test_mixing import brute as mix_targets  # noqa: E402
-from .test_mixing import size  # noqa: E402
-from .test_simhash import expected as components  # noqa: E402
+from .helpers import DOCS
+from .test_decontamination import brute as hits
+from .test_mixing import brute as mix_targets
+from .test_mixing import size
+from .test_simhash import expected as components
 
 
 def tables(spark, at):
