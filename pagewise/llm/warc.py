@@ -193,12 +193,13 @@ def _plan(pages: DataFrame, least: int) -> DataFrame:
     the rows, is the response. The number that tells such rows apart follows
     from their place in the input files, so both sides of the join agree on it.
     Only digests that occur twice are joined: one row for each, so a payload
-    that a third of the rows share meets one row.
+    that a third of the rows share meets one row; they are cut off first, so
+    that Spark can split its rows over tasks.
     """
     rows = pages.select("page_id", "url", octets("html").alias("html"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", F.sha1("html"))
     best = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("n"))
-    best = best.where("n > 1").select(F.col("digest").alias("of"), "best")
+    best = cut(best.where("n > 1").select(F.col("digest").alias("of"), "best"))
     met = rows.join(best, (F.col("digest") == F.col("of")) & (F.octet_length("html") >= least), "left")
     revisit = F.col("of").isNotNull() & (F.col("best.row") != F.col("row"))
     return met.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("refers_to"))
