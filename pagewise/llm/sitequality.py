@@ -125,7 +125,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, l
     site = paths.alias("a").join(small(hosts.withColumnRenamed("host", "of"), BROADCAST_SITES), F.col("host").eqNullSafe(F.col("of")))
     site = site.select("host", "path", "n", "s", "ss", "hn", "hs", "parts")
     k_path = _strength(site.select("n", "s", "ss", F.col("hn").alias("pn"), F.col("hs").alias("ps"), "parts"))
-    site = site.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "hn", "hs")
+    site = cut(site.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "hn", "hs"))
     met = p.join(small(site, BROADCAST_SITES), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     host_mean = (F.col("hs") - F.col("p") + k_host * mean) / (F.col("hn") - 1 + k_host)
     path_mean = (F.col("s") - F.col("p") + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)
