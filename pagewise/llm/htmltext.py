@@ -22,7 +22,7 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav aside footer form menu button dialog search fieldset label".split())
 #: Class and id words of what surrounds an article.
-AROUND = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus replies reply respond widget widgets toolbar pagination pager login".split())
+AROUND = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus replies reply respond widget widgets toolbar pagination pager login search copyright skip adsbygoogle topbar".split())
 #: Words beside which AROUND says what a page has, not what an element is.
 ABOUT = frozenset("has with without no post entry article single page content main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -69,6 +69,8 @@ def _around(name: str, attributes: str, in_article: bool) -> bool:
         if key in ("class", "id"):
             for token in value.split():
                 words = re.split("[^a-z0-9]+", token)
+                if "header" in words and not in_article and name not in ("h1", "h2", "h3"):
+                    return True
                 if not AROUND.isdisjoint(words) and (ABOUT.isdisjoint(words) or words[-1] in ("comments", "comment", "ad", "ads", "nav", "navigation", "footer", "sidebar", "share", "related")) and words[0] not in ("has", "with", "no", "without"):
                     return True
     return "style" in attributes.lower() and HIDDEN.search(attributes) is not None

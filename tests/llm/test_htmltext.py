@@ -24,6 +24,13 @@ def test_without_an_article_element():
     assert h.main_text(page).split("\n") == ["Head", long.strip(), "Short one.", long.strip()]
 
 
+def test_furniture_by_name():
+    inner = "<h1>Head</h1><div class='entry-header'><p>By someone</p></div><p>Text of it.</p>"
+    for around in ("<div id='header'>Site</div>", "<div class='site-header'>Site</div>", "<div class='search-box'>Find</div>", "<ul class='left-nav'><li>x</ul>", "<p class='advertisement'>Buy</p>", "<ins class='adsbygoogle'>Buy</ins>", "<div role='banner'>x</div>", "<div style='display: none'>x</div>", "<div class='related-posts'><p>More</div>", "<div class='post-comments'><p>I agree</div>"):
+        assert h.main_text(f"<body>{around}<article class='post'>{inner}</article>{around}</body>") == "Head\nBy someone\nText of it.", around
+    assert h.main_text(f"<body class='has-sidebar'><article class='post no-comments'>{inner}<div class='post-comments'>I agree</div></article>") == "Head\nBy someone\nText of it."
+
+
 def test_broken_and_empty_pages():
     assert h.main_text("") == "" and h.main_text("<html><body></body>") == ""
     assert h.main_text("<article><p>a < b and c</article>") == "a < b and c"
