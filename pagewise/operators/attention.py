@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import LOG2E, dot
+from ..functions.vectors import LOG2E, array_of, dot
 from .scoring import are_few, few
 
 #: Logit of no rows at all: the weighted sum is 0 then.
@@ -21,7 +21,7 @@ def logits(queries: DataFrame, tokens: DataFrame, dim: int, bias: Column | None
     """Query and row pairs on the same head with base-2 ``logit``; ``keep`` masks rows out."""
     met = tokens.join(few(queries), list(on))
     met = met if keep is None else met.where(keep)
-    score = dot(F.col("q"), F.col("k"), dim) / math.sqrt(dim)
+    score = dot("q", "k", dim) / math.sqrt(dim)
     return met.withColumn("logit", (score if bias is None else score + bias) * LOG2E)
 
 
@@ -37,16 +37,16 @@ def states(pairs: DataFrame, by: list[str], dim: int, few_groups: bool = False)
     top = F.broadcast(top) if few_groups else top
     w = F.pow(F.lit(2.0), F.col("logit") - F.col("__m"))
     met = pairs.join(top, by).withColumn("__w", w)
-    sums = met.groupBy(*by).agg(F.first("__m").alias("__m"), F.sum("__w").alias("__d"), *(F.sum(F.col("__w") * F.col("v")[i]).alias(f"__o{i}") for i in range(dim)))
-    return sums.select(*by, (F.col("__m") + F.log2("__d")).alias("s"), F.array(*(F.col(f"__o{i}") / F.col("__d") for i in range(dim))).alias("o"))
+    sums = met.groupBy(*by).agg(F.first("__m").alias("__m"), F.sum("__w").alias("__d"), *(F.expr(f"sum(__w * v[{i}]) AS __o{i}") for i in range(dim)))
+    return sums.select(*by, (F.col("__m") + F.log2("__d")).alias("s"), array_of("__o{i} / __d", dim).alias("o"))
 
 
 def merge_states(parts: DataFrame, by: list[str], dim: int) -> DataFrame:
     """Any number of states of a group as one."""
     top = parts.groupBy(*by).agg(F.max("s").alias("__m"))
     met = parts.join(top, by).withColumn("__w", F.pow(F.lit(2.0), F.col("s") - F.col("__m")))
-    sums = met.groupBy(*by).agg(F.first("__m").alias("__m"), F.sum("__w").alias("__d"), *(F.sum(F.col("__w") * F.col("o")[i]).alias(f"__o{i}") for i in range(dim)))
-    return sums.select(*by, (F.col("__m") + F.log2("__d")).alias("s"), F.array(*(F.col(f"__o{i}") / F.col("__d") for i in range(dim))).alias("o"))
+    sums = met.groupBy(*by).agg(F.first("__m").alias("__m"), F.sum("__w").alias("__d"), *(F.expr(f"sum(__w * o[{i}]) AS __o{i}") for i in range(dim)))
+    return sums.select(*by, (F.col("__m") + F.log2("__d")).alias("s"), array_of("__o{i} / __d", dim).alias("o"))
 
 
 def merge_two(a: DataFrame, b: DataFrame, by: list[str], dim: int) -> DataFrame:

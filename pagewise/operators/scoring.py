@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cuboid_bound, dot
+from ..functions.vectors import array_of, cuboid_bound, dot
 
 #: Query rows that are sent to every task; more are joined by shuffle on the head.
 BROADCAST_QUERIES = 10_000
@@ -26,16 +26,17 @@ def digests(tokens: DataFrame, dim: int, by: tuple[str, ...] = ("page_id", "head
 
     One row per group with fixed-width partial maxima, so sums combine before the shuffle.
     """
-    aggs = [f(F.col("k")[i]).alias(f"{n}{i}") for n, f in (("h", F.max), ("l", F.min)) for i in range(dim)]
-    g = tokens.groupBy(*by).agg(*aggs)
-    return g.select(*by, F.array(*(f"h{i}" for i in range(dim))).alias("hi"), F.array(*(f"l{i}" for i in range(dim))).alias("lo"))
+    return _extremes(tokens, dim, by, "k", "k")
+
+
+def _extremes(rows: DataFrame, dim: int, by: tuple[str, ...], hi: str, lo: str) -> DataFrame:
+    g = rows.groupBy(*by).agg(*(F.expr(f"max({hi}[{i}]) AS h{i}") for i in range(dim)), *(F.expr(f"min({lo}[{i}]) AS l{i}") for i in range(dim)))
+    return g.select(*by, array_of("h{i}", dim).alias("hi"), array_of("l{i}", dim).alias("lo"))
 
 
 def merge_digests(old: DataFrame, new: DataFrame, dim: int, by: tuple[str, ...] = ("page_id", "head")) -> DataFrame:
     """Digests of pages after rows were added, from both parts' digests."""
-    both = old.unionByName(new)
-    g = both.groupBy(*by).agg(*(F.max(F.col("hi")[i]).alias(f"h{i}") for i in range(dim)), *(F.min(F.col("lo")[i]).alias(f"l{i}") for i in range(dim)))
-    return g.select(*by, F.array(*(f"h{i}" for i in range(dim))).alias("hi"), F.array(*(f"l{i}" for i in range(dim))).alias("lo"))
+    return _extremes(old.unionByName(new), dim, by, "hi", "lo")
 
 
 def page_scores(queries: DataFrame, pages: DataFrame, dim: int) -> DataFrame:
@@ -45,13 +46,13 @@ def page_scores(queries: DataFrame, pages: DataFrame, dim: int) -> DataFrame:
     queries are broadcast, so digests are neither moved nor sorted.
     """
     q = few(queries.select("query_id", "head", "q"))
-    return pages.join(q, "head").select("query_id", "page_id", "head", cuboid_bound(F.col("q"), F.col("hi"), F.col("lo"), dim).alias("score"))
+    return pages.join(q, "head").select("query_id", "page_id", "head", cuboid_bound("q", "hi", "lo", dim).alias("score"))
 
 
 def exact_scores(queries: DataFrame, tokens: DataFrame, dim: int) -> DataFrame:
     """Dot products of queries and rows on the same head."""
     q = few(queries.select("query_id", "head", "q"))
-    return tokens.join(q, "head").withColumn("score", dot(F.col("q"), F.col("k"), dim))
+    return tokens.join(q, "head").withColumn("score", dot("q", "k", dim))
 
 
 def group_mean(scores: DataFrame, group: int) -> DataFrame:

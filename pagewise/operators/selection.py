@@ -128,6 +128,6 @@ def pruned_top_rows(queries: DataFrame, tokens: DataFrame, page_scores: DataFram
     so what is found is exact once the k-th row beats the next page's bound.
     """
     pages = top_pages(page_scores, n_pages).select("query_id", "head", "page_id")
-    scored = tokens.join(pages.join(queries, ["query_id", "head"]), ["head", "page_id"]).withColumn("score", dot(F.col("q"), F.col("k"), dim))
+    scored = tokens.join(pages.join(queries, ["query_id", "head"]), ["head", "page_id"]).withColumn("score", dot("q", "k", dim))
     w = Window.partitionBy("query_id", "head").orderBy(F.round("score", 6).desc(), "pos")
     return scored.select("query_id", "head", "pos", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)

@@ -65,7 +65,7 @@ class Query:
         """Upper bounds for pages of the query's own sequence."""
         dim = self.store.config.head_dim
         q = scoring.few(self.queries.select("query_id", "seq_id", "head", "q"))
-        score = scoring.cuboid_bound(F.col("q"), F.col("hi"), F.col("lo"), dim).alias("score")
+        score = scoring.cuboid_bound("q", "hi", "lo", dim).alias("score")
         return self.store.digests().join(q, ["seq_id", "head"]).select("query_id", "seq_id", "page_id", "head", score)
 
     def select(self, k: int | None = None) -> Query:
