@@ -236,10 +236,10 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", p["k"].alias("k"), F.to_json(p).alias("props"))
 
 
-@query("""WITH s AS (SELECT doc_id, CAST(unnest(regexp_extract_all(substr(text, 1, 400), '[A-Za-z]')) AS VARCHAR) AS c FROM documents)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT lower(c)) AS BIGINT) AS kinds FROM s GROUP BY doc_id""")
+@query("""WITH w AS (SELECT doc_id, lang, string_split(lower(text), ' ') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS kinds, w[1] AS first, w[-1] AS last, list_contains(w, 'the') AS has_the FROM w""")
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters among the first 400 characters, as array expressions."""
-    letters = F.regexp_extract_all(F.substring("text", 1, 400), F.lit("([A-Za-z])"), 1)
-    d = table(spark, sf_dir, "documents").select("doc_id", letters.alias("l")).where(F.size("l") > 0)
-    return d.select("doc_id", F.size("l").cast("long").alias("n"), F.size(F.array_distinct(F.transform("l", F.lower))).cast("long").alias("kinds"))
+    w = F.split(F.lower("text"), " ")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    ends = (F.element_at(w, 1).alias("first"), F.element_at(w, -1).alias("last"))
+    return d.select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("kinds"), *ends, F.array_contains(w, "the").alias("has_the"))

@@ -120,16 +120,16 @@ def round_robin_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("slot", paging.round_robin_slot(BUDGET, F.col("n_win"), F.col("step"), SINK).cast("long"))
 
 
-@query("""WITH i AS (SELECT event_id AS id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 3), r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM i)
+@query("""WITH i AS (SELECT event_id AS id FROM events WHERE value < 20), r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM i)
 SELECT min(id) AS start_id, count(*) AS n FROM r GROUP BY g HAVING count(*) >= 3""")
 def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    free = table(spark, sf_dir, "events").where("event_id % 7 <> 0 AND event_id % 11 <> 3")
+    free = table(spark, sf_dir, "events").where("value < 20")
     return paging.contiguous_runs(free, "event_id", 3)
 
 
-@query("SELECT CAST(i AS BIGINT) AS id FROM range(0, 2500) r(i) WHERE i NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
+@query("SELECT CAST(i AS BIGINT) AS id FROM range(0, 2500) r(i) WHERE i NOT IN (SELECT vec_id FROM embeddings WHERE label < 6)")
 def free_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.free_ids(spark, 2500, table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0"), "vec_id")
+    return paging.free_ids(spark, 2500, table(spark, sf_dir, "embeddings").where("label < 6"), "vec_id")
 
 
 @query("""SELECT CAST(l AS INTEGER) AS layer, CASE WHEN l >= 2 THEN 16 END AS budget, CASE WHEN l >= 2 THEN 8 END AS topk,
