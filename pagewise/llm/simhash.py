@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, octets
+from .common import cut, octets, small
 from .components import connected_components
 
 BITS = 64
@@ -20,6 +20,16 @@ BITS = 64
 PAIR_UP_TO = 24
 #: Shingles whose bits are held unpacked at a time.
 BLOCK = 1 << 15
+#: A text's minima come in bands; of two texts with Jaccard 0.8 no band is equal with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
+BANDS, ROWS = 32, 4
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+#: Shingles whose images under all hashes are held at a time.
+MIN_BLOCK = 1 << 11
+#: Bits of a text's parities, which tell most unlike pairs without their sets.
+PARITIES = 1024
+#: Up to so many texts to compare are broadcast, so that the others are not shuffled.
+FEW = 100_000
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -47,6 +57,67 @@ def fingerprint_udf(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype="uint64").astype("int64")
 
 
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The different XXH64 of a text's shingles, ascending; fewer words than ``width`` make one shingle."""
+    width = min(width, len(words))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype="<u8"))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key per band of minima; an empty set has none."""
+    if not len(hashes):
+        return []
+    parts = [(hashes[i : i + MIN_BLOCK, None] * TIMES + PLUS).min(axis=0) for i in range(0, len(hashes), MIN_BLOCK)]
+    least = np.min(parts, axis=0).reshape(BANDS, ROWS)
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least)]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of each residue of the hashes: whether their count is odd, as signed longs.
+
+    Each hash that only one of two sets holds changes one bit, so at most as many
+    bits differ as hashes: a bound that no pair within a difference exceeds.
+    """
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _words(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+SKETCH = T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
+
+
+def sketch_column(text: Column, width: int) -> Column:
+    """Of a text: hash of its words in order, number of different shingles, keys of its bands, parities."""
+
+    @F.pandas_udf(SKETCH)
+    def sketch(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            words = _words(t)
+            hashes = shingle_set(words, width)
+            rows.append((_signed(xxhash.xxh64_intdigest(b" ".join(words))), len(hashes), band_keys(hashes), parities(hashes)))
+        return pd.DataFrame(rows, columns=SKETCH.names)
+
+    return sketch(text)
+
+
+@F.pandas_udf(T.LongType())
+def words_udf(text: pd.Series) -> pd.Series:
+    return pd.Series([_signed(xxhash.xxh64_intdigest(b" ".join(_words(t)))) for t in text], dtype="int64")
+
+
+def set_column(text: Column, width: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def shingled(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(_words(t), width).view("<i8") for t in text], dtype=object)
+
+    return shingled(text)
+
+
 def _masks(segments: int) -> list[int]:
     """Of each segment: its bits, as a signed 64-bit number."""
     edges = [BITS * i // segments for i in range(segments + 1)]
@@ -141,16 +212,91 @@ def with_components(rows: DataFrame, distance: int = 2) -> DataFrame:
     return rows.join(cut(named), "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
+def _least_and_greatest(a: str, na: str, b: str, nb: str) -> list[Column]:
+    """A pair, its lesser node first, and the sizes of its sets."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.least(na, nb).alias("low"), F.greatest(na, nb).alias("high")]
+
+
+def similar_texts(docs: DataFrame, sketches: DataFrame, similarity: float = 0.8, width: int = 5, text_col: str = "text") -> DataFrame:
+    """Edges ``a``, ``b`` that connect what texts whose sets of shingles have at least this Jaccard similarity connect.
+
+    ``sketches``: the columns of ``sketch_column``, one row per ``t``. Texts that share a
+    band meet, and every pair that meets is decided on the whole sets, unless sizes or
+    parities show that these differ in too much. Bands of
+    up to ``PAIR_UP_TO`` texts pair all of them. In larger ones each text first
+    meets one text only, another one in each band; after that all pairs of such
+    a band are made that are not connected by then, so no link is lost, and a
+    group of near copies makes rows in proportion to its members.
+    """
+    close = F.col("low") >= similarity * F.col("high") - 1e-9
+    held = sketches.where("n > 0").select("t", "n", F.explode("keys").alias("key"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    held = cut(held.join(sizes, "key").select("key", "t", "n", "size"))
+    member = F.struct("t", "n")
+    paired = (
+        held.where(F.col("size") <= PAIR_UP_TO)
+        .groupBy("key")
+        .agg(F.collect_list(member).alias("all"))
+        .select("all", F.explode("all").alias("x"))
+        .select("x", F.explode("all").alias("y"))
+        .where("x.t < y.t")
+        .select(*_least_and_greatest("x.t", "x.n", "y.t", "y.n"))
+    )
+    large = held.where(F.col("size") > PAIR_UP_TO)
+    first = cut(large.groupBy("key").agg(F.min(F.struct(F.xxhash64("t", "key").alias("o"), "t", "n")).alias("first")))
+    star = large.join(first, "key").where("t <> first.t").select(*_least_and_greatest("t", "n", "first.t", "first.n"))
+    odd = sketches.select("t", "odd")
+    texts = docs.select(octets(text_col).alias("text")).withColumn("t", words_udf("text"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES // 64)])
+        both = pairs.join(odd.select(F.col("t").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("t").alias("b"), F.col("odd").alias("ob")), "b")
+        # Of sizes m and n, similar sets differ in (m + n) * (1 - similarity) / (1 + similarity) at most.
+        pairs = cut(both.where(apart <= (F.col("low") + F.col("high")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b"))
+        met = cut(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct())
+        sets = cut(texts.join(small(met, FEW), "t", "left_semi").select("t", set_column(F.col("text"), width).alias("set")).dropDuplicates(["t"]))
+        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return cut(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"))
+
+    edges = alike(paired.union(star).where(close).distinct())
+    roots = connected_components(edges).withColumnRenamed("node", "t")
+    placed = large.join(roots, "t", "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    placed = cut(placed.join(apart, "key"))
+    x, y = (placed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root"))) for side in "xy")
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root"))).select(*_least_and_greatest("x_t", "x_n", "y_t", "y_n")).where(close).distinct()
+    return edges.union(alike(rest))
+
+
+def _joined(rows: DataFrame, sketches: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int) -> DataFrame:
+    """``rows`` (``root`` and ``t`` among others) with the roots that links of similar texts connect as one."""
+    sketches = cut(sketches.groupBy("t").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")))
+    similar = similar_texts(docs, sketches, similarity, width, text_col)
+    of = cut(rows.select("t", "root").distinct())
+    # A text of its words only has one fingerprint, so one root.
+    ends = similar.join(of.select(F.col("t").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("t").alias("b"), F.col("root").alias("rb")), "b")
+    above = cut(connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return rows.drop("t").join(above, "root", "left").withColumn("root", F.coalesce("above", "root")).drop("above")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, similarity: float | None = None, width: int = 5) -> DataFrame:
     """Of each group of near-duplicates the row with the least id (of several: by hash of the row).
 
+    Links are fingerprints within ``distance`` and, with a ``similarity``, also
+    texts whose sets of shingles of ``width`` words have that Jaccard similarity.
     Rows that are equal in every column count as one. Columns stay as they are.
     """
     names = docs.columns
     whole = F.xxhash64(*(F.col(f"`{c}`") for c in names))
-    rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(octets(text_col)).alias("fp"), whole.alias("row")))
+    of = [F.col(id_col).alias("id"), fingerprint_udf(octets(text_col)).alias("fp"), whole.alias("row")]
+    if similarity is None:
+        rows = with_components(cut(docs.select(*of)), distance)
+    else:
+        rows = cut(docs.select(*of, sketch_column(octets(text_col), width).alias("s")).select("id", "fp", "row", "s.*"))
+        rows = _joined(with_components(rows.drop("n", "keys", "odd"), distance), rows, docs, text_col, similarity, width)
     order = F.struct(F.col("id").isNull(), "id", "row")
-    best = with_components(rows, distance).groupBy("root").agg(F.min(order).alias("best"))
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
     best = best.select(F.col("best.id").alias("__pw_best_id"), F.col("best.row").alias("__pw_best_row"))
     marked = docs.withColumn("__pw_row", whole).withColumn("__pw_id", F.col(id_col))
     same = F.col("__pw_id").eqNullSafe(F.col("__pw_best_id")) & (F.col("__pw_row") == F.col("__pw_best_row"))

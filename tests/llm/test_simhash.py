@@ -133,3 +133,55 @@ def test_query_is_brute_force_on_the_tables(spark, sf):
     got = queries.op9_simhash_near_duplicates(spark, sf).collect()
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == sorted((i, f"{f:016x}", c) for i, f, c in expected(rows))
+
+
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_kept(rows, similarity=0.8):
+    """Least ids of what fingerprints within 2 bits, or Jaccard similarity, connect."""
+    fps, sets = [brute_fingerprint(t) for _, t in rows], [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 2:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return sorted({rows[find(i)][0] for i in range(len(rows))})
+
+
+def test_similar_texts_go_at_any_distance(spark):
+    """Near copies beyond 2 bits, a group too large to pair up, and a template that many unlike texts share."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n, edits in ((1, 0), (8, 3), (60, 2), (40, 4)):
+        base = rng.choices(words, k=150)
+        for _ in range(n):
+            t = list(base)
+            for _ in range(rng.randint(0, edits)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(t)
+    base = rng.choices(words, k=120)
+    texts += [base + rng.choices(words, k=45) for _ in range(50)]
+    texts += [["a", "b"], ["A", "b"], ["a", "c"], []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, rows, clash=True), similarity=0.8).collect())
+    assert got == brute_kept(rows)
+    assert len(got) < len(simhash.keep_one(docs(spark, rows)).collect())
+
+
+def test_pipeline_stage_drops_near_copies_of_the_table(spark, sf):
+    import corpus_pipeline
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()) == brute_kept(rows)
