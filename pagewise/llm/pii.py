@@ -103,7 +103,6 @@ A_DOT = rf"(?:{OPEN}(?:{DOTS}|\.){CLOSE}|[ \t]{{1,3}}(?:{DOTS})[ \t]{{1,3}})"
 # Letters that stand for a digit beside digits.
 LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[0-9 .()-])|(?<=[0-9 .()+-])[OoIl](?=[0-9])|(?<=[0-9])[OoIl](?![A-Za-z0-9])|(?<=[0-9]\.)[OoIl](?![A-Za-z0-9])")
-BESIDE_DIGIT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
 # Last labels of the host names that addresses in prose end in, less English words.
 TOP = "com|org|net|edu|gov|mil|int|info|io|co|de|fr|es|uk|eu|nl|ch|pt|pl|dk|fi|ie|ca|mx|ar|br|au|nz|jp|cn|ru|dev|app|ai|biz|example"
 #: As a bare word, "at" is a sign only before host labels with spelled dots and a last label of these.
@@ -113,10 +112,6 @@ AT = re.compile(
     re.I,
 )
 DOT = re.compile(rf"{A_DOT}|[ \t]\.[ \t]?(?=(?:{TOP})(?![A-Za-z0-9-]))", re.I)
-#: Of these a text holds one at least if it has an at or dot in disguise.
-SIGNS = (*DOTS.split("|"), "arroba", " @", "@ ", *(f"{a}{b}{c}" for a in "[({<" for b in ("", " ") for c in ("at", "@", ".")))
-
-
 class Tape:
     """A text under change, with the source span of each of its characters."""
 
@@ -171,19 +166,11 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     spelled digits, at and dot in brackets, as words or set apart. Each keeps the source span of every character
     it writes, so a finding in the last text is one in the source.
     """
-    low = text.lower()
-    alike = not (text.isascii() or ALIKE_SET.isdisjoint(text))
-    spelled = sum(w in SPELLED for w in low.replace("-", " ").replace(",", " ").replace(".", " ").replace("/", " ").split()) > 3
-    letters = BESIDE_DIGIT.search(text) is not None
-    if not (spelled or alike or letters or any(s in low for s in SIGNS)):
-        return []
     tape = Tape(text)
-    if alike:
+    if not (text.isascii() or ALIKE_SET.isdisjoint(text)):
         tape.rewrite(ALIKE_ANY, lambda m: ALIKE[ord(m[0])] or "")
-    if alike or letters:
-        tape.rewrite(LETTER_DIGIT, lambda m: LETTER_DIGITS[m[0]])
-    if spelled:
-        tape = _spell(tape)
+    tape.rewrite(LETTER_DIGIT, lambda m: LETTER_DIGITS[m[0]])
+    tape = _spell(tape)
     tape.rewrite(AT, lambda m: "@")
     tape.rewrite(DOT, lambda m: ".")
     if tape.text == text:

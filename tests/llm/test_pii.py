@@ -96,3 +96,13 @@ def test_query_on_the_tables(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         named = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in brute(r["text"]))
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+
+
+def test_disguises_alone_in_a_text_are_read():
+    assert disguised("mail john@example .com now") == [("email", "john@example .com")]
+    assert disguised("mail john [  at  ] example.com now") == [("email", "john [  at  ] example.com")]
+    assert disguised("mail john [\tat\t] example.com now") == [("email", "john [\tat\t] example.com")]
+    assert disguised("ip оne nine twо dot one six eight dot оne dot one") == [("ip", "оne nine twо dot one six eight dot оne dot one")]
+    assert disguised("ip оne.twо.оne.twо") == [("ip", "оne.twо.оne.twо")]
+    assert disguised('ip "one.two.one.two"') == [("ip", "one.two.one.two")]
+    assert disguised("at 10.0.0.l now") == [("ip", "10.0.0.l")]
