@@ -16,13 +16,16 @@ SPACE = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a local one is set.
+    Where the session names none, a local one is set if master is local (one
+    machine, as in tests); on a cluster that would lose data, so it is an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints")
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
@@ -37,6 +40,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder, which ``drop`` deletes once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.n = spark, new_dir(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read back: lineage ends, and its size is known to the planner."""
+        path, self.n = f"{self.at}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete(self.spark, self.at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """The folder goes, by way of the file system that Spark uses for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def salted(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined to ``table`` (one row per ``on``), rows of one key dealt over ``salts`` tasks by ``by``.
+
+    Each row of the table is repeated ``salts`` times, so a key that most rows share is no task's alone.
+    """
+    rows = rows.withColumn("__pw_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    table = table.withColumn("__pw_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(table, [on, "__pw_salt"], how).drop("__pw_salt")
+
+
 def octets(column: str | Column) -> Column:
     """UTF-8 of a text column (null: empty), which Python workers take without decoding."""
     c = F.col(column) if isinstance(column, str) else column
@@ -57,4 +92,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["SPACE", "cut", "fits", "new_dir", "octets", "read", "shared_dir", "small"]
+__all__ = ["SPACE", "Scratch", "cut", "delete", "fits", "new_dir", "octets", "read", "salted", "shared_dir", "small"]

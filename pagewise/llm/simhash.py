@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, octets, small
+from .common import Scratch, cut, octets, salted, small
 from .components import connected_components
 
 BITS = 64
-#: Buckets up to this size pair their members; larger ones go the exact way of ``_crowded``.
-PAIR_UP_TO = 24
+#: Fingerprints of a bucket that are paired at once; a larger bucket is split by finer segments (or further bands).
+AT_ONCE = 24
 #: Shingles whose bits are held unpacked at a time.
 BLOCK = 1 << 15
 #: A text's minima come in bands; of two texts with Jaccard 0.8 no band is equal with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -28,8 +28,10 @@ TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 MIN_BLOCK = 1 << 11
 #: Bits of a text's parities, which tell most unlike pairs without their sets.
 PARITIES = 1024
-#: Up to so many texts to compare are broadcast, so that the others are not shuffled.
-FEW = 100_000
+#: Bands by whose keys, beyond the first, a large bucket of similar texts is split.
+FURTHER = 2
+#: Up to so many rows of keys (some 50 MB) are broadcast, so that texts or bands of all documents are not shuffled.
+FEW = 400_000
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -87,11 +89,12 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-SKETCH = T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SET = T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
 
 
 def sketch_column(text: Column, width: int) -> Column:
-    """Of a text: hash of its words in order, number of different shingles, keys of its bands, parities."""
+    """Of a text: hash of its words in order, number of different shingles, keys of its bands."""
 
     @F.pandas_udf(SKETCH)
     def sketch(text: pd.Series) -> pd.DataFrame:
@@ -99,28 +102,34 @@ def sketch_column(text: Column, width: int) -> Column:
         for t in text:
             words = _words(t)
             hashes = shingle_set(words, width)
-            rows.append((_signed(xxhash.xxh64_intdigest(b" ".join(words))), len(hashes), band_keys(hashes), parities(hashes)))
+            rows.append((_signed(xxhash.xxh64_intdigest(b" ".join(words))), len(hashes), band_keys(hashes)))
         return pd.DataFrame(rows, columns=SKETCH.names)
 
     return sketch(text)
 
 
-@F.pandas_udf(T.LongType())
-def words_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([_signed(xxhash.xxh64_intdigest(b" ".join(_words(t)))) for t in text], dtype="int64")
-
-
 def set_column(text: Column, width: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def shingled(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(_words(t), width).view("<i8") for t in text], dtype=object)
+    """Of a text: the hashes of its different shingles, and their parities."""
+
+    @F.pandas_udf(SET)
+    def shingled(text: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(_words(t), width) for t in text]
+        return pd.DataFrame({"set": pd.Series([s.view("<i8") for s in sets], dtype=object), "odd": pd.Series([parities(s) for s in sets], dtype=object)})
 
     return shingled(text)
 
 
-def _masks(segments: int) -> list[int]:
-    """Of each segment: its bits, as a signed 64-bit number."""
+def _edges(segments: int, level: int) -> list[int]:
+    """Bit offsets of the ring's segments, each halved ``level`` times until it is one bit."""
     edges = [BITS * i // segments for i in range(segments + 1)]
+    for _ in range(level):
+        edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges, edges[1:]))})
+    return edges
+
+
+def _masks(segments: int, level: int = 0) -> list[int]:
+    """Of each segment: its bits, as a 64-bit number."""
+    edges = _edges(segments, level)
     return [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
 
 
@@ -140,53 +149,57 @@ def _chain(diff: Column, masks: list[int], distance: int) -> Column:
     return reduce(lambda a, b: a | b, starts)
 
 
-def near_fingerprints(fps: DataFrame, distance: int = 2, segments: int = 4) -> DataFrame:
-    """Edges ``a``, ``b`` (some twice) that connect what fingerprints within ``distance`` of each other connect.
+def _finer(segments: int, level: int, distance: int) -> list[tuple[int, int]]:
+    """Free bits of each bucket at ``level``, with those of the buckets at the next level inside it.
 
-    ``fps``: one row per fingerprint (``fp``). With ``distance`` differing bits
-    at most ``distance`` of the m segments differ, so each viable chain of the
-    ring lies over m - distance equal segments: those are the buckets' keys, and
-    only fingerprints that share one meet. There the chain condition prunes
-    before the whole distance is counted. A pair is made in the first bucket
-    that holds it only. In buckets of more than ``PAIR_UP_TO`` fingerprints no
-    pairs are made; see ``_crowded``.
+    A bucket leaves ``distance`` segments free; halved, these are up to twice as
+    many, and a pair that differs in ``distance`` bits lies in as many of them.
     """
-    if distance != 2:
-        raise ValueError("_crowded solves large buckets for a distance of 2 only")
-    masks = _masks(segments)
-    whole = (1 << BITS) - 1
-    keys = [_signed(sum(c)) for c in combinations(masks, segments - distance)]
-    fp = F.col("fp")
-    rows = fps.select("fp", F.posexplode(F.array(*(fp.bitwiseAND(F.lit(k)) for k in keys))).alias("k", "key"))
-    sizes = rows.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    held = cut(rows.join(sizes, ["k", "key"]).select("k", "key", "fp", "n"))
-    pairs = (
-        held.where(F.col("n") <= PAIR_UP_TO)
-        .groupBy("k", "key")
-        .agg(F.collect_list("fp").alias("all"))
-        .select("k", "all", F.explode("all").alias("a"))
-        .select("k", "a", F.explode("all").alias("b"))
-        .where("a < b")
-    )
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.coalesce(*(F.when(diff.bitwiseAND(F.lit(k)) == 0, F.lit(i)) for i, k in enumerate(keys)))
-    near = pairs.where((first == F.col("k")) & _chain(diff, masks, distance)).where(F.bit_count(diff) <= distance)
-    return near.select("a", "b").union(_crowded(held.where(F.col("n") > PAIR_UP_TO), [whole & ~sum(c) for c in combinations(masks, segments - distance)]))
-
-
-def _crowded(rows: DataFrame, free: list[int]) -> DataFrame:
-    """The exact way for large buckets, with no pairs: rows in proportion to members.
-
-    Two fingerprints within 2 bits of each other, in a bucket's free bits, are
-    both within 1 bit of some third number; and all within 1 bit of one number
-    are within 2 of each other. So every member names itself and its neighbours
-    in the free bits, and those who name the same number (at most one more than
-    there are free bits) are joined to the least of them.
+    halves = _masks(segments, level + 1)
+    out = []
+    for free in combinations(_masks(segments, level), distance):
+        inside = [h for h in halves if any(h & f for f in free)]
+        out += [(_signed(sum(free)), _signed(sum(c))) for c in combinations(inside, distance)]
+    return out
+
+
+def near_fingerprints(fps: DataFrame, distance: int = 2, segments: int | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """Edges ``a``, ``b`` (some twice): all pairs of fingerprints within ``distance`` of each other.
+
+    ``fps``: one row per fingerprint (``fp``). The ring has ``segments`` segments
+    (distance + 2 unless given). With ``distance`` differing bits at most as many
+    segments differ, so each viable chain of the ring lies over equal segments:
+    the others' bits are a bucket's key, and only fingerprints that share one
+    meet. There the chain condition prunes before the whole distance is counted.
+    A bucket of more than ``at_once`` fingerprints is dealt to the buckets of a
+    ring whose segments are half as long, again and again: there as few segments
+    are free, so ever fewer bits, and at segments of one bit a bucket holds
+    2 ** distance fingerprints at most. So rows and pairs stay in proportion to
+    the fingerprints, whatever the size of a group, and no pair is lost.
     """
-    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << b)) for b in range(BITS) if m >> b & 1)) for m in free))
-    named = rows.select("k", "fp", F.explode(F.element_at(flips, F.col("k") + 1)).alias("flip"))
-    groups = named.groupBy("k", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")
+    spark = fps.sparkSession
+    segments = segments or distance + 2
+    ring = _masks(segments)
+    free = [_signed(sum(c)) for c in combinations(ring, distance)]
+    diff = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.bit_count(diff) <= distance) & _chain(diff, ring, distance)
+    key = F.col("fp").bitwiseAND(F.bitwise_not("free"))
+    rows = fps.select("fp", F.explode(F.array(*map(F.lit, free))).alias("free")).select("free", key.alias("key"), "fp")
+    found, level = [], 0
+    while True:
+        sizes = rows.groupBy("free", "key").agg(F.count("*").alias("n")).where("n > 1")
+        held = cut(rows.join(sizes, ["free", "key"]).select("free", "key", "fp", "n"))
+        last = len(_masks(segments, level)) == BITS
+        fitting = held if last else held.where(F.col("n") <= at_once)
+        together = fitting.groupBy("free", "key").agg(F.collect_list("fp").alias("all"))
+        pairs = together.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a < b")
+        found.append(pairs.where(near))
+        crowded = held.where(F.col("n") > at_once)
+        if last or crowded.isEmpty():
+            return reduce(DataFrame.union, found)
+        inside = spark.createDataFrame(pd.DataFrame(_finer(segments, level, distance), columns=["free", "next"]))
+        split = crowded.select("free", "fp").join(F.broadcast(inside), "free").select("fp", F.col("next").alias("free")).distinct()
+        rows, level = split.select("free", key.alias("key"), "fp"), level + 1
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
@@ -194,7 +207,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Exact copies share a fingerprint and meet once, as one node. Null and empty
     texts have fingerprint 0 and link like any other; null ids never become a
-    component's name unless it has no other. Repeated rows stay. No rows: none.
+    component's name unless it has no other. Whole texts are read, however long;
+    ties of ids don't matter, as rows of one id are rows of their own. Repeated
+    rows stay. Other columns are not read, so their names don't matter. No rows: none.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(octets(text_col)).alias("fp")))
     return with_components(rows, distance)
@@ -205,100 +220,153 @@ def with_components(rows: DataFrame, distance: int = 2) -> DataFrame:
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(near_fingerprints(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
     linked = cut(roots.join(fps, "fp"))
-    least = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
-    of = linked.join(least, "root").select("fp", "root", "component")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    of = salted(linked, least, "root", "fp").select("fp", "root", "component")
     alone = F.col("root").isNull()
     named = fps.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component")).alias("component"))
     return rows.join(cut(named), "fp")
 
 
-def _least_and_greatest(a: str, na: str, b: str, nb: str) -> list[Column]:
-    """A pair, its lesser node first, and the sizes of its sets."""
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.least(na, nb).alias("low"), F.greatest(na, nb).alias("high")]
+def row_key(columns: list[str], schema: T.StructType) -> list[Column]:
+    """Two longs that tell rows apart by all their columns; maps are compared by their sorted entries."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return plain(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind)
+        return not isinstance(kind, (T.MapType, T.VariantType))
 
+    def value(c: str) -> Column:
+        kind, x = schema[c].dataType, F.col(f"`{c}`")
+        if plain(kind):
+            return x
+        if isinstance(kind, T.MapType) and plain(kind.keyType) and plain(kind.valueType):
+            return F.array_sort(F.map_entries(x))
+        return F.to_json(F.struct(x.alias("x")))
 
-def similar_texts(docs: DataFrame, sketches: DataFrame, similarity: float = 0.8, width: int = 5, text_col: str = "text") -> DataFrame:
-    """Edges ``a``, ``b`` that connect what texts whose sets of shingles have at least this Jaccard similarity connect.
+    values = [value(c) for c in columns]
+    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "__pw_row"), (2, "__pw_row2"))]
 
-    ``sketches``: the columns of ``sketch_column``, one row per ``t``. Texts that share a
-    band meet, and every pair that meets is decided on the whole sets, unless sizes or
-    parities show that these differ in too much. Bands of
-    up to ``PAIR_UP_TO`` texts pair all of them. In larger ones each text first
-    meets one text only, another one in each band; after that all pairs of such
-    a band are made that are not connected by then, so no link is lost, and a
-    group of near copies makes rows in proportion to its members.
+
+ROW = ["__pw_row", "__pw_row2"]
+
+
+class SimilarTexts:
+    """Links between texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    ``sketches``: one row per text (``t``) with its number of shingles ``n`` and
+    band ``keys``. ``texts``: ``t`` and ``text`` of any of them, in any order and
+    number. Texts that share a band meet. In each bucket all first meet one of
+    them only, the least, so a group of near copies makes rows in proportion to
+    its members; then those of a bucket that links do not join by then meet each
+    other. A bucket of more than ``AT_ONCE`` unjoined texts is split by a further
+    band that its members share, up to ``FURTHER`` times, before they do. What
+    meets is decided on the whole sets, unless sizes or parities show that these
+    differ in too much.
     """
-    close = F.col("low") >= similarity * F.col("high") - 1e-9
-    held = sketches.where("n > 0").select("t", "n", F.explode("keys").alias("key"))
-    sizes = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = cut(held.join(sizes, "key").select("key", "t", "n", "size"))
-    member = F.struct("t", "n")
-    paired = (
-        held.where(F.col("size") <= PAIR_UP_TO)
-        .groupBy("key")
-        .agg(F.collect_list(member).alias("all"))
-        .select("all", F.explode("all").alias("x"))
-        .select("x", F.explode("all").alias("y"))
-        .where("x.t < y.t")
-        .select(*_least_and_greatest("x.t", "x.n", "y.t", "y.n"))
-    )
-    large = held.where(F.col("size") > PAIR_UP_TO)
-    first = cut(large.groupBy("key").agg(F.min(F.struct(F.xxhash64("t", "key").alias("o"), "t", "n")).alias("first")))
-    star = large.join(first, "key").where("t <> first.t").select(*_least_and_greatest("t", "n", "first.t", "first.n"))
-    odd = sketches.select("t", "odd")
-    texts = docs.select(octets(text_col).alias("text")).withColumn("t", words_udf("text"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES // 64)])
+
+    def __init__(self, sketches: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = 0.8, width: int = 5):
+        self.sketches, self.texts, self.scratch, self.similarity, self.width = sketches, texts, scratch, similarity, width
+
+    def edges(self) -> DataFrame:
+        """Edges ``a``, ``b`` that connect what all links connect."""
+        keep = self.scratch.keep
+        rows = self.sketches.where("n > 0").select(F.explode("keys").alias("key"), "t", "n")
+        found = None
+        for deep in range(FURTHER + 1):
+            buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("t", "n")).alias("first")).where("size > 1"))
+            held = keep(rows.join(small(buckets, FEW), "key").select("key", "t", "n", "size", "first"))
+            star = self.alike(_pairs(held.where("t <> first.t"), "t", "n", "first.t", "first.n"))
+            found = star if found is None else found.union(star)
+            # Which bucket still holds texts that links do not join?
+            roots = cut(connected_components(found)).withColumnRenamed("node", "t")
+            placed = held.join(roots, "t", "left").select("key", "t", "n", "size", F.coalesce("root", "t").alias("root"))
+            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            placed = keep(placed.join(small(keep(apart), FEW), "key"))
+            few = placed if deep == FURTHER else placed.where(F.col("size") <= AT_ONCE)
+            found = found.union(self.alike(self._across(few)))
+            crowded = placed.where(F.col("size") > AT_ONCE)
+            if deep == FURTHER or crowded.isEmpty():
+                return found
+            # Of each text in a large bucket: the bucket's key with each of its bands.
+            own = self.sketches.select("t", F.explode("keys").alias("band"))
+            both = crowded.select("key", "t", "n").join(own, "t").where("key <> band")
+            rows = both.select(F.xxhash64("key", "band").alias("key"), "t", "n").distinct()
+
+    def _across(self, placed: DataFrame) -> DataFrame:
+        """Pairs of a bucket's texts that no links join yet."""
+        x, y = (placed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root"))) for side in "xy")
+        met = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")))
+        return _pairs(met, "x_t", "x_n", "y_t", "y_n")
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (``a``, ``b``, sizes ``low``, ``high``) that are similar."""
+        keep, s = self.scratch.keep, self.similarity
+        pairs = keep(pairs.where(F.col("low") >= s * F.col("high") - 1e-9).distinct())
+        met = keep(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct())
+        texts = self.texts.join(small(met, FEW), "t", "left_semi").select("t", set_column(F.col("text"), self.width).alias("s"))
+        sets = keep(texts.groupBy("t").agg(F.first("s").alias("s")).select("t", "s.*"))
+        odd = sets.select("t", "odd")
         both = pairs.join(odd.select(F.col("t").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("t").alias("b"), F.col("odd").alias("ob")), "b")
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES // 64)])
         # Of sizes m and n, similar sets differ in (m + n) * (1 - similarity) / (1 + similarity) at most.
-        pairs = cut(both.where(apart <= (F.col("low") + F.col("high")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b"))
-        met = cut(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct())
-        sets = cut(texts.join(small(met, FEW), "t", "left_semi").select("t", set_column(F.col("text"), width).alias("set")).dropDuplicates(["t"]))
-        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("sb")), "b")
+        left = keep(both.where(apart <= (F.col("low") + F.col("high")) * ((1 - s) / (1 + s)) + 1e-9).select("a", "b"))
+        both = left.join(sets.select(F.col("t").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return cut(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"))
-
-    edges = alike(paired.union(star).where(close).distinct())
-    roots = connected_components(edges).withColumnRenamed("node", "t")
-    placed = large.join(roots, "t", "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = cut(placed.join(apart, "key"))
-    x, y = (placed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root"))) for side in "xy")
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root"))).select(*_least_and_greatest("x_t", "x_n", "y_t", "y_n")).where(close).distinct()
-    return edges.union(alike(rest))
-
-
-def _joined(rows: DataFrame, sketches: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int) -> DataFrame:
-    """``rows`` (``root`` and ``t`` among others) with the roots that links of similar texts connect as one."""
-    sketches = cut(sketches.groupBy("t").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")))
-    similar = similar_texts(docs, sketches, similarity, width, text_col)
-    of = cut(rows.select("t", "root").distinct())
+        return keep(both.where(common >= s * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"))
+
+
+def _pairs(rows: DataFrame, a: str, na: str, b: str, nb: str) -> DataFrame:
+    """Pairs, the lesser node first, and the sizes of their sets."""
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.least(na, nb).alias("low"), F.greatest(na, nb).alias("high"))
+
+
+def _joined(rows: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str, similarity: float, width: int) -> DataFrame:
+    """``rows`` (``root``, ``t``, sketches and row keys) with the roots that links of similar texts connect as one."""
+    keep = scratch.keep
+    least = F.struct("n", *ROW)
+    sketches = keep(rows.groupBy("t").agg(F.min(least).alias("of"), F.first("keys").alias("keys"), F.min("root").alias("root")).select("t", "of.*", "keys", "root"))
+    # One row of each text is read again, found by its key.
+    texts = docs.select(*row_key(docs.columns, docs.schema), octets(text_col).alias("text")).join(small(sketches.select("t", *ROW), FEW), ROW)
+    similar = SimilarTexts(sketches.select("t", "n", "keys"), texts.select("t", "text"), scratch, similarity, width).edges()
     # A text of its words only has one fingerprint, so one root.
+    of = sketches.select("t", "root")
     ends = similar.join(of.select(F.col("t").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("t").alias("b"), F.col("root").alias("rb")), "b")
-    above = cut(connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))).select(F.col("node").alias("root"), F.col("root").alias("above"))
-    return rows.drop("t").join(above, "root", "left").withColumn("root", F.coalesce("above", "root")).drop("above")
+    above = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return salted(rows, above, "root", "__pw_row", "left").withColumn("root", F.coalesce("above", "root")).drop("above")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, similarity: float | None = None, width: int = 5) -> DataFrame:
-    """Of each group of near-duplicates the row with the least id (of several: by hash of the row).
+    """Of each group of near-duplicates the row with the least id (null ids last; ties: by hash of the row).
 
     Links are fingerprints within ``distance`` and, with a ``similarity``, also
     texts whose sets of shingles of ``width`` words have that Jaccard similarity.
-    Rows that are equal in every column count as one. Columns stay as they are.
+    Rows that are equal in every column count as one; null and empty texts are
+    one group; whole texts are read, however long. Columns, of any type, stay as
+    they are and may have any name not beginning with ``__pw_``. No rows: none.
     """
-    names = docs.columns
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c in names))
-    of = [F.col(id_col).alias("id"), fingerprint_udf(octets(text_col)).alias("fp"), whole.alias("row")]
+    names = [f"`{c}`" for c in docs.columns]
+    scratch = Scratch(docs.sparkSession, "near")
+    key = row_key(docs.columns, docs.schema)
+    of = [F.col(f"`{id_col}`").alias("id"), fingerprint_udf(octets(f"`{text_col}`")).alias("fp"), *key]
     if similarity is None:
-        rows = with_components(cut(docs.select(*of)), distance)
+        rows = with_components(scratch.keep(docs.select(*of)), distance)
     else:
-        rows = cut(docs.select(*of, sketch_column(octets(text_col), width).alias("s")).select("id", "fp", "row", "s.*"))
-        rows = _joined(with_components(rows.drop("n", "keys", "odd"), distance), rows, docs, text_col, similarity, width)
-    order = F.struct(F.col("id").isNull(), "id", "row")
-    best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    best = best.select(F.col("best.id").alias("__pw_best_id"), F.col("best.row").alias("__pw_best_row"))
-    marked = docs.withColumn("__pw_row", whole).withColumn("__pw_id", F.col(id_col))
-    same = F.col("__pw_id").eqNullSafe(F.col("__pw_best_id")) & (F.col("__pw_row") == F.col("__pw_best_row"))
-    kept = marked.join(best, same, "left_semi")
-    return kept.dropDuplicates(["__pw_id", "__pw_row"]).select(*(f"`{c}`" for c in names))
+        rows = scratch.keep(docs.select(*of, sketch_column(octets(f"`{text_col}`"), width).alias("s")).select("id", "fp", *ROW, "s.*"))
+        rows = scratch.keep(with_components(rows, distance))
+        rows = _joined(rows, docs, scratch, f"`{text_col}`", similarity, width)
+    rows = scratch.keep(rows.select("root", "id", *ROW))
+    order = F.struct(F.col("id").isNull(), "id", *ROW)
+    best = rows.groupBy("root").agg(F.min(order).alias("best")).select("best.*")
+    kept = rows.groupBy(*ROW).agg(F.count("*").alias("n")).join(best.select(*ROW, F.lit(True).alias("best")), ROW, "left")
+    # Most rows stay: those that go, and those that repeat, are few or many, and only they need be looked up.
+    told = cut(kept.where("best IS NULL OR n > 1").select(*ROW, F.col("best").isNotNull().alias("again")))
+    scratch.drop()
+    marked = docs.withColumns({c: k for c, k in zip(ROW, key)})
+    plain = marked.join(small(told, FEW), ROW, "left_anti")
+    again = told.where("again")
+    if again.isEmpty():
+        return plain.select(*names)
+    once = marked.join(small(again, FEW), ROW, "left_semi").dropDuplicates(ROW)
+    return plain.union(once).select(*names)

@@ -93,6 +93,31 @@ def test_large_buckets_lose_no_link(spark):
         assert (r["a"] ^ r["b"]).bit_count() <= 2 or (((r["a"] ^ r["b"]) % (1 << 64)).bit_count() <= 2)
 
 
+def test_any_distance_loses_no_link(spark):
+    """One group of over 800 fingerprints, through ever finer segments, at distances 1 and 3."""
+    rng = random.Random(6)
+    fps = {0}
+    while len(fps) < 850:
+        f = 0
+        for _ in range(rng.randint(1, 5)):
+            f ^= 1 << rng.randrange(20)
+        fps.add(f)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for distance in (1, 3):
+        edges = simhash.near_fingerprints(df, distance, at_once=40).distinct().collect()
+        want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= distance}
+        assert {(r["a"], r["b"]) for r in edges} == want
+
+
+def test_rows_with_maps_and_equal_rows(spark):
+    rows = [(1, PROSE, {"a": 1, "b": 2}, -1), (1, PROSE, {"b": 2, "a": 1}, -1), (1, PROSE, {"a": 1}, -1), (2, "quite another text than that", None, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, t int")
+    for similarity in (None, 0.8):
+        kept = simhash.keep_one(df, similarity=similarity)
+        assert kept.columns == df.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_chain_holds_for_every_near_pair(spark):
     rng = np.random.default_rng(1)
     pairs = []
