@@ -45,10 +45,50 @@ def test_broken_and_empty_pages():
 def test_tree_follows_its_table():
     x, y = h.labelled_blocks()
     assert ((h.tree().predict(x) >= 0.5) == (y == 1)).mean() > 0.97
-    assert h.features([]).shape == (0, 10)
+    other, labels = h.labelled_blocks(seed=99, times=3)
+    assert ((h.tree().predict(other) >= 0.5) == (labels == 1)).mean() > 0.97
+    assert h.features([]).shape == (0, len(h.FEATURES))
     assert np.array_equal(x, h.labelled_blocks()[0])
 
 
+def test_words_and_links_decide():
+    """Without words and link densities the tree decides otherwise on many blocks of the table and of plain pages."""
+    x, _ = h.labelled_blocks(seed=99, times=3)
+    blank = x.copy()
+    blank[:, :6] = 0
+    t = h.tree()
+    assert ((t.predict(x) >= 0.5) != (t.predict(blank) >= 0.5)).mean() > 0.1
+    assert {h.FEATURES[f] for f in t.feature if f >= 0} >= {"words", "links", "words_before", "links_before", "words_after", "links_after"}
+    long = "a sentence that has some words in it and goes on, " * 4
+    found = h.blocks(f"<div><div>[1]</div><div><a>One two</a></div><div>{long}</div><div>{long}</div><div><a>Next page</a></div></div>")
+    x = h.features(found)
+    assert (t.predict(x) >= 0.5).tolist() == [False, False, True, True, False]
+
+
+def test_features_are_the_definition():
+    """Words and link densities of every block and its neighbours, counted apart from the parser."""
+    page = "<p>one two <a>three</a> four<div><a>five</a></div><p>six <a>seven eight</a> nine ten"
+    want = [(4, 0.25), (1, 1.0), (5, 0.4)]
+    x = h.features(h.blocks(page))
+    for i, (w, l) in enumerate(want):
+        before, after = (want[i - 1] if i else (0, 0)), (want[i + 1] if i + 1 < len(want) else (0, 0))
+        assert x[i, :6].tolist() == [w, l, *before, *after]
+
+
+def test_text_is_not_lost_by_a_name():
+    long = "a sentence that has some words in it and goes on, " * 4
+    text = long.strip()
+    keep = lambda page: h.main_text(page).split("\n")
+    assert keep(f"<article><p>Intro.</p><h2 id=related-work>Related work</h2><p>{long}</p><h2 id=social-effects>Social</h2><section id=search><p>{long}</p></section></article>") == ["Intro.", "Related work", text, "Social", text]
+    assert keep(f"<article><p>{long}</p><div class=notice-board><p>{long}</p></div><section class=nav-history><p>{long}</p></section></article>") == [text] * 3
+    assert keep("<article><p>We saw <span class=notice>the notice</span> there and <label>this</label> too.</p></article>") == ["We saw the notice there and this too."]
+    assert keep(f"<form id=page><div><a>Home</a> <a>News</a></div><h1>Head</h1><p>{long}</p><p>{long}</p><input></form>") == ["Head", text, text]
+    assert keep("<body><p>Just one short paragraph.</p></body>") == ["Just one short paragraph."]
+    assert keep(f"<article class=card><h3><a>A teaser of it</a></h3><p>Some few words</p></article><div><h1>The head</h1><p>{long}</p><p>{long}</p></div>") == ["The head", text, text]
+    links = "".join(f"<li><a href={i}>another story to read</a>" for i in range(5))
+    assert keep(f"<article><p>{long}</p><div class=x17><ul>{links}</ul></div><p>{long}</p></article>") == [text, text]
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, None, "<article>" + "<p>word </p>" * 50_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS n_chars_", "2 AS words", "3 AS label")
