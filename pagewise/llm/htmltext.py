@@ -265,6 +265,7 @@ LABELLED = """
 <form action=/page><ul><li>[1]<li>[1]</ul><h2>§4</h2><p>§38</p><p>§64</p><p>§22</p><label>1</label><input><div>[3]</div></form>
 <article><h1>§6</h1><p>§55</p><form><p>4</p><label>2</label><input><p>3</p><button>1</button></form><p>§40</p><div class=newsletter><p>12</p></div><p>§33</p></article>
 <main><h1>§4</h1><p>§50</p><form><div>6</div><div>2</div><div>1</div></form><p>§72</p></main><form><p>5</p><p>14</p></form>
+<form><p>40</p></form><article><h1>§4</h1><p>§30</p><form><p>30</p><p>3</p></form><p>§8</p><p>§44</p></article><form><p>3</p><p>60</p></form>
 <p>§5</p>
 <p>§14</p>
 <h1>§4</h1><p>§12</p>
