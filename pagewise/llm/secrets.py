@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +29,16 @@ COMMON = "the and for that with this from have are was not you all can one our o
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 SIGN = re.compile(r"[:=]")
 NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"'\]]{0,2}[ \t]{0,8}$")
-VALUE = re.compile(r"[=>]?[ \t]{0,8}([\"'`]?)([^\s\"'`<>,;(){}]{6,})")
+VALUE = re.compile(r"[=>]?[ \t]{0,8}([\"'`]?)(?:(?:bearer|basic|token)[ \t]{1,8})?(?=[^\s\"'`<>,;(){}])", re.I)
+#: Runs that values are taken from.
+PIECE = re.compile(r"[^\s\"'`<>,;(){}]+")
 TRAILING = "$%&*#!?.,:;)]}|"
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 PEM_END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 WORD = re.compile(r"[A-Za-z][A-Za-z_-]+")
+ASSIGNED = re.compile(r"[:=]=?[ \t]{0,8}[\"'`]?(?:(?:bearer|basic|token)[ \t]{1,8})?$", re.I)
+HAS_DIGIT, HAS_LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+BASE64, HEX = re.compile(r"[A-Za-z0-9+/]{4,}={0,2}"), re.compile("[0-9a-f]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 #: A candidate is a secret if the forest's mean is at least this.
@@ -48,68 +54,89 @@ class Candidate:
 
 
 def candidates(text: str) -> list[Candidate]:
-    """Assigned values of secret names, key blocks and long runs of digits with letters; apart, by start."""
+    """Assigned values of secret names, key blocks, and long runs of digits with letters, by start.
+
+    A value ends where the next assignment to a secret name begins, and a key
+    block before the next one, so of each sort candidates lie apart and the work
+    is linear in the text. Those of different sorts may overlap; ``scan`` settles that.
+    """
     found: list[Candidate] = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            e = PEM_END.search(text, m.end())
-            found.append(Candidate(m.start(), e.end() if e else m.end(), "private_key", False))
+    begins = [m.span() for m in PEM.finditer(text)] if "-----BEGIN " in text else []
+    if begins:
+        ends = [m.span() for m in PEM_END.finditer(text)]
+        for (a, b), (after, _) in zip(begins, [*begins[1:], (len(text), 0)]):
+            i = bisect_left(ends, (b, 0))
+            whole = i < len(ends) and ends[i][0] < after
+            found.append(Candidate(a, ends[i][1] if whole else b, "", False))
+    signs = []
     for m in SIGN.finditer(text):
-        at = m.start()
-        name = NAME.search(text[max(0, at - NEAR) : at])
-        if not name or not _kind(name[1].lower(), SECRET_NAMES):
-            continue
-        if v := VALUE.match(text, m.end()):
-            value = v[2].rstrip(TRAILING)
+        name = NAME.search(text[max(0, m.start() - NEAR) : m.start()])
+        if name and _kind(name[1].lower(), SECRET_NAMES) and (v := VALUE.match(text, m.end())):
+            begin = m.start() - len(name[0])
+            signs.append((begin, v.end(), name[1].lower(), bool(v[1])))
+    pieces = PIECE.finditer(text) if signs else iter(())
+    a = b = 0
+    for (_, at, name, quoted), (after, *_) in zip(signs, [*signs[1:], (len(text),)]):
+        while b <= at and (p := next(pieces, None)):
+            a, b = p.span()
+        if a <= at < b:
+            value = text[at : max(at, min(b, after))].rstrip(TRAILING)
             if len(value) >= 6:
-                found.append(Candidate(v.start(2), v.start(2) + len(value), name[1].lower(), bool(v[1])))
+                found.append(Candidate(at, at + len(value), name, quoted))
     for m in RUN.finditer(text):
         s = m.group()
-        if s.startswith(PREFIXES) or any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s):
-            name = NAME.search(re.sub(r"[:=]=?[ \t]{0,8}[\"'`]?$", "", text[max(0, m.start() - NEAR) : m.start()]))
-            assigned = re.search(r"[:=][ \t]{0,8}[\"'`]?$", text[max(0, m.start() - 12) : m.start()])
-            found.append(Candidate(m.start(), m.end(), name[1].lower() if name and assigned else "", text[m.start() - 1 : m.start()] in ("'", '"')))
-    found.sort(key=lambda c: (c.start, -c.end))
-    apart: list[Candidate] = []
-    for c in found:
-        if not apart or c.start >= apart[-1].end:
-            apart.append(c)
-    return apart
+        if s.startswith(PREFIXES) or HAS_DIGIT.search(s) and HAS_LETTER.search(s):
+            before = text[max(0, m.start() - NEAR) : m.start()]
+            assigned = ASSIGNED.search(before)
+            name = NAME.search(before[: assigned.start()]) if assigned else None
+            found.append(Candidate(m.start(), m.end(), name[1].lower() if name else "", before[-1:] in ("'", '"')))
+    return sorted({(c.start, -c.end): c for c in reversed(found)}.values(), key=lambda c: (c.start, -c.end))
 
 
 def _kind(name: str, names: list[str]) -> bool:
     return any(name == n or name.endswith(("_" + n, "-" + n, "." + n)) or name.startswith(n + "_") for n in names)
 
 
-def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+def _classes(value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points; and of each its class: digit, lower, upper or other."""
+    c = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    k = np.full(len(c), 3, dtype=np.int8)
+    for i, (a, b) in enumerate((("0", "9"), ("a", "z"), ("A", "Z"))):
+        k[(c >= ord(a)) & (c <= ord(b))] = i
+    return c, k
 
 
 def features(before: str, value: str, after: str, name: str, quoted: bool, path: str) -> list[float]:
-    """Length, make-up, character transitions, dictionary coverage, names, neighbouring words and path."""
+    """Length, make-up, character transitions, dictionary coverage, names, neighbouring words and path, of the whole value."""
+    points, kinds = _classes(value)
     n = len(value)
-    kinds = [_class(c) for c in value[:4096]]
-    m = len(kinds)
-    share = [kinds.count(k) / m for k in range(4)]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, m - 1)
-    _, counts = np.unique(list(value[:4096]), return_counts=True)
-    p = counts / m
-    low = value[:4096].lower()
-    covered = np.zeros(m, dtype=bool)
+    share = (np.bincount(kinds, minlength=4)[:4] / n).tolist()
+    turns = float((kinds[1:] != kinds[:-1]).sum() / max(1, n - 1))
+    _, counts = np.unique(points, return_counts=True)
+    p = counts / n
+    low = value.lower()
+    if len(low) != n:  # a character whose lower case is two
+        low = "".join(c.lower()[:1] for c in value)
+    covered = np.zeros(n + 1, dtype=np.int32)
     near = {w.lower() for w in WORD.findall(before + " " + after)}
     for w in {*COMMON, *PLACEHOLDERS, *(x for x in near if len(x) >= 4)}:
         at = low.find(w)
         while at >= 0:
-            covered[at : at + len(w)] = True
+            covered[at] += 1
+            covered[at + len(w)] -= 1
             at = low.find(w, at + 1)
-    vowels = sum(c in "aeiou" for c in low) / max(1, sum(c.isalpha() for c in low))
+    letters = share[1] + share[2]
+    vowels = sum(low.count(c) for c in "aeiou") / n
+    key_block = value.startswith("-----BEGIN ")
+    body = sum(len(x) for x in value.split("\n")[1:] if BASE64.fullmatch(x.strip())) if key_block else 0
     return [
-        float(np.log2(n)), *share, turns, float(-(p * np.log2(p)).sum()), len(p) / m,
-        float(all(c in "0123456789abcdef" for c in low)), float(covered.mean()), vowels,
+        float(np.log2(n)), *share, turns, float(-(p * np.log2(p)).sum()), len(p) / n,
+        float(HEX.fullmatch(low) is not None), float((np.cumsum(covered[:-1]) > 0).mean()), vowels / letters if letters else 0.0,
         float(bool(name)), float(_kind(name, SECRET_NAMES)), float(_kind(name, PLAIN_NAMES)),
         float(any(w in low for w in PLACEHOLDERS)), float(value.startswith(PREFIXES)), float(bool(UUID.fullmatch(value))),
         float(len(near & set(SECRET_NAMES))), float(len(near & set(PLAIN_NAMES))), float(quoted),
         float(any(w in path.lower() for w in ("test", "example", "doc", "lock", "fixture"))),
+        float(key_block), float(np.log2(1 + body)),
     ]
 
 
@@ -118,7 +145,8 @@ def labelled_findings(seed: int = 11, each: int = 150) -> list[tuple[str, str, s
 
     Made by rule from a seed, so its size is fixed: issued keys, hex and base64
     values and typed passwords under secret names; against these, placeholders,
-    checksums, identifiers, versions, file names, encoded words and prose with digits.
+    checksums, identifiers, versions, file names, encoded words and prose with digits,
+    and key blocks without a key.
     """
     rng = np.random.default_rng(seed)
 
@@ -159,6 +187,20 @@ def labelled_findings(seed: int = 11, each: int = 150) -> list[tuple[str, str, s
         add(f"{one(COMMON)}_{one(COMMON)}_{int(rng.integers(1, 99))}/{one(COMMON)}", 0, one(("", "path", "file")), q)
         add(pick("etaoinshrdlu", int(rng.integers(9, 18))) + str(int(rng.integers(1, 2100))), 0)
         add(f"{one(COMMON)}{one(COMMON)}{one(COMMON)}{int(rng.integers(1, 99))}", 0, one(("", *SECRET_NAMES[:3])), False, path="tests/fixtures.py")
+        lines = [pick(mixed + "+/", 64 if i else int(rng.integers(6, 65))) for i in range(int(rng.integers(1, 25)))]
+        kind = one(("", "RSA ", "EC ", "OPENSSH ", "DSA "))
+        begin, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        add("\n".join((begin, *lines, end)), 1)
+        add(begin, 0)
+        add("\n".join((begin, one(("...", "<key>", "your key here", "xxxx", "[...]", "")), end)), 0)
+        add(f"{begin} {one(COMMON)} {end}", 0)
+        word = lambda a, b: pick("bcdfghklmnprstvw", 1) + pick("aeiou", 1) + pick("abcdefghiklmnoprstu", int(rng.integers(a, b)))
+        login = one(("password", "passwd", "pwd", "pass", "db_password"))
+        add(word(3, 8) + pick("0123456789", int(rng.integers(1, 5))) + one(("", "", "!", "#")), 1, login, q)
+        add(word(3, 8).capitalize() + one(("_", "-", "!", "")) + pick("0123456789", int(rng.integers(1, 5))), 1, login, q)
+        add(word(6, 12), 0, login)
+        add(one(("required", "enabled", "optional", "disabled", "true", "string", "hidden", "missing")), 0, one(SECRET_NAMES), q)
+        add(f"https://{word(3, 8)}.example.com/{one(COMMON)}?{one(COMMON)}", 0, one(SECRET_NAMES), q)
         add("os_environ_" + one(SECRET_NAMES) + str(int(rng.integers(1, 9))), 0, one(SECRET_NAMES))
     return rows
 
@@ -170,13 +212,28 @@ def train(seed: int = 11) -> Forest:
 
 
 def scan(text: str, path: str, forest: Forest) -> list[tuple[int, int, float]]:
-    """Each candidate's start, end and score."""
+    """Start, end and score of candidates that lie apart: of overlapping ones the
+    forest's secrets first, then the earlier, then the longer."""
     found = candidates(text)
     if not found:
         return []
     x = np.array([features(text[max(0, c.start - NEAR) : c.start], text[c.start : c.end], text[c.end : c.end + NEAR], c.name, c.quoted, path) for c in found])
     score = forest.predict(x)
-    return [(c.start, c.end, 1.0 if text.startswith("-----BEGIN ", c.start) else float(s)) for c, s in zip(found, score)]
+    out: list[tuple[int, int, float]] = []
+    taken = 0
+    for c, s in zip(found, score):  # by start
+        if s >= AT_LEAST and c.start >= taken:
+            out.append((c.start, c.end, float(s)))
+            taken = c.end
+    sure = [(a, b) for a, b, _ in out]
+    taken = i = 0
+    for c, s in zip(found, score):
+        while i < len(sure) and sure[i][1] <= c.start:
+            i += 1
+        if s < AT_LEAST and c.start >= taken and (i == len(sure) or sure[i][0] >= c.end):
+            out.append((c.start, c.end, float(s)))
+            taken = c.end
+    return sorted(out)
 
 
 FINDING = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -215,7 +272,10 @@ def secrets(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_candidates``, ``n_secrets``, ``spans``.
 
     Spans are start:end in code points, end exclusive, of what the forest calls
-    a secret, comma-joined. Null and empty texts have none; repeated rows stay.
+    a secret, comma-joined. A score of just ``AT_LEAST`` is one. Whole texts and
+    whole values are read, in time linear in their length; null and empty texts
+    have none; repeated rows stay, each scanned alike; other columns are not
+    read, so their names don't matter. No rows: none.
     """
     got = docs.select("doc_id", findings_column(docs.sparkSession).alias("f"))
     sure = F.filter("f", lambda x: x["score"] >= AT_LEAST)
@@ -224,7 +284,10 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced and ``n_chars``, where there is one, counted anew."""
+    """``docs`` with secrets in ``text`` replaced and ``n_chars``, where there is one, counted anew.
+
+    Other columns stay as they are, whatever their names; null texts stay null. No rows: none.
+    """
     out = docs.withColumn("text", redacted_column(docs.sparkSession))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), "n_chars")).cast(docs.schema["n_chars"].dataType))
