@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,8 +96,9 @@ SPELLED = {
     for i, w in enumerate(words.split())
 } | {"oh": "0", "plus": "+"}
 DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: Four spelled digits or more in a row; prose has fewer.
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:{DIGIT})(?:(?:\s{{1,3}}|\s?[-.,/]\s?|\s{{1,3}}(?:dot|point|punkt|punto)\s{{1,3}})(?:{DIGIT}|[0-9]))" "{3,}" r"(?!\w)", re.I)
+#: Four digits or numbers in a row, some spelled; prose has fewer.
+ONE = rf"(?:{DIGIT}|[0-9]{{1,4}})"
+SPELLED_RUN = re.compile(rf"(?<!\w){ONE}(?:(?:\s{{1,3}}|\s?[-.,/]\s?|\s{{1,3}}(?:dot|point|punkt|punto)\s{{1,3}}){ONE})" "{3,}" r"(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"(?<!\w)({DIGIT})(?!\w)(?:\s{{1,3}}(?=(?:{DIGIT})(?!\w)))?", re.I)
 DOTS = "dot|punkt|punto|point"
 OPEN, CLOSE = r"[ \t]{0,3}[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>][ \t]{0,3}"
@@ -103,41 +106,50 @@ A_DOT = rf"(?:{OPEN}(?:{DOTS}|\.){CLOSE}|[ \t]{{1,3}}(?:{DOTS})[ \t]{{1,3}})"
 # Letters that stand for a digit beside digits.
 LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[0-9 .()-])|(?<=[0-9 .()+-])[OoIl](?=[0-9])|(?<=[0-9])[OoIl](?![A-Za-z0-9])|(?<=[0-9]\.)[OoIl](?![A-Za-z0-9])")
-# Last labels of the host names that addresses in prose end in, less English words.
-TOP = "com|org|net|edu|gov|mil|int|info|io|co|de|fr|es|uk|eu|nl|ch|pt|pl|dk|fi|ie|ca|mx|ar|br|au|nz|jp|cn|ru|dev|app|ai|biz|example"
+# Last labels of host names of more than two letters; those of two that are
+# words, which end an address only before a sign or the text's end; words that no host is named by.
+TOP = "com|org|net|edu|gov|mil|int|info|dev|app|biz|name|pro|shop|site|online|tech|cloud|blog|example|test"
+WORDY = "am|an|as|at|be|by|do|go|he|if|in|is|it|me|my|no|of|on|or|so|to|up|us|we|la|le|se|er|im|um|ja|el|un|al|ya"
+ARTICLES = "the|a|an|this|that|each|every|one|its|your|my|der|die|das|le|la|les|el|los|las"
+LAST = rf"(?:(?:{TOP}|(?!(?:{WORDY})(?![A-Za-z0-9-]))[A-Za-z]{{2}})(?![A-Za-z0-9-])|(?:{WORDY})(?=[ \t]*(?:[\n\r.,;:!?)\]}}>\"']|\Z)))"
 #: As a bare word, "at" is a sign only before host labels with spelled dots and a last label of these.
 AT = re.compile(
-    rf"(?:{OPEN}(?:at|arroba|@){CLOSE}|[ \t]{{1,3}}(?:at|arroba|@)[ \t]{{1,3}}(?=(?:[A-Za-z0-9-]{{1,63}}{A_DOT}){{1,8}}(?:{TOP})(?![A-Za-z0-9-]))"
-    rf"|(?:[ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}})(?=(?:[A-Za-z0-9-]{{1,63}}[ \t]?\.[ \t]?){{1,8}}(?:{TOP})(?![A-Za-z0-9-])))",
+    rf"(?:{OPEN}(?:at|arroba|@){CLOSE}|[ \t]{{1,3}}(?:at|arroba|@)[ \t]{{1,3}}(?!(?:{ARTICLES})[ \t])(?=(?:[A-Za-z0-9-]{{1,63}}{A_DOT}){{1,8}}{LAST})"
+    rf"|(?:[ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}})(?=(?:[A-Za-z0-9-]{{1,63}}[ \t]?\.[ \t]?){{1,8}}{LAST}))",
     re.I,
 )
-DOT = re.compile(rf"{A_DOT}|[ \t]\.[ \t]?(?=(?:{TOP})(?![A-Za-z0-9-]))", re.I)
+DOT = re.compile(rf"{A_DOT}|[ \t]\.[ \t]?(?=(?:{TOP}|[A-Za-z]{{2}})(?![A-Za-z0-9-]))", re.I)
+
+
 class Tape:
-    """A text under change, with the source span of each of its characters."""
+    """A text under change, with the source span of each of its characters (eight octets a character)."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
+        self.text = text
+        self.start = np.arange(len(text), dtype=np.int32)
+        self.end = self.start + 1
 
     def rewrite(self, pattern: re.Pattern, out: Callable[[re.Match], str | None]) -> Tape:
         """Each match becomes ``out`` of it: one character, which spans the match, or none (None: as it is)."""
-        text, start, end, done = [], [], [], 0
+        text, done = [], 0
+        kept = np.ones(len(self.text), dtype=bool)
+        spans = []
         for m in pattern.finditer(self.text):
             new = out(m)
             if new is None:
                 continue
             a, b = m.span()
             text += self.text[done:a], new
-            start += self.start[done:a]
-            end += self.end[done:a]
+            kept[a + len(new) : b] = False
             if new:
-                start.append(self.start[a])
-                end.append(self.end[b - 1])
+                spans.append((a, b - 1))
             done = b
         if text:
             text.append(self.text[done:])
-            start += self.start[done:]
-            end += self.end[done:]
-            self.text, self.start, self.end = "".join(text), start, end
+            if spans:
+                first, last = np.array(spans).T
+                self.end[first] = self.end[last]
+            self.text, self.start, self.end = "".join(text), self.start[kept], self.end[kept]
         return self
 
 
@@ -177,7 +189,7 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
         return []
     out = []
     for a, kind, b in plain_spans(tape.text):
-        s, e = tape.start[a], tape.end[b - 1]
+        s, e = int(tape.start[a]), int(tape.end[b - 1])
         if text[s:e] != tape.text[a:b]:
             out.append((s, kind, e))
     return out
@@ -186,8 +198,14 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the disguised ones that no base span of the kind holds."""
     base = plain_spans(text)
-    more = [x for x in disguised_spans(text) if not any(k == x[1] and a <= x[0] and x[2] <= b for a, k, b in base)]
-    return base, sorted({*base, *more})
+    of = [[(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))]
+
+    def held(a: int, kind: int, b: int) -> bool:
+        """Base spans of a kind lie apart, so only the last that begins by ``a`` may hold it."""
+        i = bisect_right(of[kind], a, key=lambda x: x[0])
+        return i > 0 and of[kind][i - 1][1] >= b
+
+    return base, sorted({*base, *(x for x in disguised_spans(text) if not held(*x))})
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
@@ -212,7 +230,10 @@ def found_udf(text: pd.Series) -> pd.DataFrame:
 def personal_data(docs: DataFrame, text_col: str = "text", out: str = "found") -> DataFrame:
     """``docs`` with a struct ``out``: counts of base spans by kind, ``base`` and all ``spans`` as text.
 
-    Whole texts are read; null and empty ones have none; repeated rows stay. No shuffle.
+    Whole texts are read, in time linear in their length (up to the sorting of
+    spans); null and empty ones have none; repeated rows stay. Of spans that
+    begin together the kinds' order decides. A column of the name ``out`` is
+    replaced, others stay as they are. No rows: none. No shuffle.
     """
     return docs.withColumn(out, found_udf(F.coalesce(text_col, F.lit(""))))
 

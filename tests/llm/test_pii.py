@@ -73,7 +73,7 @@ def test_mask():
 def test_long_runs_take_linear_time():
     import time
 
-    for t in ("1" * 100_000, "a" * 100_000, "a@" * 50_000, "+1" * 50_000, "1." * 50_000, "+" + "1 " * 50_000, "one " * 20_000, "(at) " * 20_000, "x at y dot " * 10_000, "а" * 100_000):
+    for t in ("1" * 100_000, "a" * 100_000, "a@" * 50_000, "+1" * 50_000, "1." * 50_000, "+" + "1 " * 50_000, "one " * 20_000, "(at) " * 20_000, "x at y dot " * 10_000, "а" * 100_000, "a@b.co jane (at) ex (dot) com " * 20_000, "O0 " * 100_000):
         began = time.time()
         pii.find(t)
         assert time.time() - began < 5, t[:10]
@@ -106,3 +106,56 @@ def test_disguises_alone_in_a_text_are_read():
     assert disguised("ip оne.twо.оne.twо") == [("ip", "оne.twо.оne.twо")]
     assert disguised('ip "one.two.one.two"') == [("ip", "one.two.one.two")]
     assert disguised("at 10.0.0.l now") == [("ip", "10.0.0.l")]
+
+
+def test_any_host_ending_and_mixed_numbers():
+    assert disguised("mail jane at firma dot it, please") == [("email", "jane at firma dot it")]
+    assert disguised("jane at firma dot se") == [("email", "jane at firma dot se")]
+    assert disguised("jane at firma dot de now") == [("email", "jane at firma dot de")]
+    assert disguised("jane at firma dot pl now") == [("email", "jane at firma dot pl")]
+    assert disguised("ip 192 dot 168 dot one dot 1 up") == [("ip", "192 dot 168 dot one dot 1")]
+    for t in ("look at the dot it makes", "look at a dot in it.", "look at this dot on paper"):
+        assert disguised(t) == [], t
+
+
+def test_planted_disguises_are_found_where_they_stand():
+    """Identifiers disguised at random, at known places in prose: each span, and nothing else, comes back."""
+    rng = random.Random(9)
+    digits = "zero one two three four five six seven eight nine".split()
+
+    def email():
+        name, host = "".join(rng.choices("bcdfghjkl", k=6)), "".join(rng.choices("mnpqrstvw", k=5))
+        at = rng.choice([" (at) ", "[at]", " at ", " @ ", " { at } "])
+        dot = " dot " if at == " at " else " . " if at == " @ " else rng.choice([" (dot) ", "[.]", "."])
+        return "email", f"{name}{at}{host}{dot}{rng.choice(['com', 'org', 'pl', 'fr'])}"
+
+    def ip():
+        parts = [rng.randint(100, 255) for _ in range(4)]
+        way = rng.randrange(3)
+        if way == 0:
+            return "ip", "[.]".join(map(str, parts))
+        if way == 1:
+            return "ip", " dot ".join(" ".join(digits[int(c)] for c in str(p)) for p in parts)
+        return "ip", " dot ".join(map(str, parts))
+
+    def phone():
+        return "phone", "plus " + " ".join(digits[int(c)] for c in "4" + "".join(rng.choices("123456789", k=10)))
+
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randint(1, 5)):
+            text += " ".join(rng.choices("wood hill lake stone leaf".split(), k=rng.randint(1, 6))) + ", "
+            kind, said = rng.choice([email, ip, phone])()
+            want.append((kind, len(text), len(text) + len(said)))
+            text += said + "; "
+        got = [(pii.KINDS[k], a, b) for a, k, b in pii.find(text)[1]]
+        assert got == want, text
+
+
+def test_tape_keeps_the_source_of_every_character():
+    import re
+
+    t = pii.Tape("ab--cd--e")
+    t.rewrite(re.compile("--"), lambda m: "+").rewrite(re.compile("d"), lambda m: "").rewrite(re.compile("b\\+"), lambda m: "X")
+    assert t.text == "aXc+e"
+    assert list(zip(t.start.tolist(), t.end.tolist())) == [(0, 1), (1, 4), (4, 5), (6, 8), (8, 9)]
