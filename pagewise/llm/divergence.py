@@ -16,8 +16,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 #: Texts of fewer words are not compared, nor do they shape a reference.
 LEAST_WORDS = 40
-#: A language with fewer documents of LEAST_WORDS has no reference; its documents pass.
-LEAST_DOCS = 30
+#: Documents that the pooled reference weighs in each language's own.
+POOLED = 1.0
 #: Greatest distances, beyond sampling noise, that pass: of either histogram, and of both together.
 CHAR_LIMIT, WORD_LIMIT, SUM_LIMIT = 0.24, 0.22, 0.33
 #: Times the expected divergence of a text that follows its reference, which is not held against it.
@@ -65,16 +65,35 @@ def _beyond_noise(p: Column, q: Column, n: Column) -> Column:
     return F.sqrt(F.greatest(_distance(p, q) ** 2 - NOISE * noise, F.lit(0.0)))
 
 
+def failed() -> Column:
+    """The base rule's verdict."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def references(stats: DataFrame) -> DataFrame:
     """Of each language: mean shares of character classes and common words over all its documents.
 
-    Means of shares, so that a very long document weighs no more than another.
-    The bins are a fixed number, so sums by language and bin stay small at any size.
+    Documents of LEAST_WORDS words that pass the base rule count; means are of
+    shares, so that a very long document weighs no more than another. Each
+    language's means are shrunk toward those of all languages as if these were
+    ``POOLED`` documents more (of common words: their share in all, dealt evenly
+    over the language's list), so a language of few documents needs no rule of
+    its own. Bins are a fixed number, so sums by language and bin stay small.
     """
-    long = stats.where(F.col("n_words") >= LEAST_WORDS)
+    long = stats.where((F.col("n_words") >= LEAST_WORDS) & ~failed())
     bins = lambda name: F.posexplode(_shares(F.col(name)))
-    both = long.select("lang", F.lit("chars").alias("of"), bins("chars").alias("bin", "x")).union(long.select("lang", F.lit("common").alias("of"), bins("common").alias("bin", "x")))
-    means = both.groupBy("lang", "of", "bin").agg(F.avg("x").alias("x"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    both = long.select("lang", F.lit("chars").alias("of"), F.size("chars").alias("size"), bins("chars").alias("bin", "x"))
+    both = both.union(long.select("lang", F.lit("common").alias("of"), F.size("common").alias("size"), bins("common").alias("bin", "x")))
+    sums = cut(both.groupBy("lang", "of", "size", "bin").agg(F.sum("x").alias("x"), F.count("*").alias("n")))
+    # Of common words only their list's share and that of the last bin, all other words, compare across languages.
+    other = (F.col("of") == "common") & (F.col("bin") == F.col("size") - 1)
+    alike = F.when(F.col("of") == "chars", F.col("bin")).when(other, -1).otherwise(-2)
+    pool = sums.groupBy("of", alike.alias("alike")).agg(F.sum("x").alias("px")).alias("p")
+    rows = sums.groupBy("of").agg(F.sum(F.when(F.col("bin") == 0, F.col("n"))).alias("pn")).alias("t")
+    pool = pool.join(rows, "of").select(F.col("of").alias("p_of"), F.col("alike").alias("p_alike"), (F.col("px") / F.col("pn")).alias("p"))
+    met = sums.withColumn("alike", alike).join(F.broadcast(pool), (F.col("of") == F.col("p_of")) & (F.col("alike") == F.col("p_alike")))
+    prior = F.when(F.col("alike") == -2, F.col("p") / (F.col("size") - 1)).otherwise(F.col("p"))
+    means = met.select("lang", "of", "bin", ((F.col("x") + POOLED * prior) / (F.col("n") + POOLED)).alias("x"))
     array = lambda of: F.transform(F.array_sort(F.collect_list(F.when(F.col("of") == of, F.struct("bin", "x")))), lambda s: s["x"])
     return means.groupBy("lang").agg(array("chars").alias("ref_chars"), array("common").alias("ref_common"))
 
@@ -86,7 +105,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Each text is read once; its counts are kept, references come from the
     counts of all documents, and distances from both. Null and empty texts have
     no words, so they fail the base rule; a null or unknown language is a
-    language of its own, with the common words of all; repeated rows stay.
+    language of its own, with the common words of all; a distance just at its
+    limit passes. Whole texts are read, however long. Repeated rows stay; other
+    columns are not read, so their names don't matter. No rows: none.
     """
     known = F.col(lang_col).isin(*WORDS_OF)
     rows = docs.select(F.col(id_col).alias("id"), F.when(known, F.col(lang_col)).alias("lang"), stats_udf(octets(text_col), F.when(known, F.col(lang_col))).alias("s"))
@@ -99,7 +120,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "id", *COUNTS,
         F.when(judged, _beyond_noise(_shares(F.col("chars")), F.col("ref_chars"), n_chars)).alias("char_distance"),
         F.when(judged, _beyond_noise(_shares(F.col("common")), F.col("ref_common"), F.col("n_words"))).alias("word_distance"),
-        ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
+        failed().alias("base_failed"),
     )
     c, w = F.col("char_distance"), F.col("word_distance")
     strange = (c > CHAR_LIMIT) | (w > WORD_LIMIT) | (c + w > SUM_LIMIT)

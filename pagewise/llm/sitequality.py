@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, octets, small
-from .textstats import base_counts, common_counts
+from .textstats import BEYOND_ASCII, BEYOND_LATIN, base_counts, common_counts
 
 #: Sites (host, path) whose posteriors are broadcast; more are joined by shuffle.
 BROADCAST_SITES = 100_000
@@ -21,12 +21,12 @@ def features(text: bytes) -> list[float]:
     """Shares that tell prose from junk, each 0 to 1 or a logarithm."""
     words, k, (n, chars, symbols, dup, repeat) = base_counts(text)
     total = max(1, int(k.sum()))
-    letters = max(1, int(k[0] + k[1] + k[8:].sum()))
+    letters = max(1, int(k[0] + k[1] + k[BEYOND_ASCII:].sum()))
     lines = max(1, int(k[4]) + 1)
     some = max(1, n)
     return [
         np.log1p(n), chars / some / 10, k[1] / letters, k[2] / total, k[5] / total,
-        min(1.0, symbols / some), k[7] / total, k[9:].sum() / total, dup / lines, repeat / some,
+        min(1.0, symbols / some), k[7] / total, k[BEYOND_LATIN:].sum() / total, dup / lines, repeat / some,
         len(set(words)) / some, (n - int(common_counts(words, None)[-1])) / some,
         sum(w.endswith((b".", b"!", b"?")) for w in words) / some, np.log1p(n / lines),
     ]

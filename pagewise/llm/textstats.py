@@ -9,7 +9,8 @@ import numpy as np
 SYMBOLS = b"#*$%&|<>"
 
 #: Character classes, in histogram order.
-CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "symbol", "other_ascii", "two_octets", "three_octets", "four_octets")
+CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "symbol", "other_ascii", "latin_sign", "latin_letter", "other_script", "three_octets", "four_octets")
+BEYOND_ASCII, BEYOND_LATIN = 8, 10
 
 
 def _class_of(c: int) -> int:
@@ -30,7 +31,8 @@ def _class_of(c: int) -> int:
         return 6
     if c < 0x80:
         return 7
-    return 8 + (c >= 0xE0) + (c >= 0xF0) if c >= 0xC0 else len(CLASSES)
+    # U+0080-00BF are signs; Latin letters with marks go up to U+024F; then Greek, Cyrillic and others.
+    return 8 + (c >= 0xC3) + (c >= 0xCA) + (c >= 0xE0) + (c >= 0xF0) if c >= 0xC0 else len(CLASSES)
 
 
 CLASS_OF = np.array([_class_of(c) for c in range(256)])
