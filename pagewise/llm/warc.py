@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, new_dir, octets
+from .common import cut, delete, new_dir, octets, small
 
 #: Payloads of fewer octets are stored each time.
 LEAST_REVISIT = 1000
@@ -25,8 +27,8 @@ CHUNK = 1 << 16
 FILE_SIZE = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A record's header block may not be longer.
-MOST_HEADER = 1 << 20
+#: Repeated payloads (some 100 octets each) whose responses are broadcast; more are joined by shuffle.
+BROADCAST_DIGESTS = 200_000
 
 
 class WarcError(ValueError):
@@ -42,7 +44,8 @@ def _hex(digest: str) -> str:
 
 
 def _line(value: object) -> str:
-    return "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in str(value))
+    """A header's value: what can't stand in one line is percent-encoded, by its UTF-8 octets."""
+    return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in str(value))
 
 
 def _record_id(page_id: object, digest: str) -> str:
@@ -105,12 +108,12 @@ class _Members:
                 return out
         return b""
 
-    def until(self, mark: bytes, most: int) -> bytes:
-        """Octets up to and with ``mark``."""
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """Octets up to and with ``mark``, which ends within ``most`` of them if that is given."""
         seen = 0
         while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.held)
-            if seen > most or not (new := self.more()):
+            if most is not None and seen > most or not (new := self.more()):
                 raise WarcError("a header block has no end")
             self.held += new
         return self.take(at + len(mark))
@@ -142,8 +145,8 @@ def _fields(lines: bytes) -> dict[str, str]:
 
 
 def records(file: BinaryIO, keep: bool = True) -> Iterator[Record]:
-    """The records of an archive in order; memory holds one block of CHUNK octets, and
-    with ``keep`` one payload.
+    """The records of an archive in order; memory holds one record's headers (of any length),
+    one block of CHUNK octets, and with ``keep`` one payload.
 
     Blocks are framed by Content-Length, and both digests are checked as the
     octets go by; a record that is cut short, has no length, is not followed by
@@ -151,14 +154,14 @@ def records(file: BinaryIO, keep: bool = True) -> Iterator[Record]:
     """
     source = _Members(file)
     while source.begin():
-        head = _fields(source.until(b"\r\n\r\n", MOST_HEADER))
+        head = _fields(source.until(b"\r\n\r\n"))
         if not head.get("content-length", "").isdigit():
             raise WarcError("a record has no Content-Length")
         left = int(head["content-length"])
         whole, inner = hashlib.sha1(), hashlib.sha1()
         http: dict[str, str] = {}
         if "application/http" in head.get("content-type", ""):
-            first = source.until(b"\r\n\r\n", min(left, MOST_HEADER))
+            first = source.until(b"\r\n\r\n", left)
             whole.update(first)
             http, left = _fields(first), left - len(first)
             if left < 0:
@@ -189,22 +192,37 @@ def records(file: BinaryIO, keep: bool = True) -> Iterator[Record]:
 def _plan(pages: DataFrame, least: int) -> DataFrame:
     """``page_id``, ``url``, ``html`` as octets, with ``digest``, ``revisit`` and ``refers_to``.
 
-    Of rows with the same payload the greatest page_id, and of equal ids one of
-    the rows, is the response. The number that tells such rows apart follows
-    from their place in the input files, so both sides of the join agree on it.
-    Only digests that occur twice are joined: one row for each, so a payload
-    that a third of the rows share meets one row; they are cut off first, so
-    that Spark can split its rows over tasks.
+    Of rows with the same payload the greatest page_id (of equal ids: by hash of
+    the url) is the response. Rows equal in id, url and payload are read as one
+    with a count, so which of them is first depends on nothing that a repeated
+    task could change. Only digests that occur twice are looked up; these are
+    broadcast while they are few, else met by shuffle, where one cut-off row
+    for each lets Spark split the rows of a payload that a third of all share.
     """
-    rows = pages.select("page_id", "url", octets("html").alias("html"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    best = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("n"))
-    best = cut(best.where("n > 1").select(F.col("digest").alias("of"), "best"))
-    met = rows.join(best, (F.col("digest") == F.col("of")) & (F.octet_length("html") >= least), "left")
-    revisit = F.col("of").isNotNull() & (F.col("best.row") != F.col("row"))
+    octet = pages.select("page_id", "url", octets("html").alias("html"), F.xxhash64("url").alias("u"))
+    rows = octet.withColumn("digest", F.sha1("html"))
+    same = ["digest", "page_id", "u"]
+    each = cut(rows.where(F.octet_length("html") >= least).groupBy(*same).agg(F.count("*").alias("n")))
+    best = cut(each.groupBy("digest").agg(F.max(F.struct("page_id", "u")).alias("best"), F.sum("n").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "best"))
+    often = cut(each.where("n > 1").select(*(F.col(c).alias(f"o_{c}") for c in same)))
+    rows = rows.withColumn("i", F.lit(0).cast("long"))
+    if not often.isEmpty():
+        on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in same))
+        few = small(often, BROADCAST_DIGESTS)
+        one = rows.join(few, on, "left_semi").groupBy(*same).agg(F.first("url").alias("url"), F.first("html").alias("html"), F.count("*").alias("n"))
+        copies = one.select("page_id", "url", "html", "u", "digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+        rows = rows.join(few, on, "left_anti").union(copies)
+    met = rows.join(small(best, BROADCAST_DIGESTS), (F.col("digest") == F.col("of")) & (F.octet_length("html") >= least), "left")
+    response = F.col("best.page_id").eqNullSafe(F.col("page_id")) & (F.col("best.u") == F.col("u")) & (F.col("i") == 0)
+    revisit = F.col("of").isNotNull() & ~response
     return met.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("refers_to"))
 
 
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a URI; Spark's names of S3 are mapped to Arrow's."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("n_records", T.LongType()), T.StructField("octets", T.LongType())])
 
 
@@ -216,7 +234,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFram
     """
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, base = fs.FileSystem.from_uri(folder)
+        at, base = _file_system(folder)
         at.create_dir(base, recursive=True)
         out, path, n, size = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
@@ -262,7 +280,7 @@ def read(spark: SparkSession, paths: DataFrame, keep: bool = True) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
-                at, base = fs.FileSystem.from_uri(path)
+                at, base = _file_system(path)
                 held, size = [], 0
                 with at.open_input_stream(base, compression=None) as f:
                     for r in records(f, keep):
@@ -279,18 +297,35 @@ def read(spark: SparkSession, paths: DataFrame, keep: bool = True) -> DataFrame:
     return paths.select("path").mapInArrow(scan, RECORD)
 
 
+def unmatched(rows: DataFrame) -> DataFrame:
+    """The revisits among ``rows`` whose digest and length are not those of the response they refer to, each once."""
+    of = ["payload_digest", "payload_bytes"]
+    told = rows.where("record_type = 'revisit'").groupBy("refers_to", *of).count().drop("count")
+    held = rows.where("record_type = 'response'").groupBy("page_id", *of).count()
+    held = held.select(F.col("page_id").alias("refers_to_"), *(F.col(c).alias(f"{c}_") for c in of))
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("refers_to", *of)))
+    return told.join(held, on, "left_anti")
+
+
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Pages written as archives to the shared folder and read back, one row per page.
 
     Null html is an empty payload; empty and short ones are responses; a null
     page_id or url is left out of its record and read back as null, and is a
     response's name only where a payload has no other; repeated rows make one
-    response and revisits. No pages: no archives and no rows.
+    response and revisits. Payloads and urls may have any length. Other columns
+    are not read, so their names don't matter. No pages: no archives and no
+    rows. A revisit that no response matches raises WarcError. The archives are
+    deleted once their rows are kept.
     """
     spark = pages.sparkSession
-    made = write(pages, new_dir(spark, "warc"), least)
-    return read(spark, made, keep=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
+    folder = new_dir(spark, "warc")
+    made = write(pages, folder, least)
+    rows = cut(read(spark, made, keep=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    if not unmatched(rows).isEmpty():
+        raise WarcError("a revisit's payload is not that of its response")
+    delete(spark, folder)
+    return rows
 
 
 ORACLE = """

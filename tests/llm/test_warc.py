@@ -87,3 +87,32 @@ def test_damage_is_told():
             list(warc.records(io.BytesIO(z.compress(bad) + z.flush())))
     with pytest.raises(warc.WarcError):
         list(warc.records(io.BytesIO(b"not gzip at all")))
+
+
+def test_headers_of_any_length(spark):
+    url = "http://long/" + "x" * 5_000_000
+    rows = [(1, url, BIG), (2, "u", BIG)]
+    got = warc.round_trip(pages(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    r = next(warc.records(io.BytesIO(warc.member(1, url, b"x", hashlib.sha1(b"x").hexdigest(), None, False))))
+    assert r.headers["warc-target-uri"] == url
+
+
+def test_what_breaks_lines_is_percent_encoded():
+    assert warc._line("a\u2028b\r\n c") == "a%E2%80%A8b%0D%0A%20c"
+    r = next(warc.records(io.BytesIO(warc.member(1, "u\r\nX-Page-Id: 9", b"x", hashlib.sha1(b"x").hexdigest(), None, False))))
+    assert r.headers["x-page-id"] == "1"
+
+
+def test_revisits_are_checked_against_their_response(spark):
+    zero = "0" * 40
+    rows = [(1, 1000, "a" * 40, "response", None), (2, 1000, "a" * 40, "revisit", 1), (3, 1000, zero, "revisit", 1), (4, 999, "a" * 40, "revisit", 1), (5, 1000, "a" * 40, "revisit", None)]
+    df = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert {(r["payload_digest"], r["payload_bytes"], r["refers_to"]) for r in warc.unmatched(df).collect()} == {(zero, 1000, 1), ("a" * 40, 999, 1), ("a" * 40, 1000, None)}
+    assert warc.unmatched(df.where("page_id < 3")).isEmpty()
+
+
+def test_repeated_rows_make_one_response(spark):
+    rows = [(1, "u", BIG)] * 300 + [(None, None, BIG + "y")] * 50 + [(i, "v", "z" * 2000) for i in range(200)]
+    got = warc.round_trip(pages(spark, rows).repartition(7)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
