@@ -9,9 +9,9 @@ from .common import cut, fits, small
 
 #: Hex digits of the hash: 60 bits, a non-negative long.
 DIGITS = 15
-#: Bits that a histogram level resolves; 5 levels reach single hash values.
-LEVEL_BITS = 12
-LEVELS = 5
+#: Bits that a histogram level resolves; 4 levels reach single hash values.
+LEVEL_BITS = 15
+LEVELS = 4
 #: Sources whose thresholds are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -21,10 +21,30 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash_of(key: Column) -> Column:
-    """A uniform 60-bit number from the key as text, the same in any engine with MD5 (null: 0)."""
-    hexed = F.substring(F.md5(key.cast("string").cast("binary")), 1, DIGITS)
-    return F.coalesce(F.conv(hexed, 16, 10).cast("long"), F.lit(0).cast("long"))
+def hash_of(key: Column, text: Column) -> Column:
+    """A uniform 60-bit number from the key as text and the text (nulls: empty), the same in any engine with MD5.
+
+    The text tells rows apart that share an id or have none.
+    """
+    empty = F.lit("")
+    both = F.concat(F.coalesce(key.cast("string"), empty), F.lit("\n"), F.coalesce(text, empty))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, DIGITS), 16, 10).cast("long")
+
+
+def _ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` in ranges of ``order``, each with the number ``part`` of its range; rows that tie share one.
+
+    Running sums then go by range and over the ranges' totals, so no task holds all rows.
+    """
+    return cut(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("part")))
+
+
+def _before(rows: DataFrame, **sums: Column) -> DataFrame:
+    """``rows`` with sums over all earlier ranges (0 for the first); of ranges there are as many as shuffle partitions."""
+    totals = rows.groupBy("part").agg(*(c.alias(f"{n}_own") for n, c in sums.items()))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    got = totals.select(F.col("part").alias("p"), *(F.coalesce(F.sum(f"{n}_own").over(earlier), F.lit(0)).alias(n) for n in sums))
+    return rows.join(F.broadcast(got), F.col("part") == F.col("p")).drop("p")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -32,21 +52,26 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
     Sources take the weights in turn by code point order, null last. Resharing
     the excess until none is above ends at min(cap, level * weight) with one
-    level for all, which cumulative sums over sources by cap per weight give.
+    level for all, which running sums of caps and weights by cap per weight
+    give. Sources may be as many as there are rows: all running numbers go by
+    ranges of sources.
     """
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    w = s.select("*", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), turn + 1).alias("w"))
+    order = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    s = _before(_ranged(s, *order), earlier=F.count("*"))
+    turn = (F.col("earlier") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1) % len(weights)
+    w = s.select("source", "source_size", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (turn + 1).cast("int")).alias("w"))
     w = w.select("*", (most * F.col("source_size")).alias("cap"), (most * F.col("source_size") / F.col("w")).alias("ratio"))
-    upto, every = Window.orderBy("ratio").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    budget = share * F.sum("source_size").over(every)
-    below = F.sum("cap").over(upto) + F.col("ratio") * (F.sum("w").over(every) - F.sum("w").over(upto))
-    m = w.select("*", budget.alias("budget"), (below < budget).alias("capped"))
-    rest = F.col("budget") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0.0)).over(every)
-    free = F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("w"))).over(every)
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", rest * F.col("w") / free))
-    return m.select("source", "source_size", target.alias("target"))
+    w = _before(_ranged(w, F.col("ratio")), caps=F.sum("cap"), ws=F.sum("w"))
+    all_ = w.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    budget, weight = share * (all_["size"] or 0), all_["w"] or 0.0
+    upto = Window.partitionBy("part").orderBy("ratio").rangeBetween(Window.unboundedPreceding, 0)
+    below = F.col("caps") + F.sum("cap").over(upto) + F.col("ratio") * (F.lit(weight) - F.col("ws") - F.sum("w").over(upto))
+    m = cut(w.select("source", "source_size", "w", "cap", (below < budget).alias("capped")))
+    capped, w = F.col("capped"), F.col("w")
+    left = m.agg(F.sum(F.when(capped, F.col("cap")).otherwise(0.0)).alias("used"), F.sum(F.when(capped, 0.0).otherwise(w)).alias("free")).first()
+    rest = F.lit(budget - (left["used"] or 0.0)) * w / F.lit(left["free"] or 1.0)
+    return m.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.least("cap", rest)).alias("target"))
 
 
 def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -93,18 +118,20 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` with ``__pw_size``, ``__pw_source_size``, ``__pw_target`` and ``__pw_taken`` added.
 
-    Documents are read twice: for their sizes, and for the result; nothing is
-    sorted. Those of equal ids stand or fall together, as do all of null id.
-    A source of no words has target 0. No rows: none.
+    Documents are read twice: for their sizes, and for the result; they are not
+    sorted, only histograms and sources are. Rows equal in id and text stand or
+    fall together; a null id or text counts as empty. Whole texts are counted,
+    however long. A source of no words has target 0. Other columns stay as they
+    are, whatever their names but those. No rows: none.
     """
-    sized = cut(docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash")))
+    sized = cut(docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash")))
     return apply_thresholds(docs, thresholds(sized, cut(targets(sized, weights, share, most))))
 
 
 def apply_thresholds(docs: DataFrame, limits: DataFrame) -> DataFrame:
     of = limits.select(*(F.col(c).alias(f"__pw_{c}") for c in limits.columns))
     size = size_of(F.col("text"))
-    copies = F.col("__pw_copies") + (hash_of(F.col("doc_id")) < F.col("__pw_below")).cast("long")
+    copies = F.col("__pw_copies") + (hash_of(F.col("doc_id"), F.col("text")) < F.col("__pw_below")).cast("long")
     met = docs.join(small(of, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__pw_source")))
     out = met.select(docs["*"], size.alias("__pw_size"), "__pw_source_size", "__pw_target", copies.alias("__pw_copies"))
     return out.withColumn("__pw_taken", F.col("__pw_size") * F.col("__pw_copies"))
@@ -118,7 +145,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT), 0) AS h FROM documents),
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
     w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM s),
     r AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / w AS ratio FROM w),
@@ -140,6 +167,9 @@ FROM c
 def taken(docs: DataFrame) -> DataFrame:
     """The documents of the mix: their columns, and as ``mix_copies`` and ``mix_words`` what is taken of them.
 
-    Documents that are not taken, and those without words, go.
+    Documents that are not taken, and those without words, go. Columns of these
+    two names are replaced, so that a mix may be mixed again; all others stay as
+    they are. No rows: none.
     """
-    return mix(docs).where("__pw_taken > 0").select(*(f"`{c}`" for c in docs.columns), F.col("__pw_copies").alias("mix_copies"), F.col("__pw_taken").alias("mix_words"))
+    names = [f"`{c}`" for c in docs.columns if c not in ("mix_copies", "mix_words")]
+    return mix(docs).where("__pw_taken > 0").select(*names, F.col("__pw_copies").alias("mix_copies"), F.col("__pw_taken").alias("mix_words"))

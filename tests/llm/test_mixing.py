@@ -80,8 +80,28 @@ def test_equal_hashes_stand_together(spark):
 def test_hash_is_md5(spark):
     from pyspark.sql import functions as F
 
-    got = spark.range(5).select(mixing.hash_of(F.col("id")).alias("h")).collect()
-    assert [r["h"] for r in got] == [int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(5)]
+    got = spark.range(5).select(mixing.hash_of(F.col("id"), F.lit("é t")).alias("h")).collect()
+    assert [r["h"] for r in got] == [int(hashlib.md5(f"{i}\né t".encode()).hexdigest()[:15], 16) for i in range(5)]
+
+
+def test_rows_without_ids_come_near_their_target(spark):
+    rows = [(None, f"w{i} x y", "s") for i in range(500)] + [(3, f"v{i} x", "t") for i in range(300)] + [(i, "a b c d", "u") for i in range(400)]
+    sizes, target = brute(rows)
+    got = mixing.mix(docs(spark, rows)).groupBy("source").sum("__pw_taken").collect()
+    for s, taken in got:
+        assert abs(taken - target[s]) <= 4
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 13), f"s{i}" if i % 5 else None) for i in range(3000)]
+    run(spark, rows)
+
+
+def test_a_mix_can_be_mixed_again(spark):
+    df = docs(spark, [(i, "a b c", f"s{i % 3}") for i in range(60)], clash=True)
+    once = mixing.taken(df)
+    again = mixing.taken(once)
+    assert again.columns == once.columns and again.count() <= once.count()
 
 
 def test_no_python_in_the_plan(spark):
