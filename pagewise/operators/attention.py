@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import LOG2E, array_of, dot
-from .scoring import are_few, few
+from .scoring import are_few, few, meet
 
 #: Logit of no rows at all: the weighted sum is 0 then.
 NOTHING = -5e4
@@ -19,7 +19,7 @@ NOTHING = -5e4
 
 def logits(queries: DataFrame, tokens: DataFrame, dim: int, bias: Column | None = None, keep: Column | None = None, on: tuple[str, ...] = ("head",)) -> DataFrame:
     """Query and row pairs on the same head with base-2 ``logit``; ``keep`` masks rows out."""
-    met = tokens.join(few(queries), list(on))
+    met = meet(queries, tokens, list(on), "pos") if "query_id" in queries.columns else tokens.join(few(queries), list(on))
     met = met if keep is None else met.where(keep)
     score = dot("q", "k", dim) / math.sqrt(dim)
     return met.withColumn("logit", (score if bias is None else score + bias) * LOG2E)
@@ -78,15 +78,17 @@ def causal(tokens: DataFrame, dim: int, block: int = 256) -> DataFrame:
     """``seq_id``, ``pos``, ``head``, ``s``, ``o``: every row over the rows up to itself.
 
     Rows of a head and sequence lie in blocks; a block of queries meets each
-    block of keys not after it, in one task of two blocks, as matrix products.
-    States of block pairs merge by sums. What a task holds is two blocks, at
-    any length of sequence.
+    block of keys not after it, as matrix products of two blocks at a time. The
+    pairs are dealt by query block, so one long sequence is dealt over as many
+    tasks as it has blocks. States of block pairs merge by sums.
     """
     t = tokens.select("seq_id", "pos", "head", "k", "v").withColumn("b", F.floor(F.col("pos") / block).cast("long"))
     cells = lambda name: F.array_sort(F.collect_list(F.struct("pos", "k", "v"))).alias(name)
     packed = t.groupBy("seq_id", "head", "b").agg(cells("rows"))
     q = packed.select("seq_id", "head", F.col("b").alias("qb"), F.transform("rows", lambda r: F.struct(r["pos"].alias("pos"), r["k"].alias("k"))).alias("qr"))
-    pairs = packed.join(q, ["seq_id", "head"]).where(F.col("b") <= F.col("qb"))
+    last = few(tokens.groupBy("seq_id").agg(F.floor(F.max("pos") / block).cast("long").alias("last")))
+    keys = packed.join(last, "seq_id").select("seq_id", "head", "rows", F.explode(F.sequence("b", "last")).alias("qb"))
+    pairs = keys.join(q, ["seq_id", "head", "qb"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scoring import few
+
 #: Rows that one window of a prefix sum holds.
 SPAN = 4096
 
@@ -60,17 +62,29 @@ def seq_meta(rows: DataFrame, seq: str, page_size: int) -> DataFrame:
 def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` over rows before this one by integer ``key``.
 
-    Sums run within spans of the key, and over spans by their totals, so no
-    task orders more than a span or the list of spans.
+    Sums run within spans of the key, then over spans within spans of these, and
+    so on; the key's range gives the number of levels. So no task orders more
+    than SPAN keys at a time, whether keys are dense or far apart.
     """
-    spans = df.withColumn("__span", int_div(F.col(key), SPAN))
+    ends = df.agg(F.min(key), F.max(key)).first()
+    levels, width = 0, 0 if ends[0] is None else ends[1] // SPAN - ends[0] // SPAN
+    while width >= SPAN:
+        levels, width = levels + 1, width // SPAN
+    return _prefix(df, key, value, out, levels).withColumn(out, F.col(out).cast("long"))
+
+
+def _prefix(df: DataFrame, key: str, value: str, out: str, levels: int) -> DataFrame:
     inner = Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    spans = df.withColumn("__span", int_div(F.col(key), SPAN))
     totals = spans.groupBy("__span").agg(F.sum(value).alias("__total"))
-    outer = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col("__span").alias("__of"), F.coalesce(F.sum("__total").over(outer), F.lit(0)).alias("__before"))
+    if levels:
+        before = _prefix(totals.withColumnRenamed("__span", "__of"), "__of", "__total", "__before", levels - 1).select("__of", "__before")
+    else:  # SPAN spans at most
+        outer = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(F.col("__span").alias("__of"), F.coalesce(F.sum("__total").over(outer), F.lit(0)).alias("__before"))
     local = spans.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)))
     met = local.join(before, F.col("__span") == F.col("__of"))
-    return met.withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__span", "__of", "__before")
+    return met.withColumn(out, F.col(out) + F.col("__before")).drop("__span", "__of", "__before")
 
 
 def indptr(meta: DataFrame) -> DataFrame:
@@ -127,7 +141,7 @@ def anchor_layer(layer: Column, n_reuse: Column) -> Column:
 
 def eligible(pages: DataFrame, policy: DataFrame) -> DataFrame:
     """Layers that select pages: those with a budget that ``n_pages`` exceeds."""
-    return pages.join(F.broadcast(policy), "layer").where("budget IS NOT NULL AND n_pages > budget")
+    return pages.join(few(policy), "layer").where("budget IS NOT NULL AND n_pages > budget")
 
 
 def budget_split(n: Column, budget: int, n_sink: int, n_win: int, ratio: int) -> dict[str, Column]:
@@ -185,34 +199,50 @@ def contiguous_runs(ids: DataFrame, id_col: str = "id", least: int = 1) -> DataF
     """``start_id``, ``n`` of each maximal run of consecutive ids of ``least`` or more.
 
     A run starts at an id whose predecessor is not there. Ids are dealt to spans
-    and cut there; pieces that touch across a span's edge are joined by a second
-    pass over pieces alone.
+    and cut there. Pieces within a span are runs; only those that touch a span's
+    edge, two a span at most, are joined by a second pass.
     """
     i = ids.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("span", int_div(F.col("id"), SPAN))
     local = i.withColumn("isle", F.col("id") - F.row_number().over(Window.partitionBy("span").orderBy("id")))
     pieces = local.groupBy("span", "isle").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    edge = (F.pmod("a", F.lit(SPAN)) == 0) | (F.pmod("b", F.lit(SPAN)) == SPAN - 1)
     order = Window.orderBy("a")
     begins = F.when(F.col("a") == F.lag("b").over(order) + 1, 0).otherwise(1)
-    runs = pieces.select("a", "b", begins.alias("new")).select("a", "b", F.sum("new").over(order).alias("run"))
-    out = runs.groupBy("run").agg(F.min("a").alias("start_id"), F.max("b").alias("last"))
-    return out.select("start_id", (F.col("last") - F.col("start_id") + 1).alias("n")).where(F.col("n") >= least)
+    runs = pieces.where(edge).select("a", "b", begins.alias("new")).select("a", "b", F.sum("new").over(order).alias("run"))
+    joined = runs.groupBy("run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", "b")
+    whole = pieces.where(~edge).select("a", "b").unionByName(joined)
+    return whole.select(F.col("a").alias("start_id"), (F.col("b") - F.col("a") + 1).alias("n")).where(F.col("n") >= least)
+
+
+def allocate_run(ids: DataFrame, n: int, id_col: str = "id") -> int:
+    """The first id of the first ``n`` consecutive free ids; without such a run an error."""
+    first = contiguous_runs(ids, id_col, n).agg(F.min("start_id")).first()[0]
+    if first is None:
+        raise ValueError(f"no {n} consecutive pages are free")
+    return first
 
 
 def split_plan(pages: DataFrame, grids: DataFrame, n_heads: int = 1) -> DataFrame:
     """For each ``grid``: the fewest pages a chunk may have so that chunks times heads are at most ``grid``.
 
-    ``pages``: ``n_pages`` per sequence, counted by value, so the search is over
-    distinct lengths and candidate sizes. If even whole sequences are too many,
-    the longest is a chunk; an empty sequence counts as one chunk in the end.
-    Only lengths are looked at: the work is the longest times the different lengths.
+    ``pages``: ``n_pages`` per sequence, of which only the different lengths and
+    their counts are looked at, as one array: each grid's size is found in it by
+    bisection. If even whole sequences are too many, the longest is a chunk; an
+    empty sequence counts as one chunk in the end.
     """
     counts = pages.groupBy("n_pages").agg(F.count("*").alias("c"))
-    longest = pages.agg(F.greatest(F.max("n_pages"), F.lit(1)).alias("top"))
-    sizes = longest.select(F.explode(F.expr("sequence(1L, top)")).alias("size"))
-    chunk = lambda n: F.sum(F.ceil(n / F.col("size")) * F.col("c"))
-    by_size = sizes.join(F.broadcast(counts)).groupBy("size").agg(chunk(F.col("n_pages")).alias("n"), chunk(F.greatest(F.col("n_pages"), F.lit(1))).alias("made"))
-    met = grids.join(F.broadcast(by_size), F.col("n") * n_heads <= F.col("grid"), "left")
-    best = met.groupBy("grid").agg(F.min_by(F.struct("size", "made"), "size").alias("b"))
-    whole = by_size.agg(F.max_by(F.struct("size", "made"), "size").alias("w"))
-    out = best.join(F.broadcast(whole))
-    return out.select("grid", F.coalesce("b.size", "w.size").alias("pages_per_chunk"), F.coalesce("b.made", "w.made").alias("n_chunks"))
+    held = counts.agg(F.collect_list(F.struct("n_pages", "c")).alias("cs")).scalar()
+    long = lambda x: F.lit(x).cast("long")
+    rows = grids.select("grid", held.alias("cs"))
+    chunks = lambda size, least: F.aggregate("cs", long(0), lambda t, x: t + int_div(F.greatest(x["n_pages"], long(least)) + size - 1, size) * x["c"])
+    longest = F.greatest(F.aggregate("cs", long(1), lambda t, x: F.greatest(t, x["n_pages"])), long(1))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = int_div(s["lo"] + s["hi"], 2)
+        fits = chunks(middle, 0) * n_heads <= F.col("grid")
+        return F.when(s["lo"] >= s["hi"], s).when(fits, F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+
+    # lo..hi holds the answer; the longest is its end whether or not it fits.
+    start = F.struct(long(1).alias("lo"), longest.alias("hi"))
+    rows = rows.withColumn("size", F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, halve)["lo"])
+    return rows.select("grid", F.col("size").alias("pages_per_chunk"), chunks(F.col("size"), 1).alias("n_chunks"))

@@ -39,21 +39,28 @@ def _rounds(p: np.ndarray, us: np.ndarray, accept) -> tuple[int, bool]:
     return chosen, False
 
 
-def _rejection(probs: DataFrame, draws: DataFrame, accept) -> DataFrame:
-    """``row_id``, ``token_id``, ``success``; rows of a table of draws ``row_id``, ``round``, ``u``."""
+def _rejection(probs: DataFrame, draws: DataFrame, accept, each: DataFrame | None = None) -> DataFrame:
+    """``row_id``, ``token_id``, ``success``; rows of a table of draws ``row_id``, ``round``, ``u``.
+
+    ``each``: ``row_id`` and a value of the row's own, which ``accept`` is made from.
+    """
     p = probs.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "p"))).alias("ps"))
     u = draws.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("round", "u"))).alias("us"))
+    own = each is not None
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples():
                 ids = [x["token_id"] for x in r.ps]
-                i, ok = _rounds(np.array([x["p"] for x in r.ps]), np.array([x["u"] for x in r.us]), accept)
+                told = accept(r.own) if own else accept
+                i, ok = _rounds(np.array([x["p"] for x in r.ps]), np.array([x["u"] for x in r.us]), told)
                 out.append((r.row_id, ids[i], ok))
             yield pd.DataFrame(out, columns=["row_id", "token_id", "success"])
 
-    return p.join(u, "row_id").mapInPandas(work, "row_id long, token_id long, success boolean")
+    met = p.join(u, "row_id")
+    met = met.join(each.toDF("row_id", "own"), "row_id") if own else met
+    return met.mapInPandas(work, "row_id long, token_id long, success boolean")
 
 
 def top_k(probs: DataFrame, draws: DataFrame, k: int) -> DataFrame:
@@ -61,9 +68,11 @@ def top_k(probs: DataFrame, draws: DataFrame, k: int) -> DataFrame:
     return _rejection(probs, draws, lambda p, pivot, q: int((p > pivot).sum()) < k)
 
 
-def top_p(probs: DataFrame, draws: DataFrame, mass: float) -> DataFrame:
-    """Samples of the nucleus: accepted where what lies over the pivot weighs less than ``mass``."""
-    return _rejection(probs, draws, lambda p, pivot, q: 1 - q + mass > 1 + 1e-5)
+def top_p(probs: DataFrame, draws: DataFrame, mass: float | DataFrame) -> DataFrame:
+    """Samples of the nucleus: accepted where what lies over the pivot weighs less than
+    ``mass``, one number or a table ``row_id``, ``mass`` with one for each row."""
+    within = lambda m: lambda p, pivot, q: 1 - q + m > 1 + 1e-5
+    return _rejection(probs, draws, within, mass) if isinstance(mass, DataFrame) else _rejection(probs, draws, within(mass))
 
 
 def argmax(scores: DataFrame, by: str, token: str = "token_id") -> DataFrame:

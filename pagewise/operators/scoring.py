@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import array_of, cuboid_bound, dot
 
-#: Query rows that are sent to every task; more are joined by shuffle on the head.
+#: Query rows that are sent to every task; more are dealt in blocks of this size.
 BROADCAST_QUERIES = 10_000
+#: Parts that rows are dealt into where queries are not broadcast.
+ROW_PARTS = 64
 
 
 def are_few(rows: DataFrame, most: int = BROADCAST_QUERIES) -> bool:
@@ -21,6 +23,22 @@ def few(rows: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(rows) if are_few(rows, most) else rows
 
 
+def meet(queries: DataFrame, rows: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """All pairs of queries and rows that agree ``on``.
+
+    Few queries are broadcast. More are dealt in blocks by their id, and rows in
+    parts by ``spread``: a task joins one block with one part, so a head that
+    all rows share is dealt over parts times blocks of tasks.
+    """
+    if are_few(queries):
+        return rows.join(F.broadcast(queries), on)
+    blocks = queries.count() // BROADCAST_QUERIES + 1
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__part", numbers(ROW_PARTS))
+    r = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(ROW_PARTS))).withColumn("__block", numbers(blocks))
+    return r.join(q, [*on, "__block", "__part"]).drop("__block", "__part")
+
+
 def digests(tokens: DataFrame, dim: int, by: tuple[str, ...] = ("page_id", "head")) -> DataFrame:
     """Per-dimension greatest (``hi``) and least (``lo``) key elements of each page and head.
 
@@ -42,17 +60,15 @@ def merge_digests(old: DataFrame, new: DataFrame, dim: int, by: tuple[str, ...]
 def page_scores(queries: DataFrame, pages: DataFrame, dim: int) -> DataFrame:
     """``query_id``, ``page_id``, ``head``, ``score``: upper bounds of each page's dot products.
 
-    Queries (``query_id``, ``head``, ``q``) meet digests on the head; the
-    queries are broadcast, so digests are neither moved nor sorted.
+    Queries (``query_id``, ``head``, ``q``) meet digests on the head; see ``meet``.
     """
-    q = few(queries.select("query_id", "head", "q"))
-    return pages.join(q, "head").select("query_id", "page_id", "head", cuboid_bound("q", "hi", "lo", dim).alias("score"))
+    q = queries.select("query_id", "head", "q")
+    return meet(q, pages, ["head"], "page_id").select("query_id", "page_id", "head", cuboid_bound("q", "hi", "lo", dim).alias("score"))
 
 
 def exact_scores(queries: DataFrame, tokens: DataFrame, dim: int) -> DataFrame:
     """Dot products of queries and rows on the same head."""
-    q = few(queries.select("query_id", "head", "q"))
-    return tokens.join(q, "head").withColumn("score", dot("q", "k", dim))
+    return meet(queries.select("query_id", "head", "q"), tokens, ["head"], "pos").withColumn("score", dot("q", "k", dim))
 
 
 def group_mean(scores: DataFrame, group: int) -> DataFrame:

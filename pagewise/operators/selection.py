@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .scoring import few
 
 
 def top_pages(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "head"), least: bool = False) -> DataFrame:
@@ -110,10 +111,15 @@ def placement(pages: DataFrame, scores: DataFrame, n_pages: Column, k: int, n_si
 
 
 def reuse(selection: DataFrame, layers: DataFrame) -> DataFrame:
-    """Each layer's selection, which is its anchor's (``layer``, ``anchor``; anchor 0: its own)."""
+    """Each layer's selection, which is its anchor's (``layer``, ``anchor``; anchor 0: its own).
+
+    With an ``offset`` beside it, the layer's pool numbers a page so much higher than its anchor's.
+    """
     source = F.when(F.col("anchor") == 0, F.col("layer")).otherwise(F.col("anchor"))
-    of = layers.select("layer", source.alias("of"))
-    return selection.withColumnRenamed("layer", "of").join(F.broadcast(of), "of").drop("of")
+    offset = F.col("offset") if "offset" in layers.columns else F.lit(0)
+    of = layers.select("layer", source.alias("of"), offset.cast("long").alias("__offset"))
+    met = selection.withColumnRenamed("layer", "of").join(few(of), "of")
+    return met.withColumn("page_id", F.col("page_id") + F.col("__offset")).drop("of", "__offset")
 
 
 def gather(recalled: DataFrame, pool: DataFrame, on: list[str]) -> DataFrame:
@@ -122,12 +128,24 @@ def gather(recalled: DataFrame, pool: DataFrame, on: list[str]) -> DataFrame:
 
 
 def pruned_top_rows(queries: DataFrame, tokens: DataFrame, page_scores: DataFrame, dim: int, n_pages: int, k: int) -> DataFrame:
-    """The ``k`` best rows of each query and head among its ``n_pages`` best pages by bound.
+    """The ``k`` best rows of each query and head, exactly, from the pages that may hold them.
 
-    Only rows of those pages are scored. The bound is never under a row's score,
-    so what is found is exact once the k-th row beats the next page's bound.
+    ``page_scores`` are bounds that no row of a page exceeds. First the rows of
+    the ``n_pages`` pages of greatest bound are scored; then those of every other
+    page whose bound is not under the k-th score found, and no others.
     """
-    pages = top_pages(page_scores, n_pages).select("query_id", "head", "page_id")
-    scored = tokens.join(pages.join(queries, ["query_id", "head"]), ["head", "page_id"]).withColumn("score", dot("q", "k", dim))
-    w = Window.partitionBy("query_id", "head").orderBy(F.round("score", 6).desc(), "pos")
-    return scored.select("query_id", "head", "pos", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    near = 1e-6  # scores are told apart at six digits
+    by = ["query_id", "head"]
+    ranked = page_scores.select(*by, "page_id", "score").withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "page_id")))
+    q = few(queries.select(*by, "q"))
+    w = Window.partitionBy(*by).orderBy(F.round("score", 6).desc(), "pos")
+
+    def best(pages: DataFrame) -> DataFrame:
+        scored = tokens.join(pages.join(q, by), ["head", "page_id"]).select(*by, "pos", dot("q", "k", dim).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    first = best(ranked.where(F.col("i") <= n_pages).drop("score", "i"))
+    floor = first.groupBy(*by).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    open_ = ranked.where(F.col("i") > n_pages).join(floor, by, "left").where(F.col("floor").isNull() | (F.col("score") >= F.col("floor") - near))
+    both = first.drop("rank").unionByName(best(open_.drop("score", "i", "floor")).drop("rank"))
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "pos", "score", "rank")

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import alibi_bias, tidy
-from ..operators import attention, paging
+from ..operators import attention, paging, scoring
 from .queries_paging import sequences
 from .queries_selection import SUMMED, TOK, D, H, P, query_rows, select_with_sink_window, tokens
 from .registry import query
 
-N = 4
 LOGITS = "sum(q.k * t.k) / sqrt(16)"
 STATE = """m AS (SELECT {by}, max(s) AS m FROM lg GROUP BY ALL),
     w AS (SELECT lg.*, pow(2.0, s - m) AS w, m FROM lg JOIN m USING ({by})),
@@ -21,7 +20,7 @@ OUT = "SELECT query_id, head, CAST(dim AS INTEGER) AS dim, round(o, 6) + 0.0 AS
 
 def _sql(where: str = "true", bias: str = "", join: str = "") -> str:
     lg = f"""lg AS (SELECT q.vec_id AS query_id, t.vec_id, t.head, ({LOGITS}{bias}) * log2(exp(1)) AS s FROM tok q JOIN tok t USING (head, dim) {join}
-    WHERE q.vec_id < 4 AND {where} GROUP BY q.vec_id, t.vec_id, t.head)"""
+    WHERE q.vec_id % 20 = 0 AND {where} GROUP BY q.vec_id, t.vec_id, t.head)"""
     return f"{lg}, {STATE.format(by='query_id, head')} {OUT}"
 
 
@@ -33,7 +32,7 @@ def _out(states: DataFrame) -> DataFrame:
 @query(f"WITH {TOK}, {_sql()}")
 def decode_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir)
-    return _out(attention.attend(query_rows(t, N), t, D))
+    return _out(attention.attend(query_rows(t), t, D))
 
 
 @query(f"WITH {TOK}, {_sql('t.vec_id % 16 < 16 - (t.vec_id // 16) % 3')}")
@@ -41,17 +40,17 @@ def decode_attention_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of which only the first rows are valid."""
     t = tokens(spark, sf_dir)
     valid = paging.slot_of(F.col("pos"), P) < P - F.pmod(F.col("page_id"), F.lit(3))
-    return _out(attention.attend(query_rows(t, N), t, D, keep=valid))
+    return _out(attention.attend(query_rows(t), t, D, keep=valid))
 
 
-@query(f"""WITH {TOK}, qq AS (SELECT vec_id, CAST(h AS INTEGER) AS head, h // 2 AS kv, dim, k FROM tok JOIN range(0, 4) r(h) ON head = h WHERE vec_id < 4),
+@query(f"""WITH {TOK}, qq AS (SELECT vec_id, CAST(h AS INTEGER) AS head, h // 2 AS kv, dim, k FROM tok JOIN range(0, 4) r(h) ON head = h WHERE vec_id % 20 = 0),
     lg AS (SELECT q.vec_id AS query_id, t.vec_id, q.head, q.kv, {LOGITS} * log2(exp(1)) AS s FROM qq q JOIN tok t ON t.head = q.kv AND t.dim = q.dim GROUP BY ALL),
     m AS (SELECT query_id, head, max(s) AS m FROM lg GROUP BY ALL), w AS (SELECT lg.*, pow(2.0, s - m) AS w, m FROM lg JOIN m USING (query_id, head)),
     st AS (SELECT w.query_id, w.head, t.dim, sum(w * t.v) / sum(w) AS o, max(m) + log2(sum(w)) AS lse FROM w JOIN tok t ON t.vec_id = w.vec_id AND t.head = w.kv GROUP BY ALL) {OUT}""")
 def grouped_query_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four query heads over the first two key heads."""
     t = tokens(spark, sf_dir)
-    q = query_rows(t, N).withColumn("kv", paging.kv_head(F.col("head"), H, H // 2))
+    q = query_rows(t).withColumn("kv", paging.kv_head(F.col("head"), H, H // 2))
     rows = t.where("head < 2").withColumnRenamed("head", "kv")
     return _out(attention.attend(q, rows, D, on=("kv",)))
 
@@ -62,7 +61,7 @@ BIAS = " + pow(2.0, -8.0 * (t.head + 1) / 4) * (t.vec_id - q.vec_id)"
 @query(f"WITH {TOK}, {_sql(bias=BIAS)}")
 def alibi_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir)
-    return _out(attention.attend(query_rows(t, N), t, D, bias=alibi_bias(F.col("head"), H, F.col("query_id"), F.col("pos"))))
+    return _out(attention.attend(query_rows(t), t, D, bias=alibi_bias(F.col("head"), H, F.col("query_id"), F.col("pos"))))
 
 
 @query(f"""WITH {TOK}, sq AS (SELECT vec_id, CAST(label AS BIGINT) AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
@@ -114,11 +113,11 @@ def append_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     t = tokens(spark, sf_dir)
-    pairs = attention.logits(query_rows(t, N), t if keep is None else t.where(keep), D)
+    pairs = attention.logits(query_rows(t), t if keep is None else t.where(keep), D)
     return attention.states(pairs, ["query_id", "head", "page_id"], D)
 
 
-@query(f"""WITH {TOK}, lg AS (SELECT q.vec_id AS query_id, t.vec_id, t.page_id, t.head, {LOGITS} * log2(exp(1)) AS s FROM tok q JOIN tok t USING (head, dim) WHERE q.vec_id < 4 GROUP BY ALL),
+@query(f"""WITH {TOK}, lg AS (SELECT q.vec_id AS query_id, t.vec_id, t.page_id, t.head, {LOGITS} * log2(exp(1)) AS s FROM tok q JOIN tok t USING (head, dim) WHERE q.vec_id % 20 = 0 GROUP BY ALL),
     m AS (SELECT query_id, head, page_id, max(s) AS m FROM lg GROUP BY ALL)
 SELECT query_id, head, page_id, round(max(m) + log2(sum(pow(2.0, s - m))), 6) + 0.0 AS s, round(sum(pow(2.0, s - m) * t.v) / sum(pow(2.0, s - m)), 6) + 0.0 AS v0
 FROM lg JOIN m USING (query_id, head, page_id) JOIN (SELECT vec_id, head, v FROM tok WHERE dim = 0) t USING (vec_id, head) GROUP BY query_id, head, page_id""")
@@ -145,7 +144,7 @@ def cascade_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shared prefix of eight pages, and what follows it."""
     by = ["query_id", "head"]
     t = tokens(spark, sf_dir)
-    q = query_rows(t, N)
+    q = query_rows(t)
     prefix, suffix = (attention.attend(q, t.where(c), D) for c in (F.col("page_id") < 8, F.col("page_id") >= 8))
     return _out(attention.merge_states(prefix.unionByName(suffix), by, D))
 
@@ -155,14 +154,14 @@ def cascade_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the selected, first and last pages only."""
     t = tokens(spark, sf_dir)
-    q = query_rows(t, N).join(select_with_sink_window(spark, sf_dir).drop("kind"), "query_id")
-    return _out(attention.states(attention.logits(q, t, D, on=("head", "page_id")), ["query_id", "head"], D, few_groups=True))
+    q = query_rows(t).join(select_with_sink_window(spark, sf_dir).drop("kind"), "query_id")
+    return _out(attention.states(attention.logits(q, t, D, on=("head", "page_id")), ["query_id", "head"], D, few_groups=scoring.are_few(q)))
 
 
-@query("""SELECT CAST(q AS BIGINT) AS query_id, CAST(h AS INTEGER) AS head, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS o, -50000.0::DOUBLE AS lse FROM range(0, 4) a(q), range(0, 4) b(h), range(0, 16) c(d)""")
+@query("""SELECT vec_id AS query_id, CAST(h AS INTEGER) AS head, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS o, -50000.0::DOUBLE AS lse FROM embeddings, range(0, 4) b(h), range(0, 16) c(d) WHERE vec_id % 20 = 0""")
 def empty_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over no rows at all."""
     t = tokens(spark, sf_dir)
-    q = query_rows(t, N)
+    q = query_rows(t)
     got = attention.attend(q, t.where("page_id < 0"), D)
     return _out(attention.with_empty(got, q, ["query_id", "head"], D))

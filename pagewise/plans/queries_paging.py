@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import ceil_div, power_of_two
 from ..operators import paging
+from ..session import shared_dir
 from ..streaming.append import resident_pages, run_available
 from .registry import query, table
 
@@ -205,6 +205,5 @@ def event_stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = [f for f in e.inputFiles() if not f.rstrip("/").endswith("events.parquet")]
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(at if files else f"{sf_dir}/events*.parquet")
     states = resident_pages(stream.select(F.col("user_id").alias("seq_id")), EVENT_P, EVENT_BUDGET, n_win=3)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    done = run_available(states, f"{shared.rstrip('/')}/events-{uuid.uuid4().hex}")
+    done = run_available(states, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
     return done.select(F.col("seq_id").alias("user_id"), F.posexplode("slots").alias("slot", "page_id")).withColumn("slot", F.col("slot").cast("long"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, linear, rms_norm, rope, tidy
 from ..operators import paging, sampling, scoring, selection
 from .registry import query, table
 
-H, D, P, SINK, WIN, K, N_QUERIES = 4, 16, 16, 2, 2, 4, 8
+H, D, P, SINK, WIN, K = 4, 16, 16, 2, 2, 4
+#: Searches take every row whose id is divisible by this as a query, against all rows.
+EVERY = 20
 #: A fixed direction for projections, of unit length.
 DIRECTION = [(i % 5 - 2) / 30**0.5 for i in range(D)]
 
@@ -19,7 +21,7 @@ SCORES = f"""{TOK},
     dig AS (SELECT page_id, head, dim, max(k) AS hi, min(k) AS lo FROM tok GROUP BY ALL),
     np AS (SELECT max(page_id) + 1 AS n FROM dig),
     sc AS (SELECT q.vec_id AS query_id, d.page_id, d.head, sum(greatest(q.k * hi, q.k * lo)) AS raw, round(raw, 6) + 0.0 AS score
-        FROM tok q JOIN dig d USING (head, dim) WHERE q.vec_id < 8 GROUP BY ALL)"""
+        FROM tok q JOIN dig d USING (head, dim) WHERE q.vec_id % 20 = 0 GROUP BY ALL)"""
 TOP = f"""{SCORES},
     rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, page_id) AS rank FROM sc),
     sel AS (SELECT query_id, head, rank, page_id, score FROM rk WHERE rank <= 4)"""
@@ -28,6 +30,10 @@ SUMMED = f"""{SCORES},
     ca AS (SELECT hs.* FROM hs, np WHERE page_id >= 2 AND page_id < n - 2),
     cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM ca)"""
 
+EXACT = f"""WITH {TOK}, sc AS (SELECT q.vec_id AS query_id, t.head, t.vec_id AS pos, round(sum(q.k * t.k), 6) + 0.0 AS score FROM tok q JOIN tok t USING (head, dim)
+    WHERE q.vec_id % 20 = 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, pos) AS rank FROM sc)
+SELECT query_id, head, CAST(rank AS INTEGER) AS rank, pos, score FROM rk WHERE rank <= 10"""
+
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as one sequence: ``pos``, ``page_id``, ``head``, ``k``, ``v``."""
@@ -35,8 +41,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.split_heads(e, H, D).withColumn("page_id", paging.page_of(F.col("pos"), P))
 
 
-def query_rows(toks: DataFrame, n: int = N_QUERIES) -> DataFrame:
-    return toks.where(F.col("pos") < n).select(F.col("pos").alias("query_id"), "head", F.col("k").alias("q"))
+def query_rows(toks: DataFrame) -> DataFrame:
+    return toks.where(F.col("pos") % EVERY == 0).select(F.col("pos").alias("query_id"), "head", F.col("k").alias("q"))
 
 
 def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +71,13 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Selections of each query but the first, and what is resident then: the one before's."""
     s = selected(spark, sf_dir)
-    resident = s.select((F.col("query_id") + 1).alias("query_id"), "head", "page_id").where(F.col("query_id") < N_QUERIES)
-    return s.where("query_id >= 1"), resident
+    return s.where(F.col("query_id") >= EVERY), _moved_on(s.select("query_id", "head", "page_id"))
+
+
+def _moved_on(chosen: DataFrame) -> DataFrame:
+    """What each query chose, as resident when the next one comes."""
+    ids = chosen.select("query_id").distinct()
+    return chosen.withColumn("query_id", F.col("query_id") + EVERY).join(scoring.few(ids), "query_id", "left_semi")
 
 
 @query(f"WITH {SCORES} SELECT page_id, head, CAST(dim AS INTEGER) AS dim, round(hi, 6) + 0.0 AS hi, round(lo, 6) + 0.0 AS lo FROM dig")
@@ -106,9 +117,7 @@ def bottomk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.top_pages(scores(spark, sf_dir), K, least=True).select("query_id", "head", "rank", "page_id", "score")
 
 
-@query(f"""WITH {TOK}, sc AS (SELECT q.vec_id AS query_id, t.head, t.vec_id AS pos, round(sum(q.k * t.k), 6) + 0.0 AS score FROM tok q JOIN tok t USING (head, dim)
-    WHERE q.vec_id < 8 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, pos) AS rank FROM sc)
-SELECT query_id, head, CAST(rank AS INTEGER) AS rank, pos, score FROM rk WHERE rank <= 10""")
+@query(EXACT)
 def exact_topk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact nearest rows of each query and head, which indexed search is held against."""
     t = tokens(spark, sf_dir)
@@ -141,7 +150,7 @@ def first_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.first_unique(e, "event_type", "event_id", 3, ("user_id",)).select("user_id", "event_type", "rnk")
 
 
-STEP = f"""{TOP}, now AS (SELECT * FROM sel WHERE query_id >= 1), was AS (SELECT query_id + 1 AS query_id, head, page_id FROM sel WHERE query_id < 7),
+STEP = f"""{TOP}, now AS (SELECT * FROM sel WHERE query_id >= 20), was AS (SELECT query_id + 20 AS query_id, head, page_id FROM sel WHERE query_id + 20 IN (SELECT query_id FROM sel)),
     rec AS (SELECT n.query_id, n.head, n.rank, n.page_id FROM now n LEFT JOIN was w USING (query_id, head, page_id) WHERE w.page_id IS NULL),
     evi AS (SELECT w.query_id, w.head, w.page_id FROM was w ANTI JOIN now n USING (query_id, head, page_id))"""
 
@@ -174,15 +183,21 @@ def recall_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "head", "page_id", paging.slot_of(F.col("pos"), P).alias("slot"), F.col("pos").alias("vec_id"), tidy(F.col("k")[0]).alias("k0"))
 
 
-@query(f"""WITH {SCORES}, pr AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, page_id) AS i FROM sc),
-    ex AS (SELECT p.query_id, p.head, t.vec_id AS pos, round(sum(q.k * t.k), 6) + 0.0 AS score FROM pr p JOIN tok t USING (head, page_id)
-        JOIN tok q ON q.vec_id = p.query_id AND q.head = p.head AND q.dim = t.dim WHERE i <= 8 GROUP BY ALL),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, pos) AS rank FROM ex)
-SELECT query_id, head, CAST(rank AS INTEGER) AS rank, pos, score FROM rk WHERE rank <= 10""")
+@query(EXACT)
 def digest_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest rows sought in the eight pages of greatest bound only."""
+    """Nearest rows, sought in the pages whose bound leaves them a chance only."""
     t = tokens(spark, sf_dir)
-    got = selection.pruned_top_rows(query_rows(t), t, scores(spark, sf_dir), D, 8, 10)
+    got = selection.pruned_top_rows(query_rows(t), t, raw_scores(spark, sf_dir), D, 8, 10)
+    return got.withColumn("score", tidy(F.col("score")))
+
+
+@query(EXACT)
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows by way of an index: rows clustered into pages by projection, and those pages' digests."""
+    t = tokens(spark, sf_dir)
+    index = scoring.projection_pages(t.drop("page_id"), DIRECTION, P)
+    bounds = scoring.page_scores(query_rows(t), scoring.digests(index, D), D)
+    got = selection.pruned_top_rows(query_rows(t), index, bounds, D, 8, 10)
     return got.withColumn("score", tidy(F.col("score")))
 
 
@@ -197,15 +212,15 @@ def scatter_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.scatter(selection.recall_set(now, was, None, on), selection.evict_set(now, was, on), ["query_id", "head"])
 
 
-@query(f"""WITH {SUMMED}, now AS (SELECT * FROM cr WHERE rank <= 4 AND query_id >= 1), was AS (SELECT query_id + 1 AS query_id, page_id FROM cr WHERE rank <= 4 AND query_id < 7),
+@query(f"""WITH {SUMMED}, now AS (SELECT * FROM cr WHERE rank <= 4 AND query_id >= 20), was AS (SELECT query_id + 20 AS query_id, page_id FROM cr WHERE rank <= 4 AND query_id + 20 IN (SELECT query_id FROM cr)),
     ch AS (SELECT n.query_id, n.page_id, CASE WHEN w.page_id IS NULL THEN 'recall' ELSE 'hit' END AS action FROM now n LEFT JOIN was w USING (query_id, page_id)),
     nr AS (SELECT query_id, count(*) FILTER (action = 'recall') AS n FROM ch GROUP BY 1),
     vi AS (SELECT ca.query_id, ca.page_id, row_number() OVER (PARTITION BY ca.query_id ORDER BY score, ca.page_id) AS i FROM ca JOIN was USING (query_id, page_id))
 SELECT * FROM ch UNION ALL SELECT query_id, page_id, 'victim' FROM vi JOIN nr USING (query_id) WHERE i <= n""")
 def select_topk_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summed_candidates(spark, sf_dir)
-    was = selection.top_pages(s, K, ("query_id",)).where(F.col("query_id") < N_QUERIES - 1).select((F.col("query_id") + 1).alias("query_id"), "page_id")
-    return selection.reconcile(s.where("query_id >= 1"), was, K)
+    was = _moved_on(selection.top_pages(s, K, ("query_id",)).select("query_id", "page_id"))
+    return selection.reconcile(s.where(F.col("query_id") >= EVERY), was, K)
 
 
 @query(f"""WITH {SUMMED} SELECT query_id, page_id, page_id < 2 OR page_id >= n - 2 OR coalesce(rank <= 6, false) AS resident
@@ -246,36 +261,64 @@ def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.groupBy("query_id").agg(F.sum("e").alias("z")), "query_id").select(F.col("query_id").alias("row_id"), F.col("page_id").alias("token_id"), (F.col("e") / F.col("z")).alias("p"))
 
 
+def _uniform(i: Column) -> Column:
+    """A fixed number between 0 and 1 for each whole one."""
+    return (F.pmod(i * 37, F.lit(100)) + 0.5) / 100
+
+
 @query(f"""WITH {PROBS}, cd AS (SELECT *, sum(p) OVER (PARTITION BY query_id ORDER BY page_id) AS c FROM pr)
-SELECT query_id, coalesce(min(page_id) FILTER (c > (query_id + 0.5) / 8), max(page_id)) AS page_id FROM cd GROUP BY query_id""")
+SELECT query_id, coalesce(min(page_id) FILTER (c > ((query_id // 20 * 37) % 100 + 0.5) / 100), max(page_id)) AS page_id FROM cd GROUP BY query_id""")
 def inverse_cdf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _probs(spark, sf_dir)
-    draws = spark.range(N_QUERIES).select(F.col("id").alias("row_id"), ((F.col("id") + 0.5) / N_QUERIES).alias("u"))
+    draws = p.select("row_id").distinct().withColumn("u", _uniform(paging.int_div(F.col("row_id"), EVERY)))
     return sampling.inverse_cdf(p, draws).select(F.col("row_id").alias("query_id"), F.col("token_id").alias("page_id"))
 
 
-@query(f"""WITH {PROBS}, cd AS (SELECT *, sum(p) OVER (PARTITION BY query_id ORDER BY page_id) AS c FROM pr), u AS (SELECT d, d % 8 AS query_id, ((d * 37) % 100 + 0.5) / 100 AS u FROM range(0, 40) r(d))
+@query(f"""WITH {PROBS}, cd AS (SELECT *, sum(p) OVER (PARTITION BY query_id ORDER BY page_id) AS c FROM pr), u AS (SELECT query_id // 20 * 3 + j AS d, query_id, ((query_id // 20 * 3 + j) * 37 % 100 + 0.5) / 100 AS u FROM (SELECT DISTINCT query_id FROM pr), range(0, 3) r(j))
 SELECT CAST(d AS BIGINT) AS draw, coalesce(min(page_id) FILTER (c > u), max(page_id)) AS page_id FROM cd JOIN u USING (query_id) GROUP BY d""")
 def parallel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many draws that share probability rows by row index."""
-    u = (F.pmod(F.col("id") * 37, F.lit(100)) + 0.5) / 100
-    draws = spark.range(40).select(F.col("id").alias("draw"), F.pmod(F.col("id"), F.lit(8)).alias("row_id"), u.alias("u"))
-    return sampling.inverse_cdf(_probs(spark, sf_dir), draws).select("draw", F.col("token_id").alias("page_id"))
+    p = _probs(spark, sf_dir)
+    draws = p.select("row_id").distinct().select("row_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    draws = draws.select((paging.int_div(F.col("row_id"), EVERY) * 3 + F.col("j")).alias("draw"), "row_id").withColumn("u", _uniform(F.col("draw")))
+    return sampling.inverse_cdf(p, draws).select("draw", F.col("token_id").alias("page_id"))
+
 
+ROUNDS = 32
+#: Rejection rounds in SQL: over the pivot draw, then accept or raise the pivot to what was drawn.
+REJECT = """WITH RECURSIVE {probs}, q AS (SELECT query_id, list(page_id ORDER BY page_id) AS ids, list(p ORDER BY page_id) AS ps FROM pr GROUP BY 1),
+    st AS (SELECT query_id, ids, ps, 0 AS r, 0.0::DOUBLE AS bar, 1.0::DOUBLE AS mass, 0::BIGINT AS pick, false AS ok FROM q
+    UNION ALL SELECT query_id, ids, ps, r + 1, greatest(bar, ps[i]), m, i, {accept} FROM (
+        SELECT *, coalesce(list_sum(list_filter(ps, lambda x: x > greatest(bar, ps[i]))), 0.0) AS m, len(list_filter(ps, lambda x: x > greatest(bar, ps[i]))) AS n FROM (
+            SELECT *, coalesce(list_min(list_filter(range(1, len(ps) + 1), lambda j: list_sum([CASE WHEN x > bar THEN x ELSE 0.0 END FOR x IN ps[1:j]]) > u * mass)), len(ps)) AS i FROM (
+                SELECT *, ((query_id // 20 * 31 + r * 17) % 97 + 0.5) / 97 AS u FROM st WHERE NOT ok AND r < 32 AND mass > 0)))),
+    z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS b FROM st)
+SELECT query_id, ids[pick] AS token_id, ok AS success FROM z WHERE b = 1"""
 
-def _draws(spark: SparkSession) -> DataFrame:
-    rounds = spark.range(N_QUERIES).withColumnRenamed("id", "row_id").join(spark.range(32).withColumnRenamed("id", "round"))
-    return rounds.withColumn("u", (F.pmod(F.col("row_id") * 31 + F.col("round") * 17, F.lit(97)) + 0.5) / 97)
 
+def _draws(p: DataFrame) -> DataFrame:
+    rounds = p.select("row_id").distinct().select("row_id", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
+    return rounds.withColumn("u", (F.pmod(paging.int_div(F.col("row_id"), EVERY) * 31 + F.col("round") * 17, F.lit(97)) + 0.5) / 97)
 
-@query()
+
+@query(REJECT.format(probs=PROBS, accept="n < 5"))
 def topk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.top_k(_probs(spark, sf_dir), _draws(spark), 5).withColumnRenamed("row_id", "query_id")
+    p = _probs(spark, sf_dir)
+    return sampling.top_k(p, _draws(p), 5).withColumnRenamed("row_id", "query_id")
 
 
-@query()
+@query(REJECT.format(probs=PROBS, accept="1 - m + 0.5 > 1 + 1e-5"))
 def topp_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.top_p(_probs(spark, sf_dir), _draws(spark), 0.5).withColumnRenamed("row_id", "query_id")
+    p = _probs(spark, sf_dir)
+    return sampling.top_p(p, _draws(p), 0.5).withColumnRenamed("row_id", "query_id")
+
+
+@query(REJECT.format(probs=PROBS, accept="1 - m + (0.3 + 0.1 * (query_id // 20 % 5)) > 1 + 1e-5"))
+def topp_sample_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with a nucleus of its own."""
+    p = _probs(spark, sf_dir)
+    mass = p.select("row_id").distinct().withColumn("mass", 0.3 + 0.1 * F.pmod(paging.int_div(F.col("row_id"), EVERY), F.lit(5)))
+    return sampling.top_p(p, _draws(p), mass).withColumnRenamed("row_id", "query_id")
 
 
 @query(f"WITH {PROBS} SELECT query_id, arg_max(page_id, (p, -page_id)) AS page_id FROM pr GROUP BY 1")
@@ -283,23 +326,22 @@ def greedy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.argmax(_probs(spark, sf_dir), "row_id").select(F.col("row_id").alias("query_id"), F.col("token_id").alias("page_id"))
 
 
-ANGLE = "vec_id * pow(10000.0, -2.0 * (a.dim % 8) / 16)"
-ROPE = """WITH {tok} SELECT a.vec_id, a.head, CAST(a.dim AS INTEGER) AS dim,
-    round(a.k * cos({angle}) + CASE WHEN a.dim < 8 THEN -b.k ELSE b.k END * sin({angle}), 6) + 0.0 AS k
-FROM tok a JOIN tok b ON a.vec_id = b.vec_id AND a.head = b.head AND b.dim = (a.dim + 8) % 16"""
+ANGLE = "vec_id * pow(10000.0, -2.0 * (dim % 8) / 16)"
+ROPE = """WITH t AS (SELECT vec_id, embedding AS e, CAST((i - 1) // 16 AS INTEGER) AS head, CAST((i - 1) % 16 AS INTEGER) AS dim, i FROM embeddings, range(1, 65) r(i))
+SELECT vec_id, head, dim, round(CAST(e[i] AS DOUBLE) * cos({angle}) + CASE WHEN dim < 8 THEN -CAST(e[i + 8] AS DOUBLE) ELSE CAST(e[i - 8] AS DOUBLE) END * sin({angle}), 6) + 0.0 AS k FROM t"""
 
 
 def _long(df: DataFrame, keys: list[str], c: str, out: str) -> DataFrame:
     return df.select(*keys, F.posexplode(c).alias("dim", out)).withColumn(out, tidy(F.col(out)))
 
 
-@query(ROPE.format(tok=TOK, angle="a." + ANGLE))
+@query(ROPE.format(angle=ANGLE))
 def rope_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir).select(F.col("pos").alias("vec_id"), "head", rope(F.col("k"), F.col("pos"), D).alias("r"))
     return _long(t, ["vec_id", "head"], "r", "k")
 
 
-@query(ROPE.format(tok=TOK, angle="(a.vec_id + 100) * pow(10000.0, -2.0 * (a.dim % 8) / 16) / 2.0"))
+@query(ROPE.format(angle="(vec_id + 100) * pow(10000.0, -2.0 * (dim % 8) / 16) / 2.0"))
 def rope_past_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With rows already in the cache, and positions scaled."""
     t = tokens(spark, sf_dir).select(F.col("pos").alias("vec_id"), "head", rope(F.col("k"), F.col("pos"), D, scale=2.0, past=100).alias("r"))

@@ -28,3 +28,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(at))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, from ``spark.checkpoint.dir``; a local one only where master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if at is None and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (at or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
