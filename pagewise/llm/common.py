@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of characters other than these six; ``bytes.split()`` cuts at the same ones.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -78,6 +79,32 @@ def octets(column: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+#: Names of a row's key.
+ROW = ["__pw_row", "__pw_row2"]
+
+
+def row_key(columns: list[str], schema: T.StructType) -> list[Column]:
+    """Two longs that tell rows apart by all their columns; maps are compared by their sorted entries."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return plain(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    def value(c: str) -> Column:
+        kind, x = schema[c].dataType, F.col(f"`{c}`")
+        if plain(kind):
+            return x
+        if isinstance(kind, T.MapType) and plain(kind.keyType) and plain(kind.valueType):
+            return F.array_sort(F.map_entries(x))
+        return F.to_json(F.struct(x.alias("x")))
+
+    values = [value(c) for c in columns]
+    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "__pw_row"), (2, "__pw_row2"))]
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows
@@ -92,4 +119,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["SPACE", "Scratch", "cut", "delete", "fits", "new_dir", "octets", "read", "salted", "shared_dir", "small"]
+__all__ = ["ROW", "SPACE", "Scratch", "cut", "delete", "fits", "new_dir", "octets", "read", "row_key", "salted", "shared_dir", "small"]

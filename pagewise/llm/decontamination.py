@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, octets
+from .common import ROW, cut, octets, row_key, small
 
 WINDOW = 10
 #: UTF-8 octets: A-Z in lower case, other ASCII but digits and letters to blanks.
@@ -23,9 +24,11 @@ DIGEST = T.StructType(
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
         T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "first", "past")]))),
     ]
 )
+#: Texts with findings in one of several blocks that are broadcast; more are joined by shuffle.
+BROADCAST_FOUND = 100_000
 
 
 def windows(text: bytes, size: int = WINDOW) -> set[str]:
@@ -36,17 +39,16 @@ def windows(text: bytes, size: int = WINDOW) -> set[str]:
 
 
 def blocks(items: Iterator[tuple[str, bytes]], size: int, most: int) -> Iterator[dict[str, list[str]]]:
-    """Windows with the items that have them, in blocks of at most ``most`` octets (one item at least)."""
+    """Windows with the items that have them, in blocks of about ``most`` octets; a large item is split too."""
     out: dict[str, list[str]] = {}
     held = 0
     for item, text in items:
-        new = windows(text, size)
-        if out and held + sum(map(len, new)) > most:
-            yield out
-            out, held = {}, 0
-        for w in new:
+        for w in windows(text, size):
+            if out and held + len(w) > most:
+                yield out
+                out, held = {}, 0
             out.setdefault(w, []).append(item)
-        held += sum(map(len, new))
+            held += len(w)
     yield out
 
 
@@ -65,8 +67,8 @@ class Scanner:
 
     def build(self):
         self.machine = ahocorasick.Automaton()
-        for w, items in self.found.items():
-            self.machine.add_word(f" {w} ", (len(w.split(" ")), len(w) + 2, items))
+        for i, (w, items) in enumerate(self.found.items()):
+            self.machine.add_word(f" {w} ", (i, len(w.split(" ")), len(w) + 2, items))
         if self.found:
             self.machine.make_automaton()
 
@@ -81,10 +83,13 @@ class Scanner:
         starts: list[int] = []
         runs: list[list[int]] = []
         items: set[str] = set()
-        for end, (n, length, names) in self.machine.iter(line):
+        seen: set[int] = set()  # windows, so that the names of each are added once
+        for end, (i, n, length, names) in self.machine.iter(line):
             if not starts:
                 starts = np.concatenate(([1], np.cumsum([len(w) + 1 for w in words])[:-1] + 1)).tolist()
-            items.update(names)
+            if i not in seen:
+                seen.add(i)
+                items.update(names)
             first = bisect_right(starts, end - length + 2) - 1
             runs.append([first, first + n])
         merged: list[list[int]] = []
@@ -115,7 +120,11 @@ def benchmark_blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[dic
 
 
 def hits_column(spark: SparkSession, found: dict[str, list[str]], text_col: str = "text") -> Column:
-    """Struct of words, hit words, items and source spans of each text, against one block."""
+    """Struct of words, hit words, items and spans of each text, against one block.
+
+    A span is a run of hit words: its code points ``start`` to ``end`` in the
+    source, and its words ``first`` to ``past``, ends exclusive.
+    """
     held = spark.sparkContext.broadcast(Scanner(found))
 
     @F.pandas_udf(DIGEST)
@@ -123,60 +132,64 @@ def hits_column(spark: SparkSession, found: dict[str, list[str]], text_col: str
         rows = []
         for t in text:
             n, runs, items = held.value.scan(t)
-            rows.append((n, sum(b - a for a, b in runs), items, [{"start": a, "end": b} for a, b in source_spans(t, runs)]))
+            spans = [{"start": a, "end": b, "first": i, "past": j} for (a, b), (i, j) in zip(source_spans(t, runs), runs)]
+            rows.append((n, sum(b - a for a, b in runs), items, spans))
         return pd.DataFrame(rows, columns=DIGEST.names)
 
     return hits(octets(text_col))
 
 
-def _joined(spans: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(x for s in spans for x in s):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
+def joined(spans: list[dict]) -> list[dict]:
+    """Runs of several blocks as runs of their union."""
+    out: list[dict] = []
+    for s in sorted(({k: int(v) for k, v in s.items()} for s in spans), key=lambda s: (s["first"], s["past"])):
+        if out and s["first"] <= out[-1]["past"]:
+            if s["past"] > out[-1]["past"]:
+                out[-1] |= {"past": s["past"], "end": s["end"]}
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append(dict(s))
+    return out
 
 
-def _merge(parts: list[str], text_col: str) -> Column:
+@F.pandas_udf(DIGEST)
+def merged_udf(n_words: pd.Series, items: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """Blocks' findings for one text as one: items together, words hit in any block once."""
-
-    @F.pandas_udf(DIGEST)
-    def merge(text: pd.Series, *found: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for i, t in enumerate(text):
-            spans = _joined([[(s["start"], s["end"]) for s in f["spans"][i]] for f in found])
-            items = sorted({x for f in found for x in f["items"][i]})
-            whole = t.decode("utf-8", "replace")
-            n = sum(len(whole[a:b].encode().translate(FOLD).split()) for a, b in spans)
-            rows.append((found[0]["n_words"][i], n, items, [{"start": a, "end": b} for a, b in spans]))
-        return pd.DataFrame(rows, columns=DIGEST.names)
-
-    return merge(octets(text_col), *parts)
+    rows = []
+    for n, names, parts in zip(n_words, items, spans):
+        of = joined([s for part in parts for s in part])
+        rows.append((n, sum(s["past"] - s["first"] for s in of), sorted({x for part in names for x in part}), of))
+    return pd.DataFrame(rows, columns=DIGEST.names)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_mb: int = 64, text_col: str = "text", out: str = "hits") -> DataFrame:
     """``docs`` with a struct ``out``: ``n_words``, ``n_hit``, ``items``, ``spans``.
 
-    Every text is scanned whole, once for each block of ``block_mb`` MB of
-    windows: a usual benchmark is one block, so one automaton. Of a larger one
-    each block's findings are kept in reliable storage before the next is
-    scanned, so workers hold one automaton at a time. Null and empty texts have
-    no words and no hits; null items and items without words match nothing;
-    repeated rows stay. An empty benchmark hits nothing.
+    Every text is scanned whole, however long, once for each block of
+    ``block_mb`` MB of windows: a usual benchmark is one block, so one
+    automaton. Of a larger one each block's findings, of the texts that have
+    any, are kept in reliable storage by row key before the next is scanned: so
+    workers hold one automaton at a time, and texts are neither written nor, if
+    findings are few, moved. Null and empty texts have no words and no hits;
+    null items and items without words match nothing; repeated rows stay, each
+    with its findings; overlapping windows count a word once. Other columns stay
+    as they are; one of the name ``out`` is replaced. An empty benchmark hits
+    nothing; no documents: no rows.
     """
     spark = docs.sparkSession
     todo = benchmark_blocks(benchmark, window, block_mb << 20)
     found, more = next(todo), next(todo, None)
     if more is None:
         return docs.withColumn(out, hits_column(spark, found, text_col))
-    held, parts = docs, []
+    key, parts = row_key(docs.columns, docs.schema), []
     while found is not None:
-        parts.append(f"__pw_block_{len(parts)}")
-        held = cut(held.withColumn(parts[-1], hits_column(spark, found, text_col)))
+        block = docs.select(*key, hits_column(spark, found, text_col).alias("h")).where(F.size("h.items") > 0)
+        parts.append(cut(block.dropDuplicates(ROW)))
         found, more = more, next(todo, None)
-    return held.withColumn(out, _merge(parts, text_col)).drop(*parts)
+    all_ = reduce(DataFrame.union, parts).groupBy(*ROW).agg(F.first("h.n_words").alias("n"), F.collect_list("h.items").alias("i"), F.collect_list("h.spans").alias("s"))
+    told = cut(all_.select(*ROW, merged_udf("n", "i", "s").alias("__pw_found")))
+    marked = docs.withColumns({c: k for c, k in zip(ROW, key)}).join(small(told, BROADCAST_FOUND), ROW, "left")
+    clean = hits_column(spark, {}, text_col)  # words are counted, nothing is found
+    return marked.withColumn(out, F.coalesce("__pw_found", clean)).drop("__pw_found", *ROW)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -194,7 +207,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows without a hit, columns as they are."""
+    """Rows without a hit, columns as they are; see ``contamination`` for odd rows."""
     return contamination(docs, benchmark, out="__pw_hits").where("__pw_hits.n_hit = 0").drop("__pw_hits")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut, octets, salted, small
+from .common import ROW, Scratch, cut, octets, row_key, salted, small
 from .components import connected_components
 
 BITS = 64
@@ -227,31 +227,6 @@ def with_components(rows: DataFrame, distance: int = 2) -> DataFrame:
     return rows.join(cut(named), "fp")
 
 
-def row_key(columns: list[str], schema: T.StructType) -> list[Column]:
-    """Two longs that tell rows apart by all their columns; maps are compared by their sorted entries."""
-
-    def plain(kind: T.DataType) -> bool:
-        if isinstance(kind, T.ArrayType):
-            return plain(kind.elementType)
-        if isinstance(kind, T.StructType):
-            return all(plain(f.dataType) for f in kind)
-        return not isinstance(kind, (T.MapType, T.VariantType))
-
-    def value(c: str) -> Column:
-        kind, x = schema[c].dataType, F.col(f"`{c}`")
-        if plain(kind):
-            return x
-        if isinstance(kind, T.MapType) and plain(kind.keyType) and plain(kind.valueType):
-            return F.array_sort(F.map_entries(x))
-        return F.to_json(F.struct(x.alias("x")))
-
-    values = [value(c) for c in columns]
-    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "__pw_row"), (2, "__pw_row2"))]
-
-
-ROW = ["__pw_row", "__pw_row2"]
-
-
 class SimilarTexts:
     """Links between texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 

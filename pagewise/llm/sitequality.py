@@ -106,10 +106,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, l
     document's own probability is left out of what its site tells. The score
     adds the site's log-odds, beside the global ones, to the document's.
     Null hosts and paths are values of their own; null and empty texts have the
-    features of no words; repeated rows stay; no rows: none.
+    features of no words; whole texts are read, however long. A score of just
+    0.5 is kept. Repeated rows stay, each a document of its site; other columns
+    are not read, so their names don't matter. No rows: none.
     """
     rows = cut(docs.select(F.col("doc_id").alias("id"), host.alias("host"), path.alias("path"), features_udf(octets("text")).alias("x")))
-    got = training_rows(rows, labels, label_col, each).toPandas()
+    got = training_rows(rows, labels, label_col, each).toPandas()  # a few numbers a row
     w, b = fit(np.array(got["x"].tolist(), dtype=float), got["y"].to_numpy(dtype=float))
     z = F.lit(b)
     for i, wi in enumerate(w):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import octets
+from .common import cut, octets
 
 NGRAMS = (3, 4, 5)
 HASH_BITS = 18
@@ -62,24 +62,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(ids: list[np.ndarray], toxic: list[int], share: float | None = None, steps: int = 400, l2: float = 0.1) -> Model:
-    """Log-count ratios of the two classes, then logistic regression on the scaled presences.
+def constant(share: float) -> Model:
+    """The same score for every text."""
+    return Model(np.zeros(1 << HASH_BITS, dtype=np.float32), float(np.log(share / (1 - share))))
 
-    ``share``: the toxic share where the model will be used, if the rows given
-    are not dealt so. Without rows of both classes the score is the class share,
-    (toxic + 0.5) / (rows + 1.5), for every text.
+
+def ratios(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of every n-gram, from the numbers of texts of each class that have it (each one more),
+    and whether it is ``SURE`` standard errors from 0."""
+    p, q = toxic + 1.0, clean + 1.0
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    return ratio, np.abs(ratio) > SURE * np.sqrt(1 / p + 1 / q)
+
+
+def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, share: float, steps: int = 400, l2: float = 0.1) -> Model:
+    """Logistic regression on presences scaled by their ratios; both classes weigh alike.
+
+    Text ``row[i]`` has n-gram ``col[i]``. ``share``: the toxic share where the
+    model will be used, as the rows given are not dealt so.
     """
-    y = np.asarray(toxic, dtype=np.float64)
-    size = 1 << HASH_BITS
-    if not len(y) or y.min() == y.max():
-        p = (y.sum() + 0.5) / (len(y) + 1.5)
-        return Model(np.zeros(size, dtype=np.float32), float(np.log(p / (1 - p))))
-    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    col = np.concatenate(ids).astype(np.int64)
-    counts = [np.bincount(col[y[row] == c], minlength=size) + 1.0 for c in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    clear = np.abs(ratio) > SURE * np.sqrt(1 / counts[1] + 1 / counts[0])
-    row, col = row[clear[col]], col[clear[col]]
     used, at = np.unique(col, return_inverse=True)
     r = ratio[used]
     x = r[at]
@@ -96,19 +97,18 @@ def fit(ids: list[np.ndarray], toxic: list[int], share: float | None = None, ste
         grad = np.bincount(at, x * g[row], minlength=len(used)) + l2 / len(y) * v
         prev, prev_b = w, b
         w, b = v - grad / lipschitz, vb - g.sum() / lipschitz
-    weights = np.zeros(size, dtype=np.float32)
+    weights = np.zeros(1 << HASH_BITS, dtype=np.float32)
     weights[used] = w * r
-    share = share or 0.5
     return Model(weights, float(b + np.log(share / (1 - share))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: int = 1500) -> tuple[DataFrame, float]:
-    """``ids``, ``y`` of at most ``each`` labelled documents per class, and the class share of all labels.
+    """``t``, ``y`` of at most ``each`` labelled documents per class, and the class share of all labels.
 
     Labels count only where crc32 of the id as text, modulo 5, is not 0. The
     bound on a class is the documented size of the training sample, taken by
     hash of the id; the share is of all labels that may be learnt from. Of rows
-    with one id one text counts.
+    with one id one text counts (that of the least hash).
     """
     open_ = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     open_ = open_.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
@@ -117,14 +117,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     some = open_.where("y = 1").orderBy(order, "id").limit(each).union(open_.where("y = 0").orderBy(order, "id").limit(each))
     texts = docs.select(F.col("doc_id").alias("id"), octets("text").alias("t")).join(F.broadcast(some), "id")
     once = texts.groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
-    return once.select(ngram_ids_udf("t").alias("ids"), "y"), ((share[0] or 0) + 0.5) / (share[1] + 1)
+    return once.select("t", "y"), ((share[0] or 0) + 0.5) / (share[1] + 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: int = 1500) -> Model:
-    rows, share = training_rows(docs, labels, label_col, each)
-    got = rows.toArrow()
-    ids = [np.asarray(x, dtype=np.int32) for x in got.column("ids").to_pylist()]
-    return fit(ids, got.column("y").to_pylist(), share)
+    """The model from a sample of ``each`` labelled rows a class at most.
+
+    N-grams are counted by class in the engine, of which the driver gets one row
+    per hash at most; of the texts it gets only the n-grams whose ratio counts.
+    Without rows of both classes the score is the class share, (toxic + 0.5) /
+    (rows + 1.5), for every text.
+    """
+    found, share = training_rows(docs, labels, label_col, each)
+    rows = cut(found.select(ngram_ids_udf("t").alias("ids"), "y"))
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if not (n.get(0) and n.get(1)):
+        return constant((n.get(1, 0) + 0.5) / (sum(n.values()) + 1.5))
+    counted = rows.select(F.explode("ids").alias("i"), "y").groupBy("i").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).toArrow()
+    counts = np.zeros((2, 1 << HASH_BITS))
+    for c, name in enumerate(("clean", "toxic")):
+        counts[c, counted.column("i").to_numpy()] = counted.column(name).to_numpy()
+    ratio, sure = ratios(counts[1], counts[0])
+    held = rows.sparkSession.sparkContext.broadcast(sure)
+
+    @F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
+    def among(ids):
+        ids = np.asarray(ids, dtype=np.int64)
+        return ids[held.value[ids]].tolist()
+
+    got = rows.select(among("ids").alias("ids"), "y").toArrow()
+    ids = got.column("ids").combine_chunks()
+    row = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
+    return fit(row, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), got.column("y").to_numpy().astype(float), ratio, share)
 
 
 def score_column(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
@@ -142,8 +166,10 @@ def score_column(spark: SparkSession, model: Model, text_col: str = "text") -> C
 def scores(docs: DataFrame, labels: DataFrame, each: int = 1500) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``.
 
-    Null and empty texts get the score of no evidence. Repeated rows stay, each
-    scored alike; a null id is never held out. No rows: none.
+    Null and empty texts get the score of no evidence; whole texts are scored,
+    however long. A score of just 0.5 is predicted 1. Repeated rows stay, each
+    scored alike; a null id is never held out. Other columns are not read, so
+    their names don't matter. No rows: none.
     """
     model = train(docs, labels, each=each)
     out = docs.select("doc_id", score_column(docs.sparkSession, model).alias("score"))
@@ -152,6 +178,6 @@ def scores(docs: DataFrame, labels: DataFrame, each: int = 1500) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, each: int = 1500) -> DataFrame:
-    """Rows that score under 0.5, columns as they are."""
+    """Rows that score under 0.5, columns as they are, whatever their names; see ``scores`` for odd rows."""
     model = train(docs, labels, each=each)
     return docs.where(score_column(docs.sparkSession, model) < 0.5)

@@ -64,6 +64,38 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scores(df.limit(0), none).count() == 0
 
 
+def test_toxicity_is_the_definition(spark):
+    """Ratios and scores from sets of n-grams in plain Python; the fit's gradient is nought."""
+    rows, labels = corpus(160, 7, "vexqu")
+    df, table = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    model = toxicity.train(df, table, each=1000)
+    seen = [(toxicity.ngram_ids(t.encode()).tolist(), y) for (i, t), (_, _, y) in zip(rows, labels) if not held(i)]
+    size = 1 << toxicity.HASH_BITS
+    n = [[1.0] * size, [1.0] * size]
+    for ids, y in seen:
+        for j in ids:
+            n[y][j] += 1
+    total = [sum(n[0]), sum(n[1])]
+    ratio = [np.log(b / total[1]) - np.log(a / total[0]) for a, b in zip(*n)]
+    sure = {j for j in range(size) if abs(ratio[j]) > toxicity.SURE * np.sqrt(1 / n[0][j] + 1 / n[1][j])}
+    assert set(np.flatnonzero(model.weights).tolist()) <= sure and sure
+    toxic = sum(y for _, y in seen)
+    share = (toxic + 0.5) / (len(seen) + 1)
+    bias = model.bias - np.log(share / (1 - share))
+    slope = {j: 0.0 for j in sure}
+    for ids, y in seen:
+        z = bias + sum(float(model.weights[j]) for j in ids if j in sure)
+        g = (0.5 / toxic if y else 0.5 / (len(seen) - toxic)) * (1 / (1 + np.exp(-z)) - y)
+        for j in ids:
+            if j in sure:
+                slope[j] += g * ratio[j]
+    assert max(abs(slope[j] + 0.1 / len(seen) * model.weights[j] / ratio[j]) for j in sure) < 1e-3
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(df, table, each=1000).collect()}
+    for i, t in rows[:20]:
+        z = model.bias + sum(float(model.weights[j]) for j in toxicity.ngram_ids(t.encode()))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_ngrams_are_of_whole_words():
     naive = lambda ws, n: {f" {w} "[i : i + n] for w in ws for i in range(len(w) + 3 - n)}
     ws = ["ab", "abc", "é", "wörd"]
@@ -103,6 +135,50 @@ def test_site_evidence_moves_doubtful_documents(spark):
     assert got[5000]["score"] > got[5002]["score"] > got[5001]["score"]
 
 
+def test_site_posteriors_are_the_definition(spark):
+    """Moments, both levels of shrinkage and scores from the evidence, in plain Python."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        w = [word(rng) for _ in range(30)]
+        bad = rng.random() < (0.7 if i % 5 == 0 else 0.1)
+        rows.append((i, " ".join(x.upper() + "$$" for x in w) if bad else " ".join(w), f"s{i % 5}"))
+        labels.append((i, int(not bad), 0))
+    from pyspark.sql import functions as F
+
+    df = docs(spark, rows).withColumn("path", F.col("doc_id") % 3)
+    got = {r["id"]: r for r in sitequality.posteriors(df, spark.createDataFrame(labels, LABELS), F.col("source"), F.col("path")).collect()}
+    p = {i: got[i]["evidence"] for i in got}
+    host, site = {i: f"s{i % 5}" for i in p}, {i: (f"s{i % 5}", i % 3) for i in p}
+    mean = sum(p.values()) / len(p)
+
+    def members(of):
+        out = {}
+        for i, k in of.items():
+            out.setdefault(k, []).append(p[i])
+        return out
+
+    def strength(children, parent_mean, parent_size, parents):
+        n, k = sum(map(len, children.values())), len(children)
+        inside = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in children.values())
+        between = sum(len(v) * (sum(v) / len(v) - parent_mean(c)) ** 2 for c, v in children.items())
+        within = inside / (n - k)
+        var = (between - (k - parents) * within) / (n - sum(len(v) ** 2 / parent_size(c) for c, v in children.items()))
+        return min(sitequality.STRONGEST, max(sitequality.WEAKEST, within / var)) if var > 0 else sitequality.STRONGEST
+
+    hosts, sites = members(host), members(site)
+    k_host = strength(hosts, lambda c: mean, lambda c: len(p), 1)
+    k_site = strength(sites, lambda c: sum(hosts[c[0]]) / len(hosts[c[0]]), lambda c: len(hosts[c[0]]), len(hosts))
+    logit = lambda x: np.log(x / (1 - x))
+    for i, x in p.items():
+        h, s = hosts[host[i]], sites[site[i]]
+        by_host = (sum(h) - x + k_host * mean) / (len(h) - 1 + k_host)
+        by_site = (sum(s) - x + k_site * by_host) / (len(s) - 1 + k_site)
+        odds = logit(x) + logit(min(max(by_site, 1e-6), 1 - 1e-6)) - logit(mean)
+        assert abs(got[i]["host_posterior"] - by_host) < 1e-6 and abs(got[i]["path_posterior"] - by_site) < 1e-6
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-odds))) < 1e-5 and got[i]["kept"] == (got[i]["score"] >= 0.5)
+
+
 def test_site_quality_odd_rows(spark):
     none = spark.createDataFrame([], LABELS)
     got = sitequality.document_quality(docs(spark, odd_rows(), clash=True), none).collect()
