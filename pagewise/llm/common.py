@@ -51,7 +51,14 @@ class Scratch:
         """``df`` written as Parquet and read back: lineage ends, and its size is known to the planner."""
         path, self.n = f"{self.at}/{self.n}", self.n + 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        got = self.spark.read.schema(df.schema).parquet(path)
+        got._pw_path = path
+        return got
+
+    def free(self, *tables: DataFrame) -> None:
+        """Tables that ``keep`` gave and that nothing reads any more."""
+        for t in tables:
+            delete(self.spark, t._pw_path)
 
     def drop(self) -> None:
         delete(self.spark, self.at)

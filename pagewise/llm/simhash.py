@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from .common import ROW, Scratch, cut, octets, row_key, salted, small
 from .components import connected_components
 
 BITS = 64
-#: Fingerprints of a bucket that are paired at once; a larger bucket is split by finer segments (or further bands).
+#: Fingerprints of a bucket that are paired at once; a larger bucket goes a finer way.
 AT_ONCE = 24
 #: Shingles whose bits are held unpacked at a time.
 BLOCK = 1 << 15
@@ -28,8 +28,8 @@ TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 MIN_BLOCK = 1 << 11
 #: Bits of a text's parities, which tell most unlike pairs without their sets.
 PARITIES = 1024
-#: Bands by whose keys, beyond the first, a large bucket of similar texts is split.
-FURTHER = 2
+#: Bits of a shingle's hash by which frequencies are counted to order shingles: a table of 4 MB at any input size.
+BIN_BITS = 20
 #: Up to so many rows of keys (some 50 MB) are broadcast, so that texts or bands of all documents are not shuffled.
 FEW = 400_000
 
@@ -227,6 +227,27 @@ def with_components(rows: DataFrame, distance: int = 2) -> DataFrame:
     return rows.join(cut(named), "fp")
 
 
+def _longest_prefix(n: Column, share: float) -> Column:
+    """Of n shingles in the common order, how many hold one that is shared, if ``share`` of them are."""
+    return n - F.ceil(n * share - 1e-9) + 1
+
+
+def prefix_column(spark: SparkSession, shingles: Column, counts: np.ndarray, similarity: float) -> Column:
+    """The rarest shingles of a set, by bin frequency and hash, as many as a similar set must share one of."""
+    held = spark.sparkContext.broadcast(counts)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefix(sets: pd.Series) -> pd.Series:
+        out = []
+        for x in sets:
+            h = np.ascontiguousarray(x, dtype="<i8").view("<u8")
+            n = len(h) - int(np.ceil(len(h) * similarity - 1e-9)) + 1
+            out.append(h[np.lexsort((h, held.value[h >> np.uint64(64 - BIN_BITS)]))[:n]].view("<i8"))
+        return pd.Series(out, dtype=object)
+
+    return prefix(shingles)
+
+
 class SimilarTexts:
     """Links between texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
@@ -234,11 +255,12 @@ class SimilarTexts:
     band ``keys``. ``texts``: ``t`` and ``text`` of any of them, in any order and
     number. Texts that share a band meet. In each bucket all first meet one of
     them only, the least, so a group of near copies makes rows in proportion to
-    its members; then those of a bucket that links do not join by then meet each
-    other. A bucket of more than ``AT_ONCE`` unjoined texts is split by a further
-    band that its members share, up to ``FURTHER`` times, before they do. What
-    meets is decided on the whole sets, unless sizes or parities show that these
-    differ in too much.
+    its members. Those of a bucket that links do not join by then meet each
+    other, in a bucket of up to ``AT_ONCE`` texts all of them, in a larger one
+    those that share one of their rarest shingles: similar sets must, and texts
+    that have a passage in common and are otherwise unlike do not. What meets is
+    decided on the whole sets, unless sizes or parities show that these differ
+    in too much.
     """
 
     def __init__(self, sketches: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = 0.8, width: int = 5):
@@ -248,46 +270,59 @@ class SimilarTexts:
         """Edges ``a``, ``b`` that connect what all links connect."""
         keep = self.scratch.keep
         rows = self.sketches.where("n > 0").select(F.explode("keys").alias("key"), "t", "n")
-        found = None
-        for deep in range(FURTHER + 1):
-            buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("t", "n")).alias("first")).where("size > 1"))
-            held = keep(rows.join(small(buckets, FEW), "key").select("key", "t", "n", "size", "first"))
-            star = self.alike(_pairs(held.where("t <> first.t"), "t", "n", "first.t", "first.n"))
-            found = star if found is None else found.union(star)
-            # Which bucket still holds texts that links do not join?
-            roots = cut(connected_components(found)).withColumnRenamed("node", "t")
-            placed = held.join(roots, "t", "left").select("key", "t", "n", "size", F.coalesce("root", "t").alias("root"))
-            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            placed = keep(placed.join(small(keep(apart), FEW), "key"))
-            few = placed if deep == FURTHER else placed.where(F.col("size") <= AT_ONCE)
-            found = found.union(self.alike(self._across(few)))
-            crowded = placed.where(F.col("size") > AT_ONCE)
-            if deep == FURTHER or crowded.isEmpty():
-                return found
-            # Of each text in a large bucket: the bucket's key with each of its bands.
-            own = self.sketches.select("t", F.explode("keys").alias("band"))
-            both = crowded.select("key", "t", "n").join(own, "t").where("key <> band")
-            rows = both.select(F.xxhash64("key", "band").alias("key"), "t", "n").distinct()
-
-    def _across(self, placed: DataFrame) -> DataFrame:
-        """Pairs of a bucket's texts that no links join yet."""
-        x, y = (placed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root"))) for side in "xy")
-        met = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")))
-        return _pairs(met, "x_t", "x_n", "y_t", "y_n")
+        buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("t", "n")).alias("first")).where("size > 1"))
+        held = keep(rows.join(small(buckets, FEW), "key").select("key", "t", "n", "size", "first"))
+        met = keep(held.select("t").distinct())
+        texts = self.texts.join(small(met, FEW), "t", "left_semi").select("t", set_column(F.col("text"), self.width).alias("s"))
+        self.sets = keep(texts.groupBy("t").agg(F.first("s").alias("s")).select("t", "s.*"))
+        found = self.alike(_pairs(held.where("t <> first.t"), "t", "n", "first.t", "first.n"))
+        # Which bucket still holds texts that links do not join?
+        roots = cut(connected_components(found)).withColumnRenamed("node", "t")
+        placed = held.join(roots, "t", "left").select("key", "t", "n", "size", F.coalesce("root", "t").alias("root"))
+        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        placed = keep(placed.join(small(cut(apart), FEW), "key"))
+        self.scratch.free(buckets, held, met)
+        x, y = (placed.where(F.col("size") <= AT_ONCE).select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root"))) for side in "xy")
+        few = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")))
+        crowded = cut(placed.where(F.col("size") > AT_ONCE).select("t", "n", "root").distinct())
+        pairs = _pairs(few, "x_t", "x_n", "y_t", "y_n")
+        if not crowded.isEmpty():
+            pairs = pairs.union(self.rarest(crowded))
+        return found.union(self.alike(pairs))
+
+    def rarest(self, texts: DataFrame) -> DataFrame:
+        """Pairs of ``texts`` (``t``, ``n``, ``root``) of different roots that may be similar, by prefix filtering.
+
+        All shingles have one order, the rarer first. Of two similar sets the
+        first shared shingle is among the first of either: in the lesser set
+        fewer need be looked at, as the overlap is at least 2s / (1 + s) of it.
+        Any order gives all pairs; rarity, told by bins of hashes, keeps others out.
+        """
+        s, spark = self.similarity, self.sketches.sparkSession
+        sets = self.sets.join(texts.select("t"), "t", "left_semi")
+        of = F.shiftrightunsigned("x", 64 - BIN_BITS)
+        table = sets.select(F.explode("set").alias("x")).groupBy(of.alias("bin")).agg(F.count("*").alias("n")).toArrow()
+        counts = np.zeros(1 << BIN_BITS, dtype=np.int32)
+        counts[table.column("bin").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
+        first = sets.select("t", F.posexplode(prefix_column(spark, F.col("set"), counts, s)).alias("i", "x")).join(small(texts, FEW), "t")
+        first = cut(first.select("x", "t", "n", "root", (F.col("i") < _longest_prefix(F.col("n"), 2 * s / (1 + s))).alias("short")))
+        apart = first.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("x")
+        first = cut(first.join(cut(apart), "x"))
+        a, b = (first.select("x", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root", "short"))) for side in "ab")
+        lesser = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_t") < F.col("b_t"))
+        met = a.where("a_short").join(b, "x").where(lesser & (F.col("a_root") != F.col("b_root")) & (F.col("a_n") >= s * F.col("b_n") - 1e-9))
+        return _pairs(met, "a_t", "a_n", "b_t", "b_n")
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (``a``, ``b``, sizes ``low``, ``high``) that are similar."""
         keep, s = self.scratch.keep, self.similarity
-        pairs = keep(pairs.where(F.col("low") >= s * F.col("high") - 1e-9).distinct())
-        met = keep(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct())
-        texts = self.texts.join(small(met, FEW), "t", "left_semi").select("t", set_column(F.col("text"), self.width).alias("s"))
-        sets = keep(texts.groupBy("t").agg(F.first("s").alias("s")).select("t", "s.*"))
-        odd = sets.select("t", "odd")
+        odd = self.sets.select("t", "odd")
+        pairs = pairs.where(F.col("low") >= s * F.col("high") - 1e-9).distinct()
         both = pairs.join(odd.select(F.col("t").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("t").alias("b"), F.col("odd").alias("ob")), "b")
         apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES // 64)])
         # Of sizes m and n, similar sets differ in (m + n) * (1 - similarity) / (1 + similarity) at most.
         left = keep(both.where(apart <= (F.col("low") + F.col("high")) * ((1 - s) / (1 + s)) + 1e-9).select("a", "b"))
-        both = left.join(sets.select(F.col("t").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("sb")), "b")
+        both = left.join(self.sets.select(F.col("t").alias("a"), F.col("set").alias("sa")), "a").join(self.sets.select(F.col("t").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return keep(both.where(common >= s * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"))
 
@@ -329,7 +364,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
         rows = with_components(scratch.keep(docs.select(*of)), distance)
     else:
         rows = scratch.keep(docs.select(*of, sketch_column(octets(f"`{text_col}`"), width).alias("s")).select("id", "fp", *ROW, "s.*"))
-        rows = scratch.keep(with_components(rows, distance))
+        sketched, rows = rows, scratch.keep(with_components(rows, distance))
+        scratch.free(sketched)
         rows = _joined(rows, docs, scratch, f"`{text_col}`", similarity, width)
     rows = scratch.keep(rows.select("root", "id", *ROW))
     order = F.struct(F.col("id").isNull(), "id", *ROW)
