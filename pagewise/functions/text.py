@@ -107,6 +107,8 @@ def chat_prompt(prompt: Column, family: str) -> Column:
         "qwen": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"),
         "vicuna": ("A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions. USER: ", " ASSISTANT:"),
         "xgen": ("A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions.\n\n ### Human: ", "\n###"),
+        "chatglm": ("[Round 1]\n\n问：", "\n\n答："),
+        "chatglm3": ("<|user|>\n ", "<|assistant|>"),
         "internlm": ("<|User|>:", "<eoh>\n<|Bot|>:"),
     }
     before, after = around.get(family, ("", ""))

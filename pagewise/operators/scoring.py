@@ -57,6 +57,17 @@ def merge_digests(old: DataFrame, new: DataFrame, dim: int, by: tuple[str, ...]
     return _extremes(old.unionByName(new), dim, by, "hi", "lo")
 
 
+def insert(index: DataFrame, new: DataFrame, dim: int, by: tuple[str, ...] = ("page_id", "head")) -> DataFrame:
+    """An index of digests with ``new`` rows in it; pages that have such rows are ``changed``.
+
+    Only new rows are read and only their pages' digests are merged.
+    """
+    added = digests(new, dim, by)
+    touched = added.select(*by)
+    merged = merge_digests(index.join(touched, list(by), "left_semi"), added, dim, by).withColumn("changed", F.lit(True))
+    return index.join(touched, list(by), "left_anti").withColumn("changed", F.lit(False)).unionByName(merged)
+
+
 def page_scores(queries: DataFrame, pages: DataFrame, dim: int) -> DataFrame:
     """``query_id``, ``page_id``, ``head``, ``score``: upper bounds of each page's dot products.
 

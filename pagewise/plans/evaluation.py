@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,9 +15,10 @@ def prompts(examples: DataFrame, templates: DataFrame, most_tokens: int, family:
     """``examples`` with ``prompt``: template of the dataset filled in, cut in the middle, in the family's turn format.
 
     ``templates`` (``dataset``, ``template``) is broadcast if a bounded count shows that it is small.
-    Tokens are whitespace-delimited. Tasks that answer better without turns get none.
+    Tokens are whitespace-delimited. Tasks that answer better without turns get none;
+    a dataset without a template has a null prompt.
     """
-    met = examples.join(few(templates, 1000), "dataset")
+    met = examples.join(few(templates, 1000), "dataset", "left")
     filled = text.fill_template(F.col("template"), F.col("context"), F.col("input"))
     words = F.split(filled, " ")
     cut = F.when(F.size(words) > most_tokens, F.array_join(text.truncate_middle(words, most_tokens), " ")).otherwise(filled)
@@ -35,28 +34,26 @@ def remaining(examples: DataFrame, done: DataFrame, key: str = "_id") -> DataFra
 def row_scores(predictions: DataFrame) -> DataFrame:
     """``predictions`` (``dataset``, ``pred``, ``answers``, ``all_classes``) with ``score``: the best over answers.
 
-    Each metric is computed for its own datasets' rows only. No shuffle.
+    Rows are read once, each scored by its dataset's metric; 0 without answers,
+    null for a dataset that has no metric. No shuffle.
     """
-    parts = []
-    by_metric: dict[str, list[str]] = {}
-    for task, (name, _, _) in metrics.TASKS.items():
-        by_metric.setdefault(name, []).append(task)
     line = F.when(F.col("dataset").isin(*metrics.FIRST_LINE_TASKS), text.first_line(F.col("pred"))).otherwise(F.col("pred"))
-    for name, tasks in by_metric.items():
-        rows = predictions.where(F.col("dataset").isin(*tasks)).withColumn("__pred", line)
-        parts.append(rows.withColumn("score", best_of(name, F.col("__pred"), F.col("answers"), F.col("all_classes"))).drop("__pred"))
-    return reduce(DataFrame.unionByName, parts)
+    return predictions.withColumn("score", best_score(F.col("dataset"), line, F.col("answers"), F.col("all_classes")))
 
 
-def best_of(name: str, pred: Column, answers: Column, classes: Column) -> Column:
-    """The greatest score of a prediction over an array of answers; 0 of none."""
-    score = metrics.METRICS[name]
+def best_score(dataset: Column, pred: Column, answers: Column, classes: Column) -> Column:
+    """The greatest score of a prediction over an array of answers, by the dataset's metric."""
 
     @F.pandas_udf(T.DoubleType())
-    def best(p: pd.Series, a: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([max((score(x or "", y or "", list(z) if z is not None else []) for y in (ys if ys is not None else [])), default=0.0) for x, ys, z in zip(p, a, c)], dtype="float64")
-
-    return best(pred, answers, classes)
+    def best(d: pd.Series, p: pd.Series, a: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for name, x, ys, z in zip(d, p, a, c):
+            score = metrics.METRICS[metrics.TASKS[name][0]] if name in metrics.TASKS else None
+            listed = list(z) if z is not None else []
+            out.append(None if score is None else max((score(x or "", y or "", listed) for y in (ys if ys is not None else [])), default=0.0))
+        return pd.Series(out, dtype="Float64")
+
+    return best(dataset, pred, answers, classes)
 
 
 def dataset_scores(scored: DataFrame, by: str = "dataset") -> DataFrame:

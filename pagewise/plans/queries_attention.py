@@ -111,6 +111,19 @@ def append_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_sequences(spark, sf_dir, 5)
 
 
+@query(_ragged("q.pos >= q.n - 5"))
+def cascade_append_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two levels: a prefix of two pages, and what follows it; their states merge."""
+    rows = paging.split_heads(sequences(spark, sf_dir).drop("vec_id"), H, D)
+    n = paging.seq_meta(rows.where("head = 0"), "seq_id", P).select("seq_id", "n_rows")
+    q = rows.join(n, "seq_id").where(F.col("pos") >= F.col("n_rows") - 5).select("seq_id", "head", F.col("pos").alias("q_pos"), F.col("k").alias("q"))
+    by = ["seq_id", "q_pos", "head"]
+    level = lambda c: attention.states(attention.logits(q, rows.where(c), D, on=("seq_id", "head"), keep=F.col("pos") <= F.col("q_pos")), by, D)
+    both = attention.merge_two(level(F.col("pos") < 2 * P), level(F.col("pos") >= 2 * P), by, D)
+    got = attention.explode_o(both, by, F.col("s").alias("lse"))
+    return got.select("seq_id", F.col("q_pos").alias("pos"), "head", "dim", tidy(F.col("o")).alias("o"), tidy(F.col("lse")).alias("lse"))
+
+
 def _parts(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     t = tokens(spark, sf_dir)
     pairs = attention.logits(query_rows(t), t if keep is None else t.where(keep), D)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import metrics, text
 from ..functions.vectors import tidy
 from ..operators import paging
+from ..session import shared_dir
 from ..sources import files
 from . import evaluation
 from .registry import query, table
@@ -40,13 +44,13 @@ def _case(templates: dict[str, str], column: str) -> str:
     return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in templates.items()) + " END"
 
 
-@query(f"""WITH t AS (SELECT doc_id, replace(string_split({_case(TEMPLATES, "lang")}, '{{context}}')[1], '{{input}}', source) || text
-    || replace(string_split({_case(TEMPLATES, "lang")}, '{{context}}')[2], '{{input}}', source) AS f FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH t AS (SELECT doc_id, replace(string_split({_case(TEMPLATES, "lang")}, '{{context}}')[1], '{{input}}', coalesce(source, '')) || coalesce(text, '')
+    || replace(string_split({_case(TEMPLATES, "lang")}, '{{context}}')[2], '{{input}}', coalesce(source, '')) AS f FROM documents),
     w AS (SELECT doc_id, f, string_split(f, ' ') AS w FROM t)
 SELECT doc_id, '[INST]' || CASE WHEN len(w) > 128 THEN array_to_string(list_concat(w[1:64], w[-64:]), ' ') ELSE f END || '[/INST]' AS prompt FROM w""")
 def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame(list(TEMPLATES.items()), "dataset string, template string")
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     examples = d.select("doc_id", F.col("lang").alias("dataset"), F.col("text").alias("context"), F.col("source").alias("input"))
     return evaluation.prompts(examples, templates, 128, "mistral").select("doc_id", "prompt")
 
@@ -159,7 +163,11 @@ def code_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.code_line(F.col("text")).alias("line"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT doc_id, lang, [x FOR x IN ['en', 'de', 'der', 'fr', 'es', 'le', 'les'] IF contains(coalesce(text, ''), x)] AS f FROM documents),
+    st AS (SELECT doc_id, lang, f, 1 AS i FROM c UNION ALL
+        SELECT doc_id, lang, CASE WHEN contains(lang, f[i]) AND f[i] <> lang THEN list_concat(f[1:i - 1], f[i + 1:]) ELSE f END, i + 1 FROM st WHERE i <= len(f)),
+    z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS b FROM st)
+SELECT doc_id, round(CASE WHEN list_contains(f, lang) THEN 1.0 / len(f) ELSE 0.0 END, 6) + 0.0 AS score FROM z WHERE b = 1""")
 def classification_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = F.array(*(F.lit(x) for x in ("en", "de", "der", "fr", "es", "le", "les")))
     d = table(spark, sf_dir, "documents")
@@ -180,7 +188,15 @@ def rouge_l_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_metric(spark, sf_dir, "rouge_zh_score")
 
 
-@query()
+def _zh(c: str) -> str:
+    return f"[y FOR y IN [regexp_replace(translate(lower(x), '{WIDE}', ''), '\\s+', '', 'g') FOR x IN regexp_extract_all({c}, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')] IF y <> '']"
+
+
+@query(f"""WITH {LEAD}, t AS (SELECT conv_id, turn, {_zh("p")} AS a, {_zh("g")} AS b FROM l WHERE g IS NOT NULL),
+    ca AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(a) AS w FROM t) GROUP BY ALL),
+    cb AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(b) AS w FROM t) GROUP BY ALL),
+    s AS (SELECT conv_id, turn, sum(least(ca.n, cb.n)) AS same FROM ca JOIN cb USING (conv_id, turn, w) GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(2.0 * (same / len(a)) * (same / len(b)) / (same / len(a) + same / len(b)), 0.0), 6) + 0.0 AS score FROM t LEFT JOIN s USING (conv_id, turn)""")
 def qa_f1_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_metric(spark, sf_dir, "qa_f1_zh_score")
 
@@ -240,6 +256,96 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS kinds, w[1] AS first, w[-1] AS last, list_contains(w, 'the') AS has_the FROM w""")
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split(F.lower("text"), " ")
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     ends = (F.element_at(w, 1).alias("first"), F.element_at(w, -1).alias("last"))
     return d.select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("kinds"), *ends, F.array_contains(w, "the").alias("has_the"))
+
+
+BEST = f"""{LEAD}, t AS (SELECT conv_id, turn, ['hotpotqa', 'passage_count', 'passage_retrieval_en', 'unknown'][conv_id % 4 + 1] AS dataset, p, unnest([g, 'Paragraph ' || turn]) AS ans, unnest([1, 2]) AS j
+        FROM l WHERE g IS NOT NULL),
+    w AS (SELECT *, {_normal("p")} AS a, {_normal("ans")} AS b, regexp_extract_all(p, '\\d+') AS nums FROM t),
+    ca AS (SELECT conv_id, turn, j, x, count(*) AS n FROM (SELECT conv_id, turn, j, unnest(a) AS x FROM w) GROUP BY ALL),
+    cb AS (SELECT conv_id, turn, j, x, count(*) AS n FROM (SELECT conv_id, turn, j, unnest(b) AS x FROM w) GROUP BY ALL),
+    s AS (SELECT conv_id, turn, j, sum(least(ca.n, cb.n)) AS same FROM ca JOIN cb USING (conv_id, turn, j, x) GROUP BY ALL),
+    r AS (SELECT conv_id, turn, dataset, CASE dataset WHEN 'hotpotqa' THEN coalesce(2.0 * (same / len(a)) * (same / len(b)) / (same / len(a) + same / len(b)), 0.0)
+        WHEN 'passage_count' THEN CASE WHEN len(nums) = 0 THEN 0.0 ELSE len([x FOR x IN nums IF x = ans]) / len(nums) END
+        WHEN 'passage_retrieval_en' THEN CASE WHEN len(nums) = 0 THEN 0.0 ELSE len([x FOR x IN nums IF x = regexp_extract(ans, 'Paragraph (\\d+)', 1)]) / len(nums) END END AS score
+        FROM w LEFT JOIN s USING (conv_id, turn, j)),
+    best AS (SELECT conv_id, turn, dataset, max(score) AS score FROM r GROUP BY ALL)"""
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as predictions of four datasets, one of them without a metric, with two answers each."""
+    names = F.array(*(F.lit(x) for x in ("hotpotqa", "passage_count", "passage_retrieval_en", "unknown")))
+    answers = F.array("answer", F.concat(F.lit("Paragraph "), F.col("turn")))
+    t = turns(spark, sf_dir).withColumn("dataset", F.get(names, (F.col("conv_id") % 4).cast("int")))
+    return t.select("conv_id", "turn", "dataset", "pred", answers.alias("answers"), F.lit(None).cast("array<string>").alias("all_classes"))
+
+
+@query(f"WITH {BEST} SELECT conv_id, turn, dataset, round(score, 6) + 0.0 AS score FROM best")
+def row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each prediction by its dataset's metric, the best over its answers."""
+    return evaluation.row_scores(_predictions(spark, sf_dir)).select("conv_id", "turn", "dataset", tidy(F.col("score")).alias("score"))
+
+
+@query(f"WITH {BEST} SELECT dataset, round(100 * avg(score), 2) AS score FROM best GROUP BY dataset")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From predictions to the report's rows."""
+    return evaluation.dataset_scores(evaluation.row_scores(_predictions(spark, sf_dir)))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, text, lang, n_chars FROM documents")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as JSON lines in two goes, and read again."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    at = _folder(spark, "jsonl")
+    for part in (d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")):
+        files.append_predictions(part, at)
+    return files.jsonl(spark, at, d.schema)
+
+
+@query("SELECT lang AS dataset, n_chars AS length, text AS pred, source AS answer FROM documents")
+def predictions_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's folder of one file per dataset, read with the names of its files."""
+    d = table(spark, sf_dir, "documents")
+    at = _folder(spark, "run")
+    for lang in TEMPLATES:
+        rows = d.where(F.col("lang") == lang).select(F.col("n_chars").alias("length"), F.lit(1).alias("token_length"), F.col("text").alias("pred"), F.array("source").alias("answers"))
+        files.append_predictions(rows, f"{at}/{lang}.jsonl")
+    got = files.predictions(spark, at)
+    return got.select("dataset", F.col("length").cast("long").alias("length"), "pred", F.col("answers")[0].alias("answer"))
+
+
+@query(f"WITH {AGREE} SELECT source AS key, round(100 * avg(score), 2) AS value FROM a WHERE source IS NOT NULL GROUP BY source")
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as one JSON object, and read as settings of numbers."""
+    at = _folder(spark, "report")
+    files.write_report(dataset_score(spark, sf_dir).where("source IS NOT NULL"), at, "source")
+    return files.settings(spark, at, T.DoubleType())
+
+
+@query("""SELECT item_id, 'Q: ' || item_id || chr(10) AS question, 'A_model:' || chr(10) || regexp_replace(text, '\\s+', ' ', 'g') || chr(10) AS model_answer, 'A:' || chr(10) || length(text) || chr(10) || chr(10) AS answer FROM benchmark""")
+def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written as a transcript, read as whole texts and cut into blocks."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question"), F.regexp_replace("text", r"\s+", " ").alias("generation"), F.length("text").cast("string").alias("answer"))
+    at = _folder(spark, "transcript")
+    files.write_transcript(b, at)
+    got = files.blocks(files.text(spark, at).where("text <> ''"))
+    return got.select(F.regexp_extract("question", r"(\d+)", 1).cast("long").alias("item_id"), "question", "model_answer", "answer")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS _id, text AS context, source AS input, CAST(n_chars AS INTEGER) AS length, lang AS dataset, true AS balanced FROM documents WHERE n_chars < 8000
+UNION ALL SELECT CAST(doc_id AS VARCHAR), text, source, CAST(n_chars AS INTEGER), lang, false FROM documents""")
+def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples written in the benchmark's schema, and scanned whole and in the balanced variant."""
+    d = table(spark, sf_dir, "documents")
+    at = _folder(spark, "dataset")
+    rows = d.select(F.col("source").alias("input"), F.col("text").alias("context"), F.array("lang").alias("answers"), F.col("n_chars").cast("int").alias("length"), F.col("lang").alias("dataset"), F.lit("x").alias("language"), F.lit(None).cast("array<string>").alias("all_classes"), F.col("doc_id").cast("string").alias("_id"))
+    rows.write.parquet(at)
+    rows.where("length < 8000").write.parquet(at + "_e")
+    part = lambda e: files.dataset(spark, at, e).select("_id", "context", "input", "length", "dataset", F.lit(e).alias("balanced"))
+    return part(True).unionByName(part(False))

@@ -127,6 +127,15 @@ def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.contiguous_runs(free, "event_id", 3)
 
 
+@query("""WITH i AS (SELECT event_id AS id FROM events WHERE value < 20), r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM i),
+    a AS (SELECT min(first) AS first FROM (SELECT min(id) AS first FROM r GROUP BY g HAVING count(*) >= 3))
+SELECT first + i AS page_id, CAST(i AS BIGINT) AS slot FROM a, range(0, 3) r(i)""")
+def allocate_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages in a row from the free ones; it is an error if there are none."""
+    first = paging.allocate_run(table(spark, sf_dir, "events").where("value < 20"), 3, "event_id")
+    return spark.range(3).select((F.col("id") + first).alias("page_id"), F.col("id").alias("slot"))
+
+
 @query("SELECT CAST(i AS BIGINT) AS id FROM range(0, 2500) r(i) WHERE i NOT IN (SELECT vec_id FROM embeddings WHERE label < 6)")
 def free_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.free_ids(spark, 2500, table(spark, sf_dir, "embeddings").where("label < 6"), "vec_id")

@@ -96,6 +96,16 @@ def page_digest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "head", "dim", tidy(F.col("x.hi")).alias("hi"), tidy(F.col("x.lo")).alias("lo"))
 
 
+@query(f"""WITH {TOK}, d AS (SELECT page_id, head, dim, max(k) AS hi, min(k) AS lo, bool_or(vec_id >= 230) AS changed FROM tok GROUP BY ALL)
+SELECT page_id, head, changed, round(sum(hi), 6) + 0.0 AS hi, round(sum(lo), 6) + 0.0 AS lo FROM d GROUP BY ALL""")
+def index_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after rows were inserted, with the pages that changed by it."""
+    t = tokens(spark, sf_dir)
+    got = scoring.insert(scoring.digests(t.where("pos < 230"), D), t.where("pos >= 230"), D)
+    sum_ = lambda c: tidy(F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+    return got.select("page_id", "head", "changed", sum_("hi").alias("hi"), sum_("lo").alias("lo"))
+
+
 @query(f"WITH {SCORES} SELECT query_id, page_id, head, score FROM sc")
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir)
@@ -250,6 +260,16 @@ def page_count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("query_id").agg(F.max("c").alias("most"), F.sum("c").alias("total"), (F.min("c") == F.max("c")).alias("even"))
 
 
+@query(f"""WITH {TOP}, l AS (SELECT CAST(x AS INTEGER) AS layer, CAST(CASE WHEN x <= 2 OR (x - 2) % 3 = 0 THEN x ELSE x - (x - 2) % 3 END AS INTEGER) AS src FROM range(2, 6) r(x))
+SELECT layer, query_id, page_id + layer * 1000 AS page_id FROM l JOIN sel ON sel.head + 2 = src""")
+def reused_selection_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where each layer numbers its pages from a start of its own."""
+    s = selected(spark, sf_dir).select((F.col("head") + 2).alias("layer"), "query_id", "page_id")
+    layers = spark.range(2, 6).select(F.col("id").cast("int").alias("layer"), (F.col("id") * 1000).alias("offset"))
+    layers = layers.withColumn("anchor", paging.anchor_layer(F.col("layer"), F.lit(3)).cast("int"))
+    return selection.reuse(s, layers).select("layer", "query_id", "page_id")
+
+
 PROBS = f"""{SUMMED}, mx AS (SELECT query_id, max(score) AS m FROM hs GROUP BY 1), ex AS (SELECT query_id, page_id, exp(score - m) AS e FROM hs JOIN mx USING (query_id)),
     pr AS (SELECT query_id, page_id, e / sum(e) OVER (PARTITION BY query_id) AS p FROM ex)"""
 
@@ -361,6 +381,14 @@ def rms_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(_flat(spark, sf_dir).select("vec_id", y.alias("n")), ["vec_id"], "n", "y")
 
 
+@query(f"""WITH {TOK}, z AS (SELECT vec_id, head, sum(k * k) AS ss FROM tok GROUP BY ALL)
+SELECT vec_id, head, CAST(dim AS INTEGER) AS dim, round(k / sqrt(ss / 16 + 1e-5) * (1 + dim / 16.0), 6) + 0.0 AS y FROM tok JOIN z USING (vec_id, head)""")
+def head_rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each head's key normalised by itself, as models do that norm queries and keys per head."""
+    y = rms_norm(F.col("k"), [1 + i / D for i in range(D)])
+    return _long(tokens(spark, sf_dir).select(F.col("pos").alias("vec_id"), "head", y.alias("n")), ["vec_id", "head"], "n", "y")
+
+
 @query(f"WITH {FLAT} SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x / sqrt(ss), 6) + 0.0 AS y FROM f JOIN z USING (vec_id)")
 def l2_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(_flat(spark, sf_dir).select("vec_id", l2_normalize(F.col("x"), 64).alias("n")), ["vec_id"], "n", "y")
