@@ -74,17 +74,18 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 
 def _prefix(df: DataFrame, key: str, value: str, out: str, levels: int) -> DataFrame:
-    inner = Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    spans = df.withColumn("__span", int_div(F.col(key), SPAN))
-    totals = spans.groupBy("__span").agg(F.sum(value).alias("__total"))
+    span, total, of, before = (f"__{x}{levels}" for x in ("span", "total", "of", "before"))
+    inner = Window.partitionBy(span).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    spans = df.withColumn(span, int_div(F.col(key), SPAN))
+    totals = spans.groupBy(F.col(span).alias(of)).agg(F.sum(value).alias(total))
     if levels:
-        before = _prefix(totals.withColumnRenamed("__span", "__of"), "__of", "__total", "__before", levels - 1).select("__of", "__before")
+        totals = _prefix(totals, of, total, before, levels - 1)
     else:  # SPAN spans at most
-        outer = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-        before = totals.select(F.col("__span").alias("__of"), F.coalesce(F.sum("__total").over(outer), F.lit(0)).alias("__before"))
+        outer = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn(before, F.coalesce(F.sum(total).over(outer), F.lit(0)))
     local = spans.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    met = local.join(before, F.col("__span") == F.col("__of"))
-    return met.withColumn(out, F.col(out) + F.col("__before")).drop("__span", "__of", "__before")
+    met = local.join(totals.select(of, before), F.col(span) == F.col(of))
+    return met.withColumn(out, F.col(out) + F.col(before)).drop(span, of, before)
 
 
 def indptr(meta: DataFrame) -> DataFrame:

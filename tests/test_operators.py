@@ -233,3 +233,49 @@ def test_wide_windows_shrink_before_they_turn():
         win, ev = grow(slots, win, ev, page, 16, 2, 2, 2)
         seen.append(win)
     assert seen[:10] == [9, 8, 7, 6, 5, 4, 3, 2, 2, 2] and slots[-2:] == [28, 29]
+
+
+def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("head"), F.col("id").alias("pos"))
+    q = spark.range(40).select(F.col("id").alias("query_id"), (F.col("id") % 3).alias("head"))
+    pairs = lambda: sorted(tuple(r) for r in scoring.meet(q, rows, ["head"], "pos").select("query_id", "pos").collect())
+    want = pairs()
+    monkeypatch.setattr(scoring, "BROADCAST_QUERIES", 7)
+    assert scoring.meet(q, rows, ["head"], "pos").columns.count("head") == 1 and pairs() == want
+    assert want == sorted((a, b) for a in range(40) for b in range(300) if a % 3 == b % 3)
+
+
+def test_prefix_sums_of_far_apart_keys(spark):
+    keys = [0, 1, 5, 4095, 4096, 10**6, 10**9, 10**15, 10**15 + 1, -7]
+    df = spark.createDataFrame([(k, i + 1) for i, k in enumerate(keys)], "key long, x long")
+    got = {r["key"]: r["before"] for r in paging.prefix_sum(df, "key", "x", "before").collect()}
+    order = sorted(keys)
+    value = {k: i + 1 for i, k in enumerate(keys)}
+    assert got == {k: sum(value[j] for j in order[:i]) for i, k in enumerate(order)}
+    assert paging.prefix_sum(df.limit(0), "key", "x", "before").count() == 0
+
+
+def test_runs_at_the_edges_of_spans(spark):
+    ids = [*range(4090, 8200), 9000, 9001, *range(12288, 12290), 16383, 16384, 20479]
+    got = sorted(tuple(r) for r in paging.contiguous_runs(spark.createDataFrame([(i,) for i in ids], "id long")).collect())
+    assert got == [(4090, 4110), (9000, 2), (12288, 2), (16383, 2), (20479, 1)]
+    assert paging.allocate_run(spark.createDataFrame([(i,) for i in ids], "id long"), 3) == 4090
+    with pytest.raises(ValueError):
+        paging.allocate_run(spark.createDataFrame([(i,) for i in (1, 3, 5)], "id long"), 2)
+
+
+def test_pruned_search_is_exact_on_any_pages(spark, sf):
+    """Recall of the pruned and of the indexed search against brute force, at ids divisible by 20: all of it."""
+    from pagewise import queries
+
+    found = {name: {(r["query_id"], r["head"], r["pos"]) for r in queries.queries()[name](spark, sf).collect()} for name in ("exact_topk_rows", "digest_pruned_topk", "indexed_topk")}
+    assert found["exact_topk_rows"] == found["digest_pruned_topk"] == found["indexed_topk"]
+
+
+def test_split_plan_without_pages(spark):
+    grids = spark.createDataFrame([(1,), (5,)], "grid long")
+    plan = paging.split_plan(spark.createDataFrame([], "n_pages long"), grids)
+    assert sorted(tuple(r) for r in plan.collect()) == [(1, 1, 0), (5, 1, 0)]
+    plan = paging.split_plan(spark.createDataFrame([(0,), (7,), (3,)], "n_pages long"), grids)
+    assert sorted(tuple(r) for r in plan.collect()) == [(1, 7, 3), (5, 3, 5)]
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString()
