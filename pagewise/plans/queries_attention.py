@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import alibi_bias, tidy
-from ..operators import attention, paging, scoring
+from ..operators import attention, paging, scoring, selection
 from .queries_paging import sequences
-from .queries_selection import SUMMED, TOK, D, H, P, query_rows, select_with_sink_window, tokens
+from .queries_selection import SCORES, SINK, SUMMED, TOK, WIN, D, H, K, P, query_rows, select_with_sink_window, tokens
+from .queries_selection import scores as page_bounds
 from .registry import query
 
 LOGITS = "sum(q.k * t.k) / sqrt(16)"
@@ -178,3 +179,22 @@ def empty_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = query_rows(t)
     got = attention.attend(q, t.where("page_id < 0"), D)
     return _out(attention.with_empty(got, q, ["query_id", "head"], D))
+
+
+@query(f"""WITH {SCORES}, cand AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, page_id) AS rank FROM sc WHERE page_id >= 2 AND page_id < query_id // 16 - 1),
+    pg AS (SELECT query_id, head, page_id FROM cand WHERE rank <= 4
+        UNION SELECT query_id, head, page_id FROM sc WHERE page_id <= query_id // 16 AND (page_id < 2 OR page_id >= query_id // 16 - 1)),
+    {_sql("(q.vec_id, t.head, t.page_id) IN (SELECT (query_id, head, page_id) FROM pg) AND t.vec_id <= q.vec_id")}""")
+def decode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a generation: each query is a new row that sees the rows up to itself, of which it
+    takes the first and last pages and the best of the complete ones between, and attends to these."""
+    t = tokens(spark, sf_dir)
+    q = query_rows(t)
+    n_pages = paging.page_of(F.col("query_id"), P) + 1
+    between = selection.candidates(page_bounds(spark, sf_dir), n_pages, SINK, WIN)
+    best = selection.top_pages(between, K).select("query_id", "head", "page_id")
+    page = F.explode(F.expr(f"filter(sequence(0L, n_pages - 1), p -> p < {SINK} OR p >= n_pages - {WIN})")).alias("page_id")
+    always = q.withColumn("n_pages", n_pages).select("query_id", "head", page)
+    chosen = q.join(best.unionByName(always), ["query_id", "head"])
+    pairs = attention.logits(chosen, t, D, on=("head", "page_id"), keep=F.col("pos") <= F.col("query_id"))
+    return _out(attention.states(pairs, ["query_id", "head"], D, few_groups=scoring.are_few(q)))
