@@ -9,9 +9,9 @@ from .common import cut, fits, small
 
 #: Hex digits of the hash: 60 bits, a non-negative long.
 DIGITS = 15
-#: Bits that a histogram level resolves; 4 levels reach single hash values.
-LEVEL_BITS = 15
-LEVELS = 4
+#: Bits that a histogram level resolves, so a source has 4096 buckets at a time; 5 levels reach single hash values.
+LEVEL_BITS = 12
+LEVELS = 5
 #: Sources whose thresholds are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 

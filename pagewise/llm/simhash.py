@@ -227,9 +227,19 @@ def with_components(rows: DataFrame, distance: int = 2) -> DataFrame:
     return rows.join(cut(named), "fp")
 
 
-def _longest_prefix(n: Column, share: float) -> Column:
-    """Of n shingles in the common order, how many hold one that is shared, if ``share`` of them are."""
-    return n - F.ceil(n * share - 1e-9) + 1
+def _bins(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - BIN_BITS)
+
+
+def rarity_column(spark: SparkSession, shingles: Column, counts: np.ndarray) -> Column:
+    """Mean of one over the frequency of a set's shingles: the less, the more of the set is common."""
+    held = spark.sparkContext.broadcast(counts)
+
+    @F.pandas_udf(T.DoubleType())
+    def rarity(sets: pd.Series) -> pd.Series:
+        return pd.Series([float((1 / held.value[_bins(np.asarray(x, dtype="<i8").view("<u8"))]).mean()) for x in sets], dtype="float64")
+
+    return rarity(shingles)
 
 
 def prefix_column(spark: SparkSession, shingles: Column, counts: np.ndarray, similarity: float) -> Column:
@@ -240,9 +250,9 @@ def prefix_column(spark: SparkSession, shingles: Column, counts: np.ndarray, sim
     def prefix(sets: pd.Series) -> pd.Series:
         out = []
         for x in sets:
-            h = np.ascontiguousarray(x, dtype="<i8").view("<u8")
+            h = np.asarray(x, dtype="<i8").view("<u8")
             n = len(h) - int(np.ceil(len(h) * similarity - 1e-9)) + 1
-            out.append(h[np.lexsort((h, held.value[h >> np.uint64(64 - BIN_BITS)]))[:n]].view("<i8"))
+            out.append(h[np.lexsort((h, held.value[_bins(h)]))[:n]].view("<i8"))
         return pd.Series(out, dtype=object)
 
     return prefix(shingles)
@@ -254,8 +264,9 @@ class SimilarTexts:
     ``sketches``: one row per text (``t``) with its number of shingles ``n`` and
     band ``keys``. ``texts``: ``t`` and ``text`` of any of them, in any order and
     number. Texts that share a band meet. In each bucket all first meet one of
-    them only, the least, so a group of near copies makes rows in proportion to
-    its members. Those of a bucket that links do not join by then meet each
+    them only, the one whose shingles are the most common (of copies with
+    changes, the least changed), so a group makes rows in proportion to its
+    members. Those of a bucket that links do not join by then meet each
     other, in a bucket of up to ``AT_ONCE`` texts all of them, in a larger one
     those that share one of their rarest shingles: similar sets must, and texts
     that have a passage in common and are otherwise unlike do not. What meets is
@@ -268,20 +279,23 @@ class SimilarTexts:
 
     def edges(self) -> DataFrame:
         """Edges ``a``, ``b`` that connect what all links connect."""
-        keep = self.scratch.keep
+        keep, spark = self.scratch.keep, self.sketches.sparkSession
         rows = self.sketches.where("n > 0").select(F.explode("keys").alias("key"), "t", "n")
-        buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("t", "n")).alias("first")).where("size > 1"))
-        held = keep(rows.join(small(buckets, FEW), "key").select("key", "t", "n", "size", "first"))
+        buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        held = keep(rows.join(small(buckets, FEW), "key").select("key", "t", "n", "size"))
         met = keep(held.select("t").distinct())
         texts = self.texts.join(small(met, FEW), "t", "left_semi").select("t", set_column(F.col("text"), self.width).alias("s"))
         self.sets = keep(texts.groupBy("t").agg(F.first("s").alias("s")).select("t", "s.*"))
-        found = self.alike(_pairs(held.where("t <> first.t"), "t", "n", "first.t", "first.n"))
+        self.counts = self._frequencies()
+        common = cut(self.sets.select("t", rarity_column(spark, F.col("set"), self.counts).alias("rarity")))
+        hubs = keep(held.join(common, "t").groupBy("key").agg(F.min(F.struct("rarity", "t", "n")).alias("hub")))
+        found = self.alike(_pairs(held.join(small(hubs, FEW), "key").where("t <> hub.t"), "t", "n", "hub.t", "hub.n"))
         # Which bucket still holds texts that links do not join?
         roots = cut(connected_components(found)).withColumnRenamed("node", "t")
         placed = held.join(roots, "t", "left").select("key", "t", "n", "size", F.coalesce("root", "t").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         placed = keep(placed.join(small(cut(apart), FEW), "key"))
-        self.scratch.free(buckets, held, met)
+        self.scratch.free(buckets, held, met, hubs)
         x, y = (placed.where(F.col("size") <= AT_ONCE).select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root"))) for side in "xy")
         few = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")))
         crowded = cut(placed.where(F.col("size") > AT_ONCE).select("t", "n", "root").distinct())
@@ -290,27 +304,34 @@ class SimilarTexts:
             pairs = pairs.union(self.rarest(crowded))
         return found.union(self.alike(pairs))
 
+    def _frequencies(self) -> np.ndarray:
+        """How many sets have a shingle in each bin of hashes (1 at least): of one size at any input."""
+        of = F.shiftrightunsigned("x", 64 - BIN_BITS)
+        table = self.sets.select(F.explode("set").alias("x")).groupBy(of.alias("bin")).agg(F.count("*").alias("n")).toArrow()
+        counts = np.ones(1 << BIN_BITS, dtype=np.int32)
+        counts[table.column("bin").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
+        return counts
+
     def rarest(self, texts: DataFrame) -> DataFrame:
         """Pairs of ``texts`` (``t``, ``n``, ``root``) of different roots that may be similar, by prefix filtering.
 
-        All shingles have one order, the rarer first. Of two similar sets the
-        first shared shingle is among the first of either: in the lesser set
-        fewer need be looked at, as the overlap is at least 2s / (1 + s) of it.
-        Any order gives all pairs; rarity, told by bins of hashes, keeps others out.
+        All shingles have one order, the rarer first. Of two similar sets of m and
+        n shingles, (m + n) * s / (1 + s) or more are shared, so the first shared
+        one has as many from it on in either set. Any order gives all such pairs;
+        rarity, told by bins of hashes, keeps others out.
         """
-        s, spark = self.similarity, self.sketches.sparkSession
-        sets = self.sets.join(texts.select("t"), "t", "left_semi")
-        of = F.shiftrightunsigned("x", 64 - BIN_BITS)
-        table = sets.select(F.explode("set").alias("x")).groupBy(of.alias("bin")).agg(F.count("*").alias("n")).toArrow()
-        counts = np.zeros(1 << BIN_BITS, dtype=np.int32)
-        counts[table.column("bin").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
-        first = sets.select("t", F.posexplode(prefix_column(spark, F.col("set"), counts, s)).alias("i", "x")).join(small(texts, FEW), "t")
-        first = cut(first.select("x", "t", "n", "root", (F.col("i") < _longest_prefix(F.col("n"), 2 * s / (1 + s))).alias("short")))
+        s = self.similarity
+        sets = self.sets.join(small(texts.select("t"), FEW), "t", "left_semi")
+        first = sets.select("t", F.posexplode(prefix_column(sets.sparkSession, F.col("set"), self.counts, s)).alias("i", "x")).join(small(texts, FEW), "t")
+        first = cut(first.select("x", "t", "n", "root", (F.col("n") - F.col("i")).alias("left")))
         apart = first.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("x")
-        first = cut(first.join(cut(apart), "x"))
-        a, b = (first.select("x", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root", "short"))) for side in "ab")
+        first = cut(first.join(small(cut(apart), FEW), "x"))
+        a, b = (first.select("x", *(F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root", "left"))) for side in "ab")
         lesser = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_t") < F.col("b_t"))
-        met = a.where("a_short").join(b, "x").where(lesser & (F.col("a_root") != F.col("b_root")) & (F.col("a_n") >= s * F.col("b_n") - 1e-9))
+        enough = F.least("a_left", "b_left") >= (F.col("a_n") + F.col("b_n")) * (s / (1 + s)) - 1e-9
+        # Of equal or greater sets the lesser needs 2s / (1 + s) of its own; known before the join.
+        short = a.where(F.col("a_left") >= F.col("a_n") * (2 * s / (1 + s)) - 1e-9)
+        met = short.join(b, "x").where(lesser & enough & (F.col("a_root") != F.col("b_root")) & (F.col("a_n") >= s * F.col("b_n") - 1e-9))
         return _pairs(met, "a_t", "a_n", "b_t", "b_n")
 
     def alike(self, pairs: DataFrame) -> DataFrame:
