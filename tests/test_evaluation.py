@@ -94,6 +94,8 @@ def test_scores_by_task_and_length(spark):
     assert b["4-8k"] == 100.0 and b["8k+"] != b["8k+"] and b["0-4k"] == 25.0
     by = evaluation.bucket_scores(scored, spark, ["dataset"])
     assert by.count() == 9
+    odd = spark.createDataFrame([("no such task", "x", ["x"], None, 1), (None, "x", ["x"], None, 1), ("hotpotqa", None, None, None, 1)], PRED)
+    assert [r["score"] for r in evaluation.row_scores(odd).collect()] == [None, None, 0.0]
 
 
 def test_prompts_are_cut_and_wrapped(spark):
