@@ -77,11 +77,6 @@ def page_scores(queries: DataFrame, pages: DataFrame, dim: int) -> DataFrame:
     return meet(q, pages, ["head"], "page_id").select("query_id", "page_id", "head", cuboid_bound("q", "hi", "lo", dim).alias("score"))
 
 
-def exact_scores(queries: DataFrame, tokens: DataFrame, dim: int) -> DataFrame:
-    """Dot products of queries and rows on the same head."""
-    return meet(queries.select("query_id", "head", "q"), tokens, ["head"], "pos").withColumn("score", dot("q", "k", dim))
-
-
 def group_mean(scores: DataFrame, group: int) -> DataFrame:
     """Mean score over each group of heads."""
     return scores.groupBy("query_id", "page_id", F.floor(F.col("head") / group).cast("int").alias("grp")).agg(F.avg("score").alias("score"))

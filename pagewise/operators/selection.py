@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from . import blocks
 from .scoring import few
 
 
@@ -127,6 +130,20 @@ def gather(recalled: DataFrame, pool: DataFrame, on: list[str]) -> DataFrame:
     return pool.join(recalled, on)
 
 
+def top_rows(queries: DataFrame, tokens: DataFrame, dim: int, k: int) -> DataFrame:
+    """The ``k`` best rows of each query and head by dot product, with ``score`` and ``rank``; of scores equal at six digits the lower position comes first.
+
+    Pairs are made in cells of a block of queries and one of rows; a cell's best rows move, and the best of these are taken.
+    """
+    return _best(queries, tokens.select("pos", "head", "k"), dim, k, lambda q, r: blocks.nearest(q, r, k))
+
+
+def _best(queries: DataFrame, rows: DataFrame, dim: int, k: int, work: Callable) -> DataFrame:
+    found = blocks.cells(queries, rows, ("head",), dim, 0, work, "query_id long, head int, pos long, score double")
+    w = Window.partitionBy("query_id", "head").orderBy(F.round("score", 6).desc(), "pos")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def pruned_top_rows(queries: DataFrame, tokens: DataFrame, page_scores: DataFrame, dim: int, n_pages: int, k: int) -> DataFrame:
     """The ``k`` best rows of each query and head, exactly, from the pages that may hold them.
 
