@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
 from . import blocks
 from .scoring import few
 
@@ -138,31 +137,16 @@ def top_rows(queries: DataFrame, tokens: DataFrame, dim: int, k: int) -> DataFra
     return _best(queries, tokens.select("pos", "head", "k"), dim, k, lambda q, r: blocks.nearest(q, r, k))
 
 
+def pruned_top_rows(queries: DataFrame, tokens: DataFrame, dim: int, n_pages: int, k: int) -> DataFrame:
+    """The same, as exactly, from the pages (``page_id`` of ``tokens``) that may hold them; see ``blocks.pruned``.
+
+    No row of a page exceeds its digest's bound. In each cell first the rows of the ``n_pages`` pages of
+    greatest bound are scored, then those pages whose bound is not under the k-th score found.
+    """
+    return _best(queries, tokens.select("pos", "head", "page_id", "k"), dim, k, lambda q, r: blocks.pruned(q, r, k, n_pages))
+
+
 def _best(queries: DataFrame, rows: DataFrame, dim: int, k: int, work: Callable) -> DataFrame:
     found = blocks.cells(queries, rows, ("head",), dim, 0, work, "query_id long, head int, pos long, score double")
     w = Window.partitionBy("query_id", "head").orderBy(F.round("score", 6).desc(), "pos")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def pruned_top_rows(queries: DataFrame, tokens: DataFrame, page_scores: DataFrame, dim: int, n_pages: int, k: int) -> DataFrame:
-    """The ``k`` best rows of each query and head, exactly, from the pages that may hold them.
-
-    ``page_scores`` are bounds that no row of a page exceeds. First the rows of
-    the ``n_pages`` pages of greatest bound are scored; then those of every other
-    page whose bound is not under the k-th score found, and no others.
-    """
-    near = 1e-6  # scores are told apart at six digits
-    by = ["query_id", "head"]
-    ranked = page_scores.select(*by, "page_id", "score").withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "page_id")))
-    q = few(queries.select(*by, "q"))
-    w = Window.partitionBy(*by).orderBy(F.round("score", 6).desc(), "pos")
-
-    def best(pages: DataFrame) -> DataFrame:
-        scored = tokens.join(pages.join(q, by), ["head", "page_id"]).select(*by, "pos", dot("q", "k", dim).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    first = best(ranked.where(F.col("i") <= n_pages).drop("score", "i"))
-    floor = first.groupBy(*by).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    open_ = ranked.where(F.col("i") > n_pages).join(floor, by, "left").where(F.col("floor").isNull() | (F.col("score") >= F.col("floor") - near))
-    both = first.drop("rank").unionByName(best(open_.drop("score", "i", "floor")).drop("rank"))
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "pos", "score", "rank")

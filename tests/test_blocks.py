@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewise import queries
-from pagewise.operators import attention, blocks, scoring
+from pagewise.operators import attention, blocks, scoring, selection
 
 #: Queries that meet all rows. On the smallest table these are 50,000 pairs (of 2,000 rows).
-ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows".split()
+ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk".split()
 
 
 def made(node):
@@ -62,3 +62,17 @@ def test_attention_over_several_blocks(spark, small, slope):
     df = attention.attend(*frames(spark, x, q), 4, slope=F.lit(slope))
     got = {r["query_id"]: r for r in df.collect()}
     assert len(got) == 120 and all(abs(got[i]["s"] - s[i]) < 1e-9 and np.allclose(got[i]["o"], o[i]) for i in got)
+
+
+@pytest.mark.parametrize("shape", ["copies", "clusters", "random"])
+def test_searches_over_several_blocks(spark, small, shape):
+    """Copies are told apart by position; clusters are where pages are passed over."""
+    x, q = vectors(230, step=23 if shape == "copies" else None), vectors(120, seed=1)
+    if shape == "clusters":
+        x = x * 0.01 + np.repeat(vectors(46, seed=2) * 10, 5, axis=0)
+    score = np.round(q @ x.T, 6)
+    want = {(i, n + 1): int(p) for i in range(120) for n, p in enumerate(np.lexsort((np.arange(230), -score[i]))[:5])}
+    queries_, t = frames(spark, x, q, page=5)
+    long = t.withColumn("page_id", F.expr("CASE WHEN pos < 100 THEN 0 ELSE page_id END"))
+    for df in (selection.top_rows(queries_, t, 4, 5), selection.pruned_top_rows(queries_, t, 4, 2, 5), selection.pruned_top_rows(queries_, long, 4, 2, 5)):
+        assert {(r["query_id"], r["rank"]): r["pos"] for r in df.collect()} == want
