@@ -10,7 +10,7 @@ from pagewise import queries
 from pagewise.operators import attention, blocks, scoring, selection
 
 #: Queries that meet all rows. On the smallest table these are 50,000 pairs (of 2,000 rows).
-ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states".split()
+ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states".split()
 
 
 def made(node):
@@ -64,6 +64,21 @@ def test_attention_over_several_blocks(spark, small, slope):
     assert len(got) == 120 and all(abs(got[i]["s"] - s[i]) < 1e-9 and np.allclose(got[i]["o"], o[i]) for i in got)
 
 
+def test_pages_and_their_merged_states_over_several_blocks(spark, small):
+    x, q = vectors(230), vectors(120, seed=1)
+    queries_, t = frames(spark, x, q)
+    t = t.withColumn("page_id", F.expr("CASE WHEN pos < 100 THEN 0 ELSE page_id END"))  # one that is longer than a tile
+    pages = {(r["query_id"], r["page_id"]): r for r in attention.page_states(queries_, t, 4, wide=2).collect()}
+    of = {p: [i for i in range(230) if (0 if i < 100 else i // 7) == p] for p in {k[1] for k in pages}}
+    assert len(pages) == 120 * len(of) and sum(map(len, of.values())) == 230
+    for p, own in of.items():
+        s, o = brute_states(x, q, own)
+        assert all(abs(pages[i, p]["s"] - s[i]) < 1e-9 and np.allclose(pages[i, p]["o"], o[i][:2]) for i in range(120))
+    s, o = brute_states(x, q)
+    got = {r["query_id"]: r for r in attention.merged_pages(queries_, t, 4).collect()}
+    assert len(got) == 120 and all(abs(got[i]["s"] - s[i]) < 1e-9 and np.allclose(got[i]["o"], o[i]) for i in got)
+
+
 @pytest.mark.parametrize("shape", ["copies", "clusters", "random"])
 def test_searches_over_several_blocks(spark, small, shape):
     """Copies are told apart by position; clusters are where pages are passed over."""
