@@ -10,7 +10,7 @@ from pagewise import queries
 from pagewise.operators import attention, blocks, scoring, selection
 
 #: Queries that meet all rows. On the smallest table these are 50,000 pairs (of 2,000 rows).
-ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states decode_attention_masked".split()
+ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states decode_attention_masked grouped_query_attention".split()
 
 
 def made(node):
