@@ -10,7 +10,7 @@ from pagewise import queries
 from pagewise.operators import attention, blocks, scoring, selection
 
 #: Queries that meet all rows. On the smallest table these are 50,000 pairs (of 2,000 rows).
-ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states decode_attention_masked grouped_query_attention".split()
+ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states decode_attention_masked grouped_query_attention merge_two_states".split()
 
 
 def made(node):
@@ -79,6 +79,23 @@ def test_pages_and_their_merged_states_over_several_blocks(spark, small):
     assert len(got) == 120 and all(abs(got[i]["s"] - s[i]) < 1e-9 and np.allclose(got[i]["o"], o[i]) for i in got)
 
 
+def test_vectors_that_are_not_there(spark):
+    """A null row has no weight, a null query null states; in a search both have null scores, which come last."""
+    x, q = vectors(30), vectors(3, seed=1)
+    queries_, t = frames(spark, x, q)
+    queries_ = queries_.withColumn("q", F.expr("CASE WHEN query_id <> 1 THEN q END"))
+    t = t.withColumns({c: F.expr(f"CASE WHEN pos < 27 THEN {c} END") for c in "kv"})
+    s, o = brute_states(x[:27], q)
+    for df in (attention.attend(queries_, t, 4), attention.merged_pages(queries_, t, 4), attention.merge_two(*(attention.attend(queries_, t, 4, keep=F.col("pos") % 2 == i) for i in (0, 1)), ["query_id", "head"], 4)):
+        got = {r["query_id"]: r for r in df.collect()}
+        assert got[1]["s"] is None and got[1]["o"] == [None] * 4
+        assert all(abs(got[i]["s"] - s[i]) < 1e-9 and np.allclose(got[i]["o"], o[i]) for i in (0, 2))
+    for df in (selection.top_rows(queries_, t, 4, 29), selection.pruned_top_rows(queries_, t, 4, 1, 29)):
+        rows = {(r["query_id"], r["rank"]): (r["pos"], r["score"]) for r in df.collect()}
+        assert [rows[1, i + 1] for i in range(29)] == [(i, None) for i in range(29)]
+        assert [rows[0, i + 1][0] for i in range(29)] == [*np.argsort(-(x[:27] @ q[0])).tolist(), 27, 28]
+
+
 @pytest.mark.parametrize("shape", ["copies", "clusters", "random"])
 def test_searches_over_several_blocks(spark, small, shape):
     """Copies are told apart by position; clusters are where pages are passed over."""
