@@ -10,7 +10,7 @@ from pagewise import queries
 from pagewise.operators import attention, blocks, scoring, selection
 
 #: Queries that meet all rows. On the smallest table these are 50,000 pairs (of 2,000 rows).
-ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states decode_attention_masked grouped_query_attention merge_two_states".split()
+ALL_PAIRS = "alibi_attention cascade_attention decode_attention exact_topk_rows indexed_topk merge_states partial_states decode_attention_masked grouped_query_attention merge_two_states digest_pruned_topk".split()
 
 
 def made(node):
@@ -108,3 +108,25 @@ def test_searches_over_several_blocks(spark, small, shape):
     long = t.withColumn("page_id", F.expr("CASE WHEN pos < 100 THEN 0 ELSE page_id END"))
     for df in (selection.top_rows(queries_, t, 4, 5), selection.pruned_top_rows(queries_, t, 4, 2, 5), selection.pruned_top_rows(queries_, long, 4, 2, 5)):
         assert {(r["query_id"], r["rank"]): r["pos"] for r in df.collect()} == want
+
+
+@pytest.mark.parametrize("page", [1, 7, 100])
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_tiles(small, page, k):
+    """One cell by itself, in tiles of a few rows and queries."""
+    x, q = vectors(230), vectors(60, seed=1)
+    own = blocks.Queries(np.arange(60), np.zeros(60, np.int32), np.zeros(60), q)
+    rows = blocks.Rows(np.arange(230), np.arange(230) // page, x, x[:, ::-1])
+    s, o = brute_states(x, q)
+    for paged in (False, True):
+        (b,) = blocks.softmax(own, rows, paged, True)
+        assert np.allclose(b["s"], s) and np.allclose(b["o"].to_pylist(), o)
+    parts = {(r["query_id"], r["page_id"]): r for b in blocks.softmax(own, rows, True, False) for r in b.to_pylist()}
+    assert len(parts) == 60 * -(-230 // page)
+    for p in range(-(-230 // page)):
+        s, o = brute_states(x, q, list(range(p * page, min(230, p * page + page))))
+        assert all(abs(parts[i, p]["s"] - s[i]) < 1e-9 and np.allclose(parts[i, p]["o"], o[i]) for i in range(60))
+    score = np.round(q @ x.T, 6)
+    want = {(i, int(p)) for i in range(60) for p in np.lexsort((np.arange(230), -score[i]))[:k]}
+    for found in (blocks.nearest(own, rows, k), blocks.pruned(own, rows, k, 2)):
+        assert {(r["query_id"], r["pos"]) for b in found for r in b.to_pylist()} == want
