@@ -30,6 +30,27 @@ def test_pairs_of_many_queries_do_not_leave_their_cell(spark, sf, monkeypatch, n
     assert 1000 <= made(df._jdf.queryExecution().executedPlan()) <= 10_000
 
 
+def moved(node):
+    """The records that the exchanges of the executed plan wrote."""
+    inside = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan", "ResultQueryStage": "plan"}.get(node.nodeName())
+    inner = [getattr(node, inside)()] if inside else []
+    metric = node.metrics().get("shuffleRecordsWritten")
+    return (metric.get().value() if metric.isDefined() else 0) + sum(map(moved, [*inner, *(node.children().apply(i) for i in range(node.children().size()))]))
+
+
+#: Records that may move, of 2,000 rows and 400 queries, or half of these rows with grouped heads.
+MOVED = {"decode_attention": 3500}
+
+
+@pytest.mark.parametrize("name", MOVED)
+def test_a_key_that_fits_a_block_moves_once(spark, sf, monkeypatch, name):
+    """Blocks are counted by key: other heads' rows and queries make no more copies."""
+    monkeypatch.setattr(blocks, "BLOCK", 150)
+    df = queries.queries()[name](spark, sf)
+    df.collect()
+    assert 1000 < moved(df._jdf.queryExecution().executedPlan()) <= MOVED[name]
+
+
 def vectors(n, dim=4, seed=0, step=None):
     x = np.random.default_rng(seed).normal(size=(n, dim))
     return x if step is None else x[np.arange(n) // step * step]
