@@ -39,7 +39,7 @@ def moved(node):
 
 
 #: Records that may move, of 2,000 rows and 400 queries, or half of these rows with grouped heads.
-MOVED = {"decode_attention": 3500, "cascade_attention": 3500, "decode_attention_masked": 3500, "grouped_query_attention": 2100}
+MOVED = {"decode_attention": 3500, "cascade_attention": 3500, "decode_attention_masked": 3500, "grouped_query_attention": 2100, "digest_pruned_topk": 9000}
 
 
 @pytest.mark.parametrize("name", MOVED)
