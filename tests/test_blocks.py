@@ -51,6 +51,28 @@ def test_a_key_that_fits_a_block_moves_once(spark, sf, monkeypatch, name):
     assert 1000 < moved(df._jdf.queryExecution().executedPlan()) <= MOVED[name]
 
 
+def bytes_moved(node):
+    """The bytes of the rows that the exchanges of the executed plan wrote, before these are compressed."""
+    inside = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan", "ResultQueryStage": "plan"}.get(node.nodeName())
+    inner = [getattr(node, inside)()] if inside else []
+    metric = node.metrics().get("dataSize")
+    return (metric.get().value() if metric.isDefined() else 0) + sum(map(bytes_moved, [*inner, *(node.children().apply(i) for i in range(node.children().size()))]))
+
+
+#: Records and bytes that may move, of 2,000 rows and 100 queries in blocks of 50, where rows pass through a cell.
+PASSING = {"cascade_attention": (2700, 600_000)}
+
+
+@pytest.mark.parametrize("name", PASSING)
+def test_rows_that_pass_do_not_repeat_queries(spark, sf, monkeypatch, name):
+    """Neither queries nor states are repeated for each block of rows, and vectors of floats move as floats."""
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    df = queries.queries()[name](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    assert 1000 < moved(plan) <= PASSING[name][0] and bytes_moved(plan) <= PASSING[name][1]
+
+
 def vectors(n, dim=4, seed=0, step=None):
     x = np.random.default_rng(seed).normal(size=(n, dim))
     return x if step is None else x[np.arange(n) // step * step]
@@ -117,6 +139,26 @@ def test_vectors_that_are_not_there(spark):
         assert [rows[0, i + 1][0] for i in range(29)] == [*np.argsort(-(x[:27] @ q[0])).tolist(), 27, 28]
 
 
+def test_vectors_that_floats_hold_and_others(spark, small):
+    """Doubles keep their digits; elements that are null, and vectors that are short, in either form."""
+    x, q = vectors(230), vectors(120, seed=1)
+    x[::2], q[::3] = x[::2].astype("f4"), q[::3].astype("f4")
+    z = q @ x.T / 2 * math.log2(math.e)
+    z[:, [4, 5]] = -np.inf
+    z[[6, 7]] = -np.inf
+    v = x[:, ::-1].copy()
+    v[[8, 9], 1] = v[11, 3] = 0
+    queries_, t = frames(spark, x, q)
+    queries_ = queries_.withColumn("q", F.expr("CASE WHEN query_id = 6 THEN transform(q, (e, i) -> if(i = 2, null, e)) WHEN query_id = 7 THEN slice(q, 1, 3) || array(double('NaN')) ELSE q END"))
+    t = t.withColumn("k", F.expr("CASE WHEN pos IN (4, 5) THEN transform(k, (e, i) -> if(i = 1, null, e)) ELSE k END"))
+    t = t.withColumn("v", F.expr("CASE WHEN pos IN (8, 9) THEN transform(v, (e, i) -> if(i = 1, null, e)) WHEN pos = 11 THEN transform(v, (e, i) -> if(i = 3, null, e)) ELSE v END"))
+    got = {r["query_id"]: r for r in attention.attend(queries_, t, 4).collect()}
+    assert len(got) == 120 and got[6]["s"] is None and got[7]["s"] is None
+    w = np.exp2(z)
+    for i in set(range(120)) - {6, 7}:
+        assert abs(got[i]["s"] - np.log2(w[i].sum())) < 1e-9 and np.allclose(got[i]["o"], w[i] @ v / w[i].sum(), rtol=0, atol=1e-12)
+
+
 @pytest.mark.parametrize("shape", ["copies", "clusters", "random"])
 def test_searches_over_several_blocks(spark, small, shape):
     """Copies are told apart by position; clusters are where pages are passed over."""
