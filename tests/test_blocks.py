@@ -60,7 +60,7 @@ def bytes_moved(node):
 
 
 #: Records and bytes that may move, of 2,000 rows and 100 queries in blocks of 50, where rows pass through a cell.
-PASSING = {"cascade_attention": (2700, 600_000), "decode_attention_masked": (2700, 600_000)}
+PASSING = {"cascade_attention": (2700, 600_000), "decode_attention_masked": (2700, 600_000), "grouped_query_attention": (2700, 600_000)}
 
 
 @pytest.mark.parametrize("name", PASSING)
