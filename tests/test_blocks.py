@@ -73,6 +73,21 @@ def test_rows_that_pass_do_not_repeat_queries(spark, sf, monkeypatch, name):
     assert 1000 < moved(plan) <= PASSING[name][0] and bytes_moved(plan) <= PASSING[name][1]
 
 
+#: Records that may move, of 2,000 rows and 100 queries, where rows stay: queries, and a state of each from each of a few parts of the rows.
+STAYING = {"decode_attention_masked": 900}
+
+
+@pytest.mark.parametrize("name", STAYING)
+def test_many_rows_do_not_move(spark, sf, monkeypatch, name):
+    """Each part of the queries reads the rows; what is found is the same."""
+    want = sorted(map(tuple, queries.queries()[name](spark, sf).collect()))
+    monkeypatch.setattr(blocks, "MOVED", 0, raising=False)
+    df = queries.queries()[name](spark, sf)
+    got = sorted(map(tuple, df.collect()))
+    assert 0 < moved(df._jdf.queryExecution().executedPlan()) <= STAYING[name]
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=0, atol=2e-6)
+
+
 def vectors(n, dim=4, seed=0, step=None):
     x = np.random.default_rng(seed).normal(size=(n, dim))
     return x if step is None else x[np.arange(n) // step * step]
@@ -159,6 +174,29 @@ def test_vectors_that_floats_hold_and_others(spark, small):
         assert abs(got[i]["s"] - np.log2(w[i].sum())) < 1e-9 and np.allclose(got[i]["o"], w[i] @ v / w[i].sum(), rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("slope", [0.0, 0.25])
+def test_attention_where_rows_stay(spark, small, monkeypatch, slope):
+    """Two keys, one of them null; several parts of queries and of rows, and vectors that are null or short of an element."""
+    for name, n in {"MOVED": 0, "CHUNK": 20, "PART": 30}.items():
+        monkeypatch.setattr(blocks, name, n)
+    x, q = vectors(230), vectors(120, seed=1)
+    queries_, t = frames(spark, x, q)
+    queries_ = queries_.withColumn("key", F.expr("CASE WHEN query_id % 2 = 0 THEN 'a' END")).withColumn("q", F.expr("CASE WHEN query_id <> 4 THEN q END"))
+    t = t.withColumn("key", F.expr("CASE WHEN pos % 2 = 0 THEN 'a' END")).repartition(5)
+    t = t.withColumn("k", F.expr("CASE WHEN pos IN (8, 9) THEN transform(k, (e, i) -> if(i = 1, null, e)) WHEN pos NOT IN (10, 11) THEN k END"))
+    t = t.withColumn("v", F.expr("CASE WHEN pos = 12 THEN transform(v, (e, i) -> if(i = 3, null, e)) WHEN pos NOT IN (10, 11) THEN v END"))
+    got = {r["query_id"]: r for r in attention.attend(queries_, t, 4, slope=F.lit(slope), on=("key",)).collect()}
+    assert len(got) == 120 and got[4]["s"] is None and got[4]["o"] == [None] * 4
+    z = (q @ x.T / 2 + slope * (np.arange(230)[None] - np.arange(120)[:, None])) * math.log2(math.e)
+    z[:, 8:12] = -np.inf
+    z[(np.arange(120)[:, None] - np.arange(230)[None]) % 2 == 1] = -np.inf
+    v = x[:, ::-1].copy()
+    v[12, 3] = 0
+    for i in set(range(120)) - {4}:
+        w = np.exp2(z[i] - z[i].max())
+        assert abs(got[i]["s"] - z[i].max() - np.log2(w.sum())) < 1e-9 and np.allclose(got[i]["o"], w @ v / w.sum(), rtol=0, atol=1e-12)
+
+
 @pytest.mark.parametrize("shape", ["copies", "clusters", "random"])
 def test_searches_over_several_blocks(spark, small, shape):
     """Copies are told apart by position; clusters are where pages are passed over."""
