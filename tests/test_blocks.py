@@ -74,7 +74,7 @@ def test_rows_that_pass_do_not_repeat_queries(spark, sf, monkeypatch, name):
 
 
 #: Records that may move, of 2,000 rows and 100 queries, where rows stay: queries, and a state of each from each of a few parts of the rows.
-STAYING = {"decode_attention_masked": 900}
+STAYING = {"decode_attention_masked": 900, "grouped_query_attention": 900}
 
 
 @pytest.mark.parametrize("name", STAYING)
